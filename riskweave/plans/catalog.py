@@ -28,4 +28,5 @@ def load_all() -> None:
     """Import the query modules (each registers itself)."""
     from riskweave.plans import (  # noqa: F401
         q_features,
+        q_rows,
     )
