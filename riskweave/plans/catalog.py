@@ -29,4 +29,5 @@ def load_all() -> None:
     from riskweave.plans import (  # noqa: F401
         q_features,
         q_rows,
+        q_select,
     )

@@ -111,12 +111,12 @@ def _app_sql_parts():
            "  FROM application WHERE FLAG_POSITIVE_BALANCE IS NOT NULL GROUP BY FLAG_POSITIVE_BALANCE)")
     onehot = [(f"CAST((NAME_SEGMENT IS NOT DISTINCT FROM '{v}') AS DOUBLE)", f"NAME_SEGMENT_{v}", True)
               for v in S.SEGMENT]
-    feat = ("app_feat AS (SELECT SK_ID_CURR, AMT_BALANCE, NATION_CODE,\n"
-            "  CAST(coalesce(fac.code, -1) AS INTEGER) AS FLAG_POSITIVE_BALANCE,\n"
+    feat = ("app_feat AS (SELECT SK_ID_CURR,\n"
+            "  CAST(coalesce(fac.code, -1) AS INTEGER) AS FLAG_POSITIVE_BALANCE, AMT_BALANCE, NATION_CODE,\n"
             f"  {S.select_list(onehot)},\n"
             "  AMT_BALANCE / NULLIF(NATION_CODE, 0) AS BALANCE_PER_NATION\n"
             "  FROM application LEFT JOIN fac ON FLAG_POSITIVE_BALANCE = fac.v)")
-    outs = ([("AMT_BALANCE", True), ("NATION_CODE", False), ("FLAG_POSITIVE_BALANCE", False)]
+    outs = ([("FLAG_POSITIVE_BALANCE", False), ("AMT_BALANCE", True), ("NATION_CODE", False)]
             + [(a, True) for _, a, _ in onehot] + [("BALANCE_PER_NATION", True)])
     return [fac, feat], outs
 
@@ -158,17 +158,27 @@ def q_app_features(spark, d):
     return round_doubles(fx.application_features(spark, d))
 
 
-def _sql_wide():
+def wide_sql_parts():
+    """(CTE list ending with ``wide`` — unrounded, doubles cast — , ordered outputs)."""
     ctes, outs = [], []
     for fn in (_app_sql_parts, _bureau_sql_parts, _prev_sql_parts, _pos_sql_parts, _ins_sql_parts, _cc_sql_parts):
         c, o = fn()
         ctes += c
         outs += o
-    body = ("SELECT SK_ID_CURR,\n  " + S.rounded(outs) + "\nFROM app_feat"
-            + "".join(f"\nLEFT JOIN {t} USING (SK_ID_CURR)"
-                      for t in ("bureau_agg", "prev_agg", "pos_agg", "ins_agg", "cc_agg")))
-    return S.with_roles("application", "bureau", "bureau_balance", "previous_application",
-                        "pos_cash", "installments", "credit_card", extra=ctes) + body
+    joins = "".join(f"\nLEFT JOIN {t} USING (SK_ID_CURR)"
+                    for t in ("bureau_agg", "prev_agg", "pos_agg", "ins_agg", "cc_agg"))
+    ctes.append("wide AS (SELECT SK_ID_CURR,\n  " + ",\n  ".join(S.q(c) for c, _ in outs)
+                + "\nFROM app_feat" + joins + ")")
+    return ctes, outs
+
+
+WIDE_ROLES = ("application", "bureau", "bureau_balance", "previous_application",
+              "pos_cash", "installments", "credit_card")
+
+
+def _sql_wide():
+    ctes, outs = wide_sql_parts()
+    return S.with_roles(*WIDE_ROLES, extra=ctes) + "SELECT SK_ID_CURR,\n  " + S.rounded(outs) + "\nFROM wide"
 
 
 @register("q_wide_features", _sql_wide)

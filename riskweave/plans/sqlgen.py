@@ -145,3 +145,27 @@ def rounded(items, digits: int = 6) -> str:
 
 def outputs(items) -> list[tuple[str, bool]]:
     return [(it[1], it[2]) for it in items]
+
+
+def positions_cte(name: str, cols: list[str]) -> str:
+    vals = ", ".join(f"('{c}', {k})" for k, c in enumerate(cols))
+    return f"{name}(col, pos) AS (VALUES {vals})"
+
+
+def pairs_ctes(src: str, key: str, cols: list[str], tag: str = "p", where: str | None = None) -> list[str]:
+    """Pairwise-complete correlation as SQL: unpivot (NULLs dropped) -> self-join on
+    the row key -> corr per column pair. Produces CTE ``{tag}_pairs`` with
+    (pos_i, pos_j, col_i, col_j, n, r) for pos_i < pos_j; r is raw (NaN -> NULL)."""
+    casted = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in cols)
+    w = f" WHERE {where}" if where else ""
+    return [
+        f"{tag}_src AS (SELECT {key}, {casted} FROM {src}{w})",
+        positions_cte(f"{tag}_pos", cols),
+        f"{tag}_long AS (SELECT u.{key}, u.col, u.val, ps.pos FROM "
+        f"(UNPIVOT {tag}_src ON COLUMNS(* EXCLUDE ({key})) INTO NAME col VALUE val) u "
+        f"JOIN {tag}_pos ps ON u.col = ps.col)",
+        f"{tag}_pairs AS (SELECT a.pos AS pos_i, b.pos AS pos_j, a.col AS col_i, b.col AS col_j,\n"
+        f"  count(*) AS n, CASE WHEN isnan(corr(a.val, b.val)) THEN NULL ELSE corr(a.val, b.val) END AS r\n"
+        f"  FROM {tag}_long a JOIN {tag}_long b ON a.{key} = b.{key} AND a.pos < b.pos\n"
+        f"  GROUP BY a.pos, b.pos, a.col, b.col)",
+    ]
