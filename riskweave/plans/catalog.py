@@ -30,4 +30,5 @@ def load_all() -> None:
         q_features,
         q_rows,
         q_select,
+        q_metrics,
     )
