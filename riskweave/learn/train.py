@@ -1,11 +1,36 @@
-"""Training side: class weights, imputation with NULL indicators, the gradient-boosted
-tree pipeline, grid search with stratified folds, CV report, refit and run records."""
+"""Training side (ML1-ML6, ML14-ML15): class weights, imputation with NULL
+indicators, the gradient-boosted tree pipeline, grid search over stratified folds,
+cross-validation report, refit with carried-over threshold, run records.
+
+All fitting is Spark ML (distributed histogram trees); the driver only sees
+parameters and metric rows."""
 
 from __future__ import annotations
 
+import json
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.operators import metrics as M
+
+# Learner settings of the reference mapped to Spark ML names.
+BASE_PARAMS = {"stepSize": 0.01, "subsamplingRate": 0.9, "seed": 42}
+# The reference's grid (num_leaves and min_child_weight have no Spark equivalent).
+REFERENCE_GRID = {
+    "minInstancesPerNode": [50, 100, 150],
+    "maxDepth": [3, 5, 7],
+    "maxIter": [300, 500],
+    "featureSubsetStrategy": ["0.6", "0.8"],
+}
+METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "auc", "fbeta"]
+
 
 def class_weights(df: DataFrame, label: str) -> dict[int, float]:
     """ML2 (``is_unbalance``): positive weight n_neg / n_pos, negative 1.
@@ -18,3 +43,160 @@ def class_weights(df: DataFrame, label: str) -> dict[int, float]:
 
 def weight_column(label: str, weights: dict[int, float]):
     return F.when(F.col(label) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
+
+
+def nullable_columns(df: DataFrame, cols: list[str]) -> list[str]:
+    """Columns holding at least one NULL/NaN (one aggregate)."""
+    if not cols:
+        return []
+    row = df.agg(*[F.count_if(F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double")))
+                   .alias(f"n{k}") for k, c in enumerate(cols)]).first()
+    return [c for k, c in enumerate(cols) if row[f"n{k}"] > 0]
+
+
+def preprocess_stages(features: list[str], nullable: list[str], relative_error: float = 0.001):
+    """ML3: ``<c>_isna`` indicators + median imputation of the nullable columns
+    (Spark trees do not route missing values). Returns (stages, model inputs)."""
+    stages, inputs = [], []
+    if nullable:
+        ind = ", ".join(f"CAST((`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE))) AS DOUBLE) AS `{c}_isna`"
+                        for c in nullable)
+        stages.append(SQLTransformer(statement=f"SELECT *, {ind} FROM __THIS__"))
+        stages.append(Imputer(strategy="median", relativeError=relative_error,
+                              inputCols=nullable, outputCols=[f"{c}_imp" for c in nullable]))
+    for c in features:
+        inputs.append(f"{c}_imp" if c in nullable else c)
+    inputs += [f"{c}_isna" for c in nullable]
+    return stages, inputs
+
+
+def gbt_estimator(label: str, weight_col: str | None = None, **params) -> GBTClassifier:
+    p = dict(BASE_PARAMS)
+    p.update(params)
+    est = GBTClassifier(labelCol=label, featuresCol="features", **p)
+    if weight_col:
+        est.setWeightCol(weight_col)
+    return est
+
+
+def build_pipeline(features: list[str], label: str, nullable: list[str], weight_col: str | None = None,
+                   relative_error: float = 0.001, **params) -> Pipeline:
+    """ML1: [indicators, Imputer] -> VectorAssembler -> GBTClassifier."""
+    stages, inputs = preprocess_stages(features, nullable, relative_error)
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    stages.append(gbt_estimator(label, weight_col, **params))
+    return Pipeline(stages=stages)
+
+
+def prepare(df: DataFrame, label: str, weights: dict[int, float] | None) -> DataFrame:
+    out = df.withColumn(label, F.col(label).cast("double"))
+    if weights is not None:
+        out = out.withColumn("weight", weight_column(label, weights))
+    return out
+
+
+def fit(train: DataFrame, features: list[str], label: str, balance: bool = True,
+        relative_error: float = 0.001, **params) -> PipelineModel:
+    weights = class_weights(train, label) if balance else None
+    nullable = nullable_columns(train, features)
+    pipe = build_pipeline(features, label, nullable, "weight" if balance else None, relative_error, **params)
+    return pipe.fit(prepare(train, label, weights))
+
+
+def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
+    """ML6: probability of class 1 and the 0.5-cut class."""
+    out = model.transform(df)
+    return out.select(*keep, vector_to_array("probability")[1].alias("proba"),
+                      vector_to_array("rawPrediction")[1].alias("margin"),
+                      F.col("prediction").cast("int").alias("prediction"))
+
+
+def evaluate(pred: DataFrame, label: str, beta: float = 10.0, proba: str = "proba",
+             predicted: str = "prediction") -> DataFrame:
+    """ML7/ML8 on a prediction table: one row of accuracy, precision, recall, f1,
+    exact AUC, F-beta."""
+    counts = M.metrics_from_counts(M.confusion_counts(pred, label, predicted), beta)
+    auc = M.roc_auc(pred, label, proba).select("auc")
+    return _one_row_join(counts, auc)
+
+
+def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    k = F.lit(1).alias("_k")
+    return a.select("*", k).join(b.select("*", k), "_k").drop("_k")
+
+
+def param_grid(est: GBTClassifier, grid: dict[str, list]):
+    b = ParamGridBuilder()
+    for name, values in grid.items():
+        b = b.addGrid(est.getParam(name), values)
+    return b.build()
+
+
+def grid_search(train: DataFrame, features: list[str], label: str, grid: dict[str, list],
+                fold_col: str = "fold", k: int = 5, beta: float = 10.0, parallelism: int = 4,
+                relative_error: float = 0.001):
+    """ML4: every grid point x k stratified folds, scored by F-beta on class 1,
+    best refit on all training rows. Returns (CrossValidatorModel, results df)."""
+    weights = class_weights(train, label)
+    nullable = nullable_columns(train, features)
+    pipe = build_pipeline(features, label, nullable, "weight", relative_error)
+    est = pipe.getStages()[-1]
+    maps = param_grid(est, grid)
+    ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction",
+                                           metricName="fMeasureByLabel", metricLabel=1.0, beta=beta)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
+                        numFolds=k, parallelism=parallelism, seed=42)
+    data = prepare(train, label, weights).withColumn(fold_col, F.col(fold_col).cast("int"))
+    cvm = cv.fit(data)
+    rows = [(i, json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(s))
+            for i, (m, s) in enumerate(zip(maps, cvm.avgMetrics))]
+    spark = train.sparkSession
+    res = spark.createDataFrame(rows, "grid_index int, params string, mean_fbeta double")
+    best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
+    res = res.withColumn("is_best", F.col("grid_index") == F.lit(best))
+    return cvm, res
+
+
+def cv_report(df: DataFrame, features: list[str], label: str, fold_col: str = "fold", k: int = 5,
+              beta: float = 10.0, **params) -> DataFrame:
+    """ML5: per-fold fit; train and test metrics; per metric the train mean, test
+    mean and gap (from unrounded means), rounded to 3 decimals."""
+    parts = []
+    for f in range(k):
+        tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
+        model = fit(tr, features, label, **params)
+        for side, part in (("train", tr), ("test", te)):
+            m = evaluate(predict(model, part, [label]), label, beta)
+            parts.append(m.select(F.lit(f).alias("fold"), F.lit(side).alias("side"), *METRIC_NAMES))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    long = long.unpivot(["fold", "side"], METRIC_NAMES, "metric", "value")
+    means = long.groupBy("metric").agg(
+        F.avg(F.when(F.col("side") == "train", F.col("value"))).alias("tr"),
+        F.avg(F.when(F.col("side") == "test", F.col("value"))).alias("te"))
+    return means.select("metric", F.round("tr", 3).alias("train_mean"), F.round("te", 3).alias("test_mean"),
+                        F.round(F.col("tr") - F.col("te"), 3).alias("gap"))
+
+
+def gbt_stage(model: PipelineModel):
+    return model.stages[-1]
+
+
+def model_params(model: PipelineModel) -> dict:
+    g = gbt_stage(model)
+    names = ["maxDepth", "maxIter", "stepSize", "minInstancesPerNode", "featureSubsetStrategy",
+             "subsamplingRate", "seed"]
+    return {n: g.getOrDefault(n) for n in names}
+
+
+def run_record(df_path: str, spark, run_name: str, params: dict, metrics: dict, tag: str = "") -> DataFrame:
+    """ML15: append one row to a run table (parquet) and return the table."""
+    row = spark.createDataFrame(
+        [(run_name, json.dumps(params, sort_keys=True, default=str), tag)],
+        "run_name string, params string, tag string")
+    for k, v in metrics.items():
+        row = row.withColumn(k, F.lit(None if v is None else float(v)).cast("double"))
+    row = row.withColumn("recorded_at", F.current_timestamp())
+    row.write.mode("append").parquet(df_path)
+    return spark.read.parquet(df_path)

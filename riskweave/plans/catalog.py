@@ -31,4 +31,5 @@ def load_all() -> None:
         q_rows,
         q_select,
         q_metrics,
+        q_model,
     )
