@@ -32,4 +32,5 @@ def load_all() -> None:
         q_select,
         q_metrics,
         q_model,
+        q_serve,
     )
