@@ -55,6 +55,19 @@ INSTAL_NUM = {
 CC_AGGS = ("min", "max", "mean", "sum", "var")
 
 
+_SPECS: dict[tuple, OneHotSpec] = {}
+
+
+def fitted(spark: SparkSession, d: str, name: str, df: DataFrame, cols: list[str],
+           nan_column: bool = True) -> OneHotSpec:
+    """Category fit on a narrow pre-join projection, frozen per application and data
+    folder so every plan built from it has the same schema."""
+    key = (spark.sparkContext.applicationId, d, name, tuple(cols), nan_column)
+    if key not in _SPECS:
+        _SPECS[key] = OneHotSpec.fit(df.select(*cols), cols, nan_column=nan_column)
+    return _SPECS[key]
+
+
 def application_features(spark: SparkSession, d: str, exclude_segment: str | None = None,
                          ieee: bool = False) -> DataFrame:
     """Client table: optional null-safe exclusion, binary factorize, one-hot without
@@ -63,59 +76,97 @@ def application_features(spark: SparkSession, d: str, exclude_segment: str | Non
     if exclude_segment is not None:
         app = app.where(~F.col("NAME_SEGMENT").eqNullSafe(F.lit(exclude_segment)))
     fac = FactorizeSpec.fit(app, ["FLAG_POSITIVE_BALANCE"], order_col=KEY)
-    onehot = OneHotSpec.fit(app, ["NAME_SEGMENT"], nan_column=False)
+    onehot = fitted(spark, d, f"application:{exclude_segment}", app, ["NAME_SEGMENT"], nan_column=False)
     app = onehot.transform(fac.transform(app))
     return app.withColumn("BALANCE_PER_NATION", ratio("AMT_BALANCE", "NATION_CODE", ieee))
 
 
-def bureau_balance_per_bureau(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
-    bb = roles.bureau_balance(spark, d)
-    cats = OneHotSpec.fit(bb, ["STATUS", "RETURN_FLAG"], nan_column=True)
-    shares = [e for c, vals in cats.categories.items() for e in category_share_exprs(c, vals)]
-    bb_agg = grouped(bb, "SK_ID_BUREAU", BB_NUM, extra=shares)
-    share_names = [f"{n}_MEAN" for n in cats.new_columns]
-    return bb_agg, share_names
+def _shares(spec: OneHotSpec, prefix: str = "") -> list:
+    return [e for c, vals in spec.categories.items() for e in category_share_exprs(c, vals, prefix)]
+
+
+def per_order_lines(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """ONE aggregate of lineitem per order serving both order-level chains: balance
+    stats (min/max/size of MONTHS_BALANCE, status shares) and previous-application
+    amounts (credit, goods price, first shipping date)."""
+    lines = roles.order_lines(spark, d)
+    cats = fitted(spark, d, "bureau_balance", lines, ["STATUS", "RETURN_FLAG"])
+    extra = _shares(cats) + [
+        (F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1000).alias("AMT_CREDIT"),
+        (F.sum("l_extendedprice") / 1000).alias("AMT_GOODS_PRICE"),
+        F.min("l_shipdate").alias("first_ship"),
+    ]
+    agg = grouped(lines, "SK_ID_BUREAU", BB_NUM, extra=extra)
+    return agg, [f"{n}_MEAN" for n in cats.new_columns]
+
+
+def orders_enriched(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """orders LEFT JOIN the per-order line aggregate (one join for both chains)."""
+    per_order, share_names = per_order_lines(spark, d)
+    return roles.bureau(spark, d).join(per_order, "SK_ID_BUREAU", "left"), share_names
+
+
+def bureau_exprs(spark: SparkSession, d: str, bur: DataFrame, bb_share_names: list[str]) -> list:
+    """Client-level bureau aggregates: BURO_ totals, category shares, mean of the
+    per-bureau balance shares, ACTIVE_ / CLOSED_ subsets."""
+    cats = fitted(spark, d, "bureau", roles.bureau(spark, d), ["CREDIT_ACTIVE", "CREDIT_TYPE"])
+    status = F.col("CREDIT_ACTIVE")
+    return (agg_exprs(BUREAU_NUM, "BURO_") + _shares(cats, "BURO_")
+            + agg_exprs({n: ["mean"] for n in bb_share_names}, "BURO_")
+            + agg_exprs(BUREAU_NUM, "ACTIVE_", status.eqNullSafe(F.lit(roles.ACTIVE)))
+            + agg_exprs(BUREAU_NUM, "CLOSED_", status.eqNullSafe(F.lit(roles.CLOSED))))
 
 
 def bureau_and_balance(spark: SparkSession, d: str) -> DataFrame:
     """Two-level chain: balance rows -> per bureau row -> per client, with the
     Active/Closed subset aggregates fused into the client-level pass."""
-    bb_agg, bb_share_names = bureau_balance_per_bureau(spark, d)
-    bur = roles.bureau(spark, d).join(bb_agg, "SK_ID_BUREAU", "left").drop("SK_ID_BUREAU")
-    cats = OneHotSpec.fit(bur, ["CREDIT_ACTIVE", "CREDIT_TYPE"], nan_column=True)
-    extra = [e for c, vals in cats.categories.items() for e in category_share_exprs(c, vals, "BURO_")]
-    extra += agg_exprs({n: ["mean"] for n in bb_share_names}, "BURO_")
-    status = F.col("CREDIT_ACTIVE")
-    return grouped(bur, KEY, BUREAU_NUM, "BURO_", extra=extra, subsets=[
-        Subset("ACTIVE_", status.eqNullSafe(F.lit(roles.ACTIVE))),
-        Subset("CLOSED_", status.eqNullSafe(F.lit(roles.CLOSED))),
-    ])
+    bur, names = orders_enriched(spark, d)
+    return bur.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*bureau_exprs(spark, d, bur, names))
 
 
 def previous_prepared(spark: SparkSession, d: str, sentinel: int = roles.SENTINEL_DAYS,
-                      ieee: bool = False) -> DataFrame:
-    prev = roles.previous_application(spark, d)
-    prev = prev.withColumns({c: sentinel_to_null(c, sentinel) for c in ("DAYS_DECISION", "DAYS_FIRST_DUE")})
-    return prev.withColumn("APP_CREDIT_PERC", ratio("AMT_APPLICATION", "AMT_CREDIT", ieee))
+                      ieee: bool = False, enriched: DataFrame | None = None) -> DataFrame:
+    """Previous applications at order grain (SK_ID_PREV = order key)."""
+    if enriched is None:
+        enriched, _ = orders_enriched(spark, d)
+    cols = roles.previous_columns(sentinel, ieee)
+    return enriched.select(F.col("SK_ID_BUREAU").alias("SK_ID_PREV"), KEY, "AMT_CREDIT", "AMT_GOODS_PRICE",
+                           *[e.alias(c) for c, e in cols.items()])
+
+
+def previous_exprs(spark: SparkSession, d: str) -> list:
+    cats = fitted(spark, d, "previous", roles.bureau(spark, d).select(
+        F.col("CREDIT_ACTIVE").alias("NAME_CONTRACT_STATUS"), F.col("CREDIT_TYPE").alias("NAME_PRIORITY")),
+        ["NAME_CONTRACT_STATUS", "NAME_PRIORITY"])
+    status = F.col("NAME_CONTRACT_STATUS")
+    return (agg_exprs(PREV_NUM, "PREV_") + _shares(cats, "PREV_")
+            + agg_exprs(PREV_NUM, "APPROVED_", status.eqNullSafe(F.lit(roles.APPROVED)))
+            + agg_exprs(PREV_NUM, "REFUSED_", status.eqNullSafe(F.lit(roles.REFUSED))))
 
 
 def previous_applications(spark: SparkSession, d: str, sentinel: int = roles.SENTINEL_DAYS) -> DataFrame:
     prev = previous_prepared(spark, d, sentinel)
-    cats = OneHotSpec.fit(prev, ["NAME_CONTRACT_STATUS", "NAME_PRIORITY"], nan_column=True)
-    extra = [e for c, vals in cats.categories.items() for e in category_share_exprs(c, vals, "PREV_")]
-    status = F.col("NAME_CONTRACT_STATUS")
-    return grouped(prev, KEY, PREV_NUM, "PREV_", extra=extra, subsets=[
-        Subset("APPROVED_", status.eqNullSafe(F.lit(roles.APPROVED))),
-        Subset("REFUSED_", status.eqNullSafe(F.lit(roles.REFUSED))),
-    ])
+    return prev.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*previous_exprs(spark, d))
+
+
+def order_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Bureau and previous-application aggregates in ONE client-level groupBy over
+    the shared orders-with-lines table (one scan of each table, one shuffle)."""
+    bur, names = orders_enriched(spark, d)
+    both = bur.select("*", *[e.alias(c) for c, e in roles.previous_columns().items()])
+    return both.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
+        *bureau_exprs(spark, d, bur, names), *previous_exprs(spark, d))
+
+
+def pos_exprs(spark: SparkSession, d: str) -> list:
+    pos = roles.pos_cash(spark, d)
+    cats = fitted(spark, d, "events", pos, ["NAME_CONTRACT_STATUS"])
+    return agg_exprs(POS_NUM, "POS_") + _shares(cats, "POS_") + [F.count(F.lit(1)).alias("POS_COUNT")]
 
 
 def pos_cash(spark: SparkSession, d: str) -> DataFrame:
     pos = roles.pos_cash(spark, d)
-    cats = OneHotSpec.fit(pos, ["NAME_CONTRACT_STATUS"], nan_column=True)
-    extra = [e for c, vals in cats.categories.items() for e in category_share_exprs(c, vals, "POS_")]
-    extra.append(F.count(F.lit(1)).alias("POS_COUNT"))
-    return grouped(pos, KEY, POS_NUM, "POS_", extra=extra)
+    return pos.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*pos_exprs(spark, d))
 
 
 def installments_prepared(spark: SparkSession, d: str, ieee: bool = False) -> DataFrame:
@@ -130,21 +181,34 @@ def installments_prepared(spark: SparkSession, d: str, ieee: bool = False) -> Da
 
 def installments_payments(spark: SparkSession, d: str) -> DataFrame:
     ins = installments_prepared(spark, d)
-    cats = OneHotSpec.fit(ins, ["PAYMENT_FLAG"], nan_column=True)
-    extra = [e for c, vals in cats.categories.items() for e in category_share_exprs(c, vals, "INSTAL_")]
-    extra.append(F.count(F.lit(1)).alias("INSTAL_COUNT"))
+    lines = roles.order_lines(spark, d).select(F.col("RETURN_FLAG").alias("PAYMENT_FLAG"))
+    cats = fitted(spark, d, "installments", lines, ["PAYMENT_FLAG"])
+    extra = _shares(cats, "INSTAL_") + [F.count(F.lit(1)).alias("INSTAL_COUNT")]
     return grouped(ins, KEY, INSTAL_NUM, "INSTAL_", extra=extra)
 
 
+def credit_card_frame(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    cc = roles.credit_card(spark, d)
+    cats = fitted(spark, d, "events", cc, ["NAME_CONTRACT_STATUS"])
+    cc = cats.transform(cc, keep_source=True).drop("SK_ID_PREV")
+    spec = all_columns_spec(cc.drop("NAME_CONTRACT_STATUS"), exclude=[KEY], fns=CC_AGGS)
+    return cc, spec
+
+
 def credit_card_balance(spark: SparkSession, d: str) -> DataFrame:
     """All remaining columns (dummies included) x {min, max, mean, sum, var}."""
-    cc = roles.credit_card(spark, d)
-    cats = OneHotSpec.fit(cc, ["NAME_CONTRACT_STATUS"], nan_column=True)
-    cc = cats.transform(cc).drop("SK_ID_PREV")
-    spec = all_columns_spec(cc, exclude=[KEY], fns=CC_AGGS)
+    cc, spec = credit_card_frame(spark, d)
     return grouped(cc, KEY, spec, "CC_", extra=[F.count(F.lit(1)).alias("CC_COUNT")])
 
 
+def event_sources(spark: SparkSession, d: str) -> DataFrame:
+    """POS and credit-card aggregates of the events table in ONE groupBy."""
+    cc, spec = credit_card_frame(spark, d)
+    cc = cc.withColumns({"SK_DPD": F.col("AMT_BALANCE"), "SK_DPD_DEF": F.col("CNT_DRAWINGS")})
+    return cc.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
+        *pos_exprs(spark, d), *agg_exprs(spec, "CC_"), F.count(F.lit(1)).alias("CC_COUNT"))
+
+
 SOURCES = (
     ("bureau", bureau_and_balance),
     ("previous", previous_applications),
@@ -154,10 +218,26 @@ SOURCES = (
 )
 
 
-def wide_features(spark: SparkSession, d: str, sources=None) -> DataFrame:
-    """Client table LEFT JOIN each per-client aggregate (JN1 x5)."""
+def wide_features(spark: SparkSession, d: str, fused: bool = True) -> DataFrame:
+    """Client table LEFT JOIN each per-client aggregate (JN1 x5).
+
+    ``fused``: the two order-level chains share one client-level aggregate and the
+    two event-level sources another (three shuffles on SK_ID_CURR instead of five);
+    the column set and order are the same as the one-source-at-a-time plan."""
     df = application_features(spark, d)
-    for name, fn in SOURCES:
-        if sources is None or name in sources:
+    if not fused:
+        for _, fn in SOURCES:
             df = df.join(fn(spark, d), KEY, "left")
-    return df
+        return df
+    orders = order_chains(spark, d)
+    events = event_sources(spark, d)
+    order_cols = [c for c in orders.columns if c != KEY]
+    bureau_cols = [c for c in order_cols if c.startswith(("BURO_", "ACTIVE_", "CLOSED_"))]
+    prev_cols = [c for c in order_cols if c not in bureau_cols]
+    pos_cols = [c for c in events.columns if c.startswith("POS_")]
+    cc_cols = [c for c in events.columns if c.startswith("CC_")]
+    ins = installments_payments(spark, d)
+    df = df.join(orders, KEY, "left").join(events, KEY, "left").join(ins, KEY, "left")
+    app_cols = [c for c in application_features(spark, d).columns]
+    ins_cols = [c for c in ins.columns if c != KEY]
+    return df.select(*app_cols, *bureau_cols, *prev_cols, *pos_cols, *ins_cols, *cc_cols)
