@@ -17,10 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.session import cut_lineage  # noqa: E402
+
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
         T.DecimalType, T.BooleanType)
 
@@ -60,14 +63,18 @@ def _gram_partition(p: int, means: np.ndarray):
 
 
 def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | None = None,
-                  include_diagonal: bool = False) -> DataFrame:
+                  include_diagonal: bool = False, materialize: bool = True) -> DataFrame:
     """Long table (pos_i, pos_j, col_i, col_j, n, r) for pos_i < pos_j (or <=).
 
     ``tasks`` bounds the number of partial Gram matrices (coalesce without shuffle);
-    default: the session's default parallelism."""
+    default: the session's default parallelism. The numeric projection is persisted
+    for the two passes (means, Gram sums); with ``materialize`` the small pair table
+    (p^2/2 rows) is checkpointed and the projection released."""
     cols = numeric_columns(df) if cols is None else list(cols)
     p = len(cols)
     x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    if materialize:
+        x = x.persist(StorageLevel.MEMORY_AND_DISK)
     mrow = x.agg(*[F.avg(f"c{k}").alias(f"m{k}") for k in range(p)]).first()
     means = np.array([0.0 if mrow[f"m{k}"] is None else mrow[f"m{k}"] for k in range(p)])
     spark = df.sparkSession
@@ -84,10 +91,14 @@ def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | Non
     r = F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cov / F.sqrt(vx * vy))))
     names = F.array(*[F.lit(c) for c in cols])
     keep = (F.col("i") <= F.col("j")) if include_diagonal else (F.col("i") < F.col("j"))
-    return sums.where(keep).select(
+    out = sums.where(keep).select(
         F.col("i").alias("pos_i"), F.col("j").alias("pos_j"),
         names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"),
         F.col("n").cast("long").alias("n"), r.alias("r"))
+    if materialize:
+        out = cut_lineage(out)
+        x.unpersist()
+    return out
 
 
 def target_corr(df: DataFrame, target: str, cols: list[str]) -> DataFrame:

@@ -157,3 +157,18 @@ def best_threshold(sweep: DataFrame, default: float = 0.5) -> DataFrame:
 def apply_threshold(df: DataFrame, score: str, threshold: float, out: str = "prediction") -> DataFrame:
     """ML13: prediction = score >= threshold (evaluation rule)."""
     return df.withColumn(out, (F.col(score) >= F.lit(float(threshold))).cast("int"))
+
+
+def exact_lower_quantile(df: DataFrame, col: str, q: float = 0.5):
+    """Exact lower quantile (the value at 1-based rank max(1, ceil(q*n)) among the
+    non-null values; q=0.5 gives the lower median). Counts per distinct value, then
+    range-partitioned cumulative counts: no value list reaches one task or the
+    driver, only the answer does."""
+    import math
+    vals = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    n = vals.agg(F.sum("c")).first()[0]
+    if not n:
+        return None
+    k = max(1, math.ceil(q * n))
+    cum = cumulative(vals, "v", ["c"])
+    return cum.where(F.col("cum_c") >= k).agg(F.min("v")).first()[0]

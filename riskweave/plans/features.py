@@ -75,7 +75,10 @@ def application_features(spark: SparkSession, d: str, exclude_segment: str | Non
     app = roles.application(spark, d)
     if exclude_segment is not None:
         app = app.where(~F.col("NAME_SEGMENT").eqNullSafe(F.lit(exclude_segment)))
-    fac = FactorizeSpec.fit(app, ["FLAG_POSITIVE_BALANCE"], order_col=KEY)
+    fkey = (spark.sparkContext.applicationId, d, f"factorize:{exclude_segment}")
+    if fkey not in _SPECS:
+        _SPECS[fkey] = FactorizeSpec.fit(app, ["FLAG_POSITIVE_BALANCE"], order_col=KEY)
+    fac = _SPECS[fkey]
     onehot = fitted(spark, d, f"application:{exclude_segment}", app, ["NAME_SEGMENT"], nan_column=False)
     app = onehot.transform(fac.transform(app))
     return app.withColumn("BALANCE_PER_NATION", ratio("AMT_BALANCE", "NATION_CODE", ieee))
@@ -237,7 +240,7 @@ def wide_features(spark: SparkSession, d: str, fused: bool = True) -> DataFrame:
     pos_cols = [c for c in events.columns if c.startswith("POS_")]
     cc_cols = [c for c in events.columns if c.startswith("CC_")]
     ins = installments_payments(spark, d)
+    app_cols = df.columns
     df = df.join(orders, KEY, "left").join(events, KEY, "left").join(ins, KEY, "left")
-    app_cols = [c for c in application_features(spark, d).columns]
     ins_cols = [c for c in ins.columns if c != KEY]
     return df.select(*app_cols, *bureau_cols, *prev_cols, *pos_cols, *ins_cols, *cc_cols)

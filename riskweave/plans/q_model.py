@@ -4,7 +4,6 @@ bundle, importances, tree contributions. Model-dependent outputs have no SQL ora
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Imputer
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalar import round_doubles
@@ -28,12 +27,14 @@ KEY, LABEL = E.KEY, E.LABEL
 SELECT SK_ID_CURR, coalesce(N_DIGITS, m) AS N_DIGITS_imp,
   CAST(N_DIGITS IS NULL AS DOUBLE) AS N_DIGITS_isna FROM x, med""")
 def q_impute_indicators(spark, d):
-    """ML3: exact median imputation (lower median) plus a NULL indicator."""
+    """ML3: exact median imputation (lower median) plus a NULL indicator. The
+    training pipeline uses Spark's approximate ``Imputer``; this exact variant
+    finds the median with counts per value and range-partitioned running sums."""
     lab = E.labelled(E.doc_features(spark, d)).select(KEY, "LANG_de", "N_DIGITS")
     x = lab.withColumn("N_DIGITS", F.when(F.col("LANG_de") == 0, F.col("N_DIGITS"))).drop("LANG_de")
-    imp = Imputer(strategy="median", relativeError=0.0, inputCols=["N_DIGITS"], outputCols=["N_DIGITS_imp"])
-    out = imp.fit(x).transform(x)
-    return out.select(KEY, "N_DIGITS_imp", F.col("N_DIGITS").isNull().cast("double").alias("N_DIGITS_isna"))
+    med = M.exact_lower_quantile(x, "N_DIGITS", 0.5)
+    return x.select(KEY, F.coalesce(F.col("N_DIGITS"), F.lit(med).cast("double")).alias("N_DIGITS_imp"),
+                    F.col("N_DIGITS").isNull().cast("double").alias("N_DIGITS_isna"))
 
 
 @register("q_gbt_predict")
