@@ -61,7 +61,7 @@ def q_missing_cut(spark, d):
 
 def _profile_sql():
     parts = [f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, "
-             f"(SELECT CAST(count(*) AS INTEGER) FROM information_schema.columns WHERE table_name = '{t}') AS n_cols"
+             f"(SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE {t})) AS n_cols"
              for t in TABLES]
     return "\nUNION ALL\n".join(parts)
 
