@@ -7,7 +7,6 @@ partitions with per-partition offsets."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window

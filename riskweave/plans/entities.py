@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalar import hash_unit
-from riskweave.operators.encode import OneHotSpec
 from riskweave.plans import roles
 
 KEY, LABEL = "SK_ID_CURR", "TARGET"
@@ -16,8 +15,9 @@ DOC_NUMERIC = ["N_CHARS", "N_SPACE_TOKENS", "N_LINES", "N_DIGITS", "N_UPPER", "N
 def doc_features(spark: SparkSession, d: str) -> DataFrame:
     """All documents: key, TARGET (NULL = unlabelled), numeric measures, one-hot
     LANG / SOURCE with NULL indicators."""
+    from riskweave.plans.features import fitted
     ent = roles.documents_entity(spark, d)
-    spec = OneHotSpec.fit(ent, ["LANG", "SOURCE"], nan_column=True)
+    spec = fitted(spark, d, "documents", ent, ["LANG", "SOURCE"], nan_column=True)
     return spec.transform(ent)
 
 

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.functions.scalar import positive_part, ratio, sentinel_to_null
+from riskweave.functions.scalar import positive_part, ratio
 from riskweave.operators.aggregate import (
-    Subset, agg_exprs, all_columns_spec, category_share_exprs, grouped,
+    agg_exprs, all_columns_spec, category_share_exprs, grouped,
 )
 from riskweave.operators.encode import FactorizeSpec, OneHotSpec
 from riskweave.plans import roles

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from riskweave.functions.scalar import round_doubles
 from riskweave.plans import features as fx
 from riskweave.plans import roles
