@@ -244,3 +244,18 @@ def wide_features(spark: SparkSession, d: str, fused: bool = True) -> DataFrame:
     df = df.join(orders, KEY, "left").join(events, KEY, "left").join(ins, KEY, "left")
     ins_cols = [c for c in ins.columns if c != KEY]
     return df.select(*app_cols, *bureau_cols, *prev_cols, *pos_cols, *ins_cols, *cc_cols)
+
+
+_WIDE_TABLES: dict[tuple, str] = {}
+
+
+def wide_table(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table written once per application to the shared checkpoint folder
+    (the reference's ``all_data`` parquet) and read back: feature selection reads a
+    materialised table instead of re-running the five pipelines per report."""
+    from riskweave.session import scratch_path
+    from riskweave.sources.tables import write_parquet
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WIDE_TABLES:
+        _WIDE_TABLES[key] = write_parquet(wide_features(spark, d), scratch_path(spark, "all-data"))
+    return spark.read.parquet(_WIDE_TABLES[key])

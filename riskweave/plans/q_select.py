@@ -46,7 +46,7 @@ def _missing_sql(where: str = ""):
 @register("q_missing_report", lambda: _missing_sql())
 def q_missing_report(spark, d):
     """AGG12: missing count and percentage of every wide-table column."""
-    wide = fx.wide_features(spark, d)
+    wide = fx.wide_table(spark, d)
     return round_doubles(missing_report(wide, exclude=[KEY]))
 
 
@@ -54,7 +54,7 @@ def q_missing_report(spark, d):
 def q_missing_cut(spark, d):
     """SEL1: drop columns missing in strictly more than 75 % of rows; report of
     the surviving columns."""
-    wide = fx.wide_features(spark, d)
+    wide = fx.wide_table(spark, d)
     cut, _ = missing_cut(wide, MISSING_THRESHOLD, protect=[KEY])
     return round_doubles(missing_report(cut, exclude=[KEY]))
 
@@ -99,7 +99,7 @@ def q_corr_pairs(spark, d):
 def q_corr_gram(spark, d):
     """SEL2 (wide): pairwise-complete correlation of all ~220 wide-table columns by
     blocked Gram sums; pairs with no common row have no entry."""
-    wide = fx.wide_features(spark, d)
+    wide = fx.wide_table(spark, d)
     pc = pairwise_corr(wide, numeric_columns(wide, exclude=[KEY]))
     return round_doubles(pc.where(F.col("n") >= 1))
 
@@ -109,7 +109,7 @@ def q_corr_gram(spark, d):
 def q_collinear_cut(spark, d):
     """SEL4-SEL6: columns removed because an EARLIER column has signed r > 0.8 with
     them (removed columns still remove others)."""
-    wide = fx.wide_features(spark, d)
+    wide = fx.wide_table(spark, d)
     pc = pairwise_corr(wide, numeric_columns(wide, exclude=[KEY]))
     return collinear_drop(pc, COLLINEAR_THRESHOLD)
 
