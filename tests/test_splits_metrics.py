@@ -39,7 +39,7 @@ def test_sweep_uses_ge_and_first_best(spark):
     sw = {round(r.threshold, 2): r for r in M.threshold_sweep(df, "y", "s").collect()}
     assert sw[0.1].tp == 3 and sw[0.1].fp == 2  # 0.1 + 5*0.01 == 0.1 exactly: score 0.1 counts (>=)
     best = M.best_threshold(M.threshold_sweep(df, "y", "s")).first()
-    assert best.best_threshold == min(t for t, r in sw.items() if r.fbeta == max(x.fbeta for x in sw.values()))
+    assert round(best.best_threshold, 2) == min(t for t, r in sw.items() if r.fbeta == max(x.fbeta for x in sw.values()))
 
 
 def test_auc_ties_and_roc(spark):
