@@ -46,7 +46,7 @@ def main():
         for k, pat in FACTS.items():
             out.append(f"| {k} | {len(re.findall(pat, plan))} |")
         pushed = sorted(set(re.findall(r"PushedFilters: \[[^\]]*\]", plan)))
-        schemas = sorted(set(re.findall(r"ReadSchema: struct<[^>]*>?", plan)))
+        schemas = sorted(set(re.findall(r"ReadSchema: struct<[^\n]*", plan)))
         out += ["", "Pushed filters: " + ("; ".join(pushed) if pushed else "none"), "",
                 "Read schemas:", ""] + [f"* `{s[:160]}`" for s in schemas] + [""]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "docs", "PLANS.md"), "w") as f:
