@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,13 +95,12 @@ class FactorizeSpec:
             firsts = (df.where(F.col(c).isNotNull())
                       .groupBy(F.col(c).cast("string").alias("v"))
                       .agg(F.min(order_col).alias("first_seen")))
-            # the window runs over the distinct values only (bounded by max_levels)
-            ranked = firsts.select("v", (F.row_number().over(
-                Window.orderBy("first_seen", "v")) - 1).alias("code"))
-            rows = ranked.limit(max_levels + 1).collect()
+            # at most max_levels + 1 (value, first position) rows reach the driver
+            rows = firsts.limit(max_levels + 1).collect()
             if len(rows) > max_levels:
                 raise ValueError(f"column {c!r} has more than {max_levels} categories")
-            codes[c] = {r["v"]: int(r["code"]) for r in rows}
+            ordered = sorted(rows, key=lambda r: (r["first_seen"], r["v"]))
+            codes[c] = {r["v"]: k for k, r in enumerate(ordered)}
         return cls(codes)
 
     def expr(self, col: str) -> Column:

@@ -20,17 +20,24 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> Dat
     return df.where(hash_unit(key, seed) < F.lit(float(fraction)))
 
 
+# Fixed value: the largest offsets table (labels x buckets rows) that is broadcast.
+MAX_BROADCAST_ROWS = 100_000
+
+
 def rank_in_label(df: DataFrame, key: str, label: str, seed: int = 42, buckets: int = 256) -> DataFrame:
     """Adds ``u``, ``rank`` (1-based within label, by u then key) and ``n_label``."""
     u = hash_unit(key, seed)
     x = df.withColumn("u", u).withColumn("_b", F.floor(F.col("u") * buckets).cast("int"))
-    counts = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    counts = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c")).persist()
+    small = counts.count() <= MAX_BROADCAST_ROWS
     # offsets over at most (labels x buckets) rows
     w = Window.partitionBy(label).orderBy("_b")
     offs = counts.select(label, "_b",
                          (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(label)).alias("n_label"))
-    offs = F.broadcast(offs.na.fill({"_off": 0}))
+    offs = offs.na.fill({"_off": 0})
+    if small:  # size checked above; otherwise a regular (shuffled) join
+        offs = F.broadcast(offs)
     ranked = x.join(offs, [label, "_b"], "left")
     wb = Window.partitionBy(label, "_b").orderBy("u", key)
     return ranked.withColumn("rank", F.col("_off") + F.row_number().over(wb)).drop("_b", "_off")
