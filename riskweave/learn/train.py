@@ -32,15 +32,30 @@ REFERENCE_GRID = {
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "auc", "fbeta"]
 
 
-def class_weights(df: DataFrame, label: str) -> dict[int, float]:
-    """ML2 (``is_unbalance``): positive weight n_neg / n_pos, negative 1.
-    One grouped count; two rows reach the driver."""
-    counts = {int(r[label]): int(r["n"]) for r in
-              df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+# Fixed value: training rows per task the learner's partitions are sized for.
+ROWS_PER_TASK = 200_000
+
+
+def label_counts(df: DataFrame, label: str) -> dict[int, int]:
+    """One grouped count; one row per class reaches the driver."""
+    return {int(r[label]): int(r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def class_weights(df: DataFrame, label: str, counts: dict[int, int] | None = None) -> dict[int, float]:
+    """ML2 (``is_unbalance``): positive weight n_neg / n_pos, negative 1."""
+    counts = label_counts(df, label) if counts is None else counts
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     return {0: 1.0, 1: (neg / pos) if pos else 1.0}
 
 
+def sized(df: DataFrame, n_rows: int) -> DataFrame:
+    """Partitions sized to the data for the iterative learner: ceil(n / ROWS_PER_TASK)
+    tasks, at most the cluster's parallelism (coalesce: no shuffle, never more)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    k = max(1, min(par, -(-n_rows // ROWS_PER_TASK)))
+    return df.coalesce(k)
+
+
 def weight_column(label: str, weights: dict[int, float]):
     return F.when(F.col(label) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
 
@@ -97,10 +112,11 @@ def prepare(df: DataFrame, label: str, weights: dict[int, float] | None) -> Data
 
 def fit(train: DataFrame, features: list[str], label: str, balance: bool = True,
         relative_error: float = 0.001, **params) -> PipelineModel:
-    weights = class_weights(train, label) if balance else None
+    counts = label_counts(train, label)
+    weights = class_weights(train, label, counts) if balance else None
     nullable = nullable_columns(train, features)
     pipe = build_pipeline(features, label, nullable, "weight" if balance else None, relative_error, **params)
-    return pipe.fit(prepare(train, label, weights))
+    return pipe.fit(sized(prepare(train, label, weights), sum(counts.values())))
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -137,7 +153,8 @@ def grid_search(train: DataFrame, features: list[str], label: str, grid: dict[st
                 relative_error: float = 0.001):
     """ML4: every grid point x k stratified folds, scored by F-beta on class 1,
     best refit on all training rows. Returns (CrossValidatorModel, results df)."""
-    weights = class_weights(train, label)
+    counts = label_counts(train, label)
+    weights = class_weights(train, label, counts)
     nullable = nullable_columns(train, features)
     pipe = build_pipeline(features, label, nullable, "weight", relative_error)
     est = pipe.getStages()[-1]
@@ -146,7 +163,8 @@ def grid_search(train: DataFrame, features: list[str], label: str, grid: dict[st
                                            metricName="fMeasureByLabel", metricLabel=1.0, beta=beta)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
                         numFolds=k, parallelism=parallelism, seed=42)
-    data = prepare(train, label, weights).withColumn(fold_col, F.col(fold_col).cast("int"))
+    data = sized(prepare(train, label, weights).withColumn(fold_col, F.col(fold_col).cast("int")),
+                 sum(counts.values()))
     cvm = cv.fit(data)
     rows = [(i, json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(s))
             for i, (m, s) in enumerate(zip(maps, cvm.avgMetrics))]

@@ -60,13 +60,25 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
+# Fixed value: up to this many rows a running sum is one window in one task.
+SMALL_CUMULATIVE_ROWS = 100_000
+
+
 def cumulative(df: DataFrame, order_col: str, cols: list[str], descending: bool = False,
                partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums ``cum_<c>`` in ``order_col`` order, without a global
-    window: range partitions, per-partition totals -> offsets, local cumsum."""
+    """Inclusive running sums ``cum_<c>`` in ``order_col`` order.
+
+    The input is already aggregated (e.g. one row per distinct score). If its row
+    count is at most SMALL_CUMULATIVE_ROWS (checked) one ordered window is cheapest;
+    otherwise no global window: range partitions, per-partition totals -> offsets,
+    local cumsum."""
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    df = df.persist()
+    if df.limit(SMALL_CUMULATIVE_ROWS + 1).count() <= SMALL_CUMULATIVE_ROWS:
+        w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(F.col(c).cast("double")).over(w).alias(f"cum_{c}") for c in cols])
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(df.repartitionByRange(n, key).sortWithinPartitions(key))
     tot = ranged.groupBy(F.spark_partition_id().alias("pid")).agg(*[F.sum(c).alias(c) for c in cols]).collect()
     offsets, acc = {}, np.zeros(len(cols))

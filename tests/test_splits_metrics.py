@@ -62,3 +62,12 @@ def test_confusion_four_cells(spark):
     assert m.precision == 1.0 and m.fbeta == 1.0
     z = M.metrics_from_counts(M.confusion_counts(df.withColumn("p", F.lit(0)), "y", "p")).first()
     assert z.precision == 0.0 and z.fbeta == 0.0
+
+
+def test_cumulative_large_path_equals_window(spark, monkeypatch):
+    df = spark.range(0, 3000).select((F.col("id") % 997).alias("s"), (F.col("id") % 3).alias("v"))
+    agg = df.groupBy("s").agg(F.sum("v").alias("v"))
+    small = {r.s: r.cum_v for r in M.cumulative(agg, "s", ["v"]).collect()}
+    monkeypatch.setattr(M, "SMALL_CUMULATIVE_ROWS", 10)
+    large = {r.s: r.cum_v for r in M.cumulative(agg, "s", ["v"], partitions=4).collect()}
+    assert small == large and len(small) == 997
