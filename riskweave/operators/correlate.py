@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.session import cut_lineage  # noqa: E402
+from riskweave.session import cut_lineage, ship_package  # noqa: E402
 
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
         T.DecimalType, T.BooleanType)
@@ -81,6 +81,7 @@ def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | Non
     tasks = tasks or spark.sparkContext.defaultParallelism
     if x.rdd.getNumPartitions() > tasks:
         x = x.coalesce(tasks)
+    ship_package(spark)
     sums = (x.mapInPandas(_gram_partition(p, means), GRAM_SCHEMA)
             .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.session import ship_package
+
 
 @dataclass
 class LeafPath:
@@ -114,6 +116,7 @@ def tree_contributions(df: DataFrame, key: str, feature_cols: list[str], paths:
             out = pd.DataFrame(phi, columns=names)
             out.insert(0, key, pdf[key].to_numpy())
             yield out
+    ship_package(df.sparkSession)
     return x.mapInPandas(run, schema)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.session import cut_lineage
+from riskweave.session import cut_lineage, ship_package
 
 
 def sweep_thresholds(start: float = 0.05, stop: float = 0.95, step: float = 0.01) -> list[float]:
@@ -99,6 +99,7 @@ def cumulative(df: DataFrame, order_col: str, cols: list[str], descending: bool
             for k, c in enumerate(cols):
                 out[f"cum_{c}"] = cs[:, k]
             yield out
+    ship_package(spark)
     return ranged.mapInPandas(run, schema)
 
 
