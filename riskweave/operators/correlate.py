@@ -4,11 +4,11 @@ Pairwise-complete Pearson correlation (pandas ``DataFrame.corr`` semantics: each
 uses the rows where both values are present) for any number of columns, computed as
 blocked Gram sums in ONE pass over the rows:
 
-* a first aggregate gives column means (used only as a shift, for accuracy)
 * each task folds its Arrow batches into p x p matrices
-  N = M'M, S1 = X'M, S2 = (X*X)'M, P = X'X  (X centred, 0 where missing; M the mask)
-  and emits the upper triangle once per task
-* ``groupBy(i, j).sum`` combines tasks; r comes from the sums
+  N = M'M, S1 = X'M, S2 = (X*X)'M, P = X'X  (X shifted by the task's own column
+  means for accuracy, 0 where missing; M the mask) and emits the upper triangle once
+* the partial sums are moved exactly to a common shift and ``groupBy(i, j).sum``
+  combines tasks; r comes from the sums
 
 The shuffle is (tasks x p^2/2) rows, independent of the row count. Zero variance
 (constant column, or constant on the common rows) gives NULL."""
@@ -29,36 +29,43 @@ _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Doubl
 
 GRAM_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
     ("i", T.IntegerType()), ("j", T.IntegerType()), ("n", T.DoubleType()), ("sx", T.DoubleType()),
-    ("sy", T.DoubleType()), ("sxx", T.DoubleType()), ("syy", T.DoubleType()), ("sxy", T.DoubleType())]])
+    ("sy", T.DoubleType()), ("sxx", T.DoubleType()), ("syy", T.DoubleType()), ("sxy", T.DoubleType()),
+    ("a", T.DoubleType()), ("b", T.DoubleType())]])
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUM) and f.name not in set(exclude)]
 
 
-def _gram_partition(p: int, means: np.ndarray):
+def _gram_partition(p: int):
+    """Per task: shift every column by the task's own first-batch mean (accuracy
+    only; the result does not depend on it), fold all batches into p x p sums, emit
+    the upper triangle with the shifts once."""
     iu, ju = np.triu_indices(p)
 
     def fold(batches):
         N = np.zeros((p, p)); S1 = np.zeros((p, p)); S2 = np.zeros((p, p)); P = np.zeros((p, p))
-        seen = False
+        shift = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            seen = True
             X = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            if shift is None:
+                with np.errstate(all="ignore"):
+                    cnt = (~np.isnan(X)).sum(axis=0)
+                    shift = np.where(cnt > 0, np.nansum(X, axis=0) / np.maximum(cnt, 1), 0.0)
             M = ~np.isnan(X)
-            Xc = np.where(M, X - means, 0.0)
+            Xc = np.where(M, X - shift, 0.0)
             Mf = M.astype(np.float64)
             N += Mf.T @ Mf
             S1 += Xc.T @ Mf
             S2 += (Xc * Xc).T @ Mf
             P += Xc.T @ Xc
-        if not seen:
+        if shift is None:
             return
         yield pd.DataFrame({"i": iu.astype(np.int32), "j": ju.astype(np.int32), "n": N[iu, ju],
                             "sx": S1[iu, ju], "sy": S1[ju, iu], "sxx": S2[iu, ju], "syy": S2[ju, iu],
-                            "sxy": P[iu, ju]})
+                            "sxy": P[iu, ju], "a": shift[iu], "b": shift[ju]})
     return fold
 
 
@@ -66,24 +73,34 @@ def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | Non
                   include_diagonal: bool = False, materialize: bool = True) -> DataFrame:
     """Long table (pos_i, pos_j, col_i, col_j, n, r) for pos_i < pos_j (or <=).
 
-    ``tasks`` bounds the number of partial Gram matrices (coalesce without shuffle);
-    default: the session's default parallelism. The numeric projection is persisted
-    for the two passes (means, Gram sums); with ``materialize`` the small pair table
-    (p^2/2 rows) is checkpointed and the projection released."""
+    ONE pass over the rows. Each task's partial sums are relative to its own shift
+    (a, b); they are moved exactly to a common shift c (the mean of the task shifts,
+    p numbers) before the cross-task sum:
+    sum(x-c) = sum(x-a) + n(a-c),  sum((x-c)^2) = sum((x-a)^2) + 2(a-c)sum(x-a) + n(a-c)^2,
+    sum((x-c)(y-d)) = sum((x-a)(y-b)) + (a-c)sum(y-b) + (b-d)sum(x-a) + n(a-c)(b-d).
+    ``tasks`` bounds the number of partial Gram matrices (coalesce, no shuffle);
+    default: the session's default parallelism. With ``materialize`` the pair table
+    (p^2/2 rows) is checkpointed."""
     cols = numeric_columns(df) if cols is None else list(cols)
     p = len(cols)
-    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
-    if materialize:
-        x = x.persist(StorageLevel.MEMORY_AND_DISK)
-    mrow = x.agg(*[F.avg(f"c{k}").alias(f"m{k}") for k in range(p)]).first()
-    means = np.array([0.0 if mrow[f"m{k}"] is None else mrow[f"m{k}"] for k in range(p)])
     spark = df.sparkSession
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
     tasks = tasks or spark.sparkContext.defaultParallelism
-    if x.rdd.getNumPartitions() > tasks:
-        x = x.coalesce(tasks)
+    x = x.coalesce(tasks)
     ship_package(spark)
-    sums = (x.mapInPandas(_gram_partition(p, means), GRAM_SCHEMA)
-            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
+    parts = x.mapInPandas(_gram_partition(p), GRAM_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+    # common shift per column: mean of the task shifts (diagonal rows carry a = b = shift)
+    shifts = {r["i"]: r["c"] for r in parts.where(F.col("i") == F.col("j"))
+              .groupBy("i").agg(F.avg("a").alias("c")).collect()}
+    carr = F.array(*[F.lit(float(shifts.get(k, 0.0))) for k in range(p)])
+    da, db, n = F.col("a") - carr[F.col("i")], F.col("b") - carr[F.col("j")], F.col("n")
+    moved = parts.select(
+        "i", "j", "n",
+        (F.col("sx") + n * da).alias("sx"), (F.col("sy") + n * db).alias("sy"),
+        (F.col("sxx") + F.lit(2.0) * da * F.col("sx") + n * da * da).alias("sxx"),
+        (F.col("syy") + F.lit(2.0) * db * F.col("sy") + n * db * db).alias("syy"),
+        (F.col("sxy") + da * F.col("sy") + db * F.col("sx") + n * da * db).alias("sxy"))
+    sums = moved.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
@@ -98,7 +115,7 @@ def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | Non
         F.col("n").cast("long").alias("n"), r.alias("r"))
     if materialize:
         out = cut_lineage(out)
-        x.unpersist()
+        parts.unpersist()
     return out
 
 
