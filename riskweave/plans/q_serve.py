@@ -160,8 +160,10 @@ def q_response_record(spark, d):
     sc = SC.with_linear_score(prod, SC.linear_stats(spark, d))
     sc = sc.withColumns({f"phi_{c}": round_fixed(f"phi_{c}") for c in F8})
     found = lookup(validate_requests(SC.requests(spark, d), "raw", n), sc)
-    return response_records(found.withColumn("proba", round_fixed("proba")), F8, [f"phi_{c}" for c in F8],
-                            0.0, SC.DECISION_THRESHOLD, with_request_id=False, keep=["request_no"])
+    rr = response_records(found, F8, [f"phi_{c}" for c in F8], 0.0, SC.DECISION_THRESHOLD,
+                          with_request_id=False, keep=["request_no"])
+    # decide on the exact probability, present it rounded
+    return rr.withColumn("Client default probability", round_fixed("`Client default probability`"))
 
 
 @register("q_client_table", _score_sql() + """
