@@ -138,9 +138,10 @@ def previous_prepared(spark: SparkSession, d: str, sentinel: int = roles.SENTINE
 
 
 def previous_exprs(spark: SparkSession, d: str) -> list:
-    cats = fitted(spark, d, "previous", roles.bureau(spark, d).select(
-        F.col("CREDIT_ACTIVE").alias("NAME_CONTRACT_STATUS"), F.col("CREDIT_TYPE").alias("NAME_PRIORITY")),
-        ["NAME_CONTRACT_STATUS", "NAME_PRIORITY"])
+    # same order columns as the bureau fit (renamed): reuse it instead of a second scan
+    b = fitted(spark, d, "bureau", roles.bureau(spark, d), ["CREDIT_ACTIVE", "CREDIT_TYPE"])
+    cats = OneHotSpec({"NAME_CONTRACT_STATUS": b.categories["CREDIT_ACTIVE"],
+                       "NAME_PRIORITY": b.categories["CREDIT_TYPE"]}, nan_column=True)
     status = F.col("NAME_CONTRACT_STATUS")
     return (agg_exprs(PREV_NUM, "PREV_") + _shares(cats, "PREV_")
             + agg_exprs(PREV_NUM, "APPROVED_", status.eqNullSafe(F.lit(roles.APPROVED)))
@@ -184,8 +185,9 @@ def installments_prepared(spark: SparkSession, d: str, ieee: bool = False) -> Da
 
 def installments_payments(spark: SparkSession, d: str) -> DataFrame:
     ins = installments_prepared(spark, d)
-    lines = roles.order_lines(spark, d).select(F.col("RETURN_FLAG").alias("PAYMENT_FLAG"))
-    cats = fitted(spark, d, "installments", lines, ["PAYMENT_FLAG"])
+    # same lineitem column as the balance fit: reuse it instead of a second scan
+    bb = fitted(spark, d, "bureau_balance", roles.order_lines(spark, d), ["STATUS", "RETURN_FLAG"])
+    cats = OneHotSpec({"PAYMENT_FLAG": bb.categories["RETURN_FLAG"]}, nan_column=True)
     extra = _shares(cats, "INSTAL_") + [F.count(F.lit(1)).alias("INSTAL_COUNT")]
     return grouped(ins, KEY, INSTAL_NUM, "INSTAL_", extra=extra)
 
