@@ -55,12 +55,17 @@ def json_record(cols: list[str]) -> Column:
 
 
 def response_records(scored: DataFrame, feature_cols: list[str], phi_cols: list[str], expected: float,
-                     threshold: float, with_request_id: bool = True, keep: list[str] | None = None) -> DataFrame:
+                     threshold: float, with_request_id: bool = True, keep: list[str] | None = None,
+                     shap_names: list[str] | None = None) -> DataFrame:
     """SC4: the response row. ``scored`` has client_id, proba, the features and
-    their contributions ``phi_<feature>``."""
+    their contributions ``phi_cols`` (named ``shap_names`` in the JSON, default the
+    feature names)."""
+    shap_names = feature_cols if shap_names is None else shap_names
+    if len(shap_names) != len(phi_cols):
+        raise ValueError("one name per contribution column is needed")
     cls, dec = decide(F.col("proba"), threshold)
-    phi_struct = F.to_json(F.array(F.struct(*[F.col(p).cast("decimal(20,6)").alias(f) for p, f in
-                                              zip(phi_cols, feature_cols)])), {"ignoreNullFields": "false"})
+    phi_struct = F.to_json(F.array(F.struct(*[F.col(f"`{p}`").cast("decimal(20,6)").alias(f) for p, f in
+                                              zip(phi_cols, shap_names)])), {"ignoreNullFields": "false"})
     cols = [F.col("client_id").alias("Client_id"), F.col("proba").alias("Client default probability"),
             cls.alias("Class"), dec.alias("Decision"), json_record(feature_cols).alias("Client_info"),
             F.lit(float(expected)).alias("Expected_Shap_Value"), phi_struct.alias("Shap_values_client")]

@@ -145,3 +145,46 @@ def q_expected_value(spark, d):
         (F.sum(F.when(F.col("nodeData.leftChild") < 0, F.col("nodeData.prediction") * cover))
          / F.max(F.when(F.col("nodeData.id") == 0, cover))).alias("v"))
     return per_tree.agg(F.sum(w[F.col("treeID")] * F.col("v")).alias("expected_value"))
+
+
+# ---------------------------------------------------------------- serving with the fitted model
+def _prod_for_model(spark, d, t):
+    """Unlabelled documents = the clients to score, with the model's features (the
+    same NULL rule as the training table) and their 1-based positions."""
+    from riskweave.operators.clean import with_position
+    ent = E.doc_features(spark, d).where(F.col(LABEL).isNull())
+    ent = ent.withColumn("N_DIGITS", F.when(F.col("LANG_de") == 0, F.col("N_DIGITS")))
+    return with_position(ent.select(KEY, *t.features), KEY)
+
+
+@register("q_score_gbt")
+def q_score_gbt(spark, d):
+    """SC1/SC2 with the saved bundle: every client scored by the GBT model, decided
+    with the bundle's tuned threshold (strict >)."""
+    from riskweave.operators.score import decide
+    t = P.trained(spark, d)
+    model, meta = load_bundle(spark, t.path)
+    pred = L.predict(model, _prod_for_model(spark, d, t), ["POSITION", KEY])
+    cls, dec = decide(F.col("proba"), meta["threshold"])
+    return pred.select(F.col("POSITION").alias("Client_id"), KEY, "proba", cls.alias("Class"), dec.alias("Decision"))
+
+
+@register("q_response_gbt")
+def q_response_gbt(spark, d):
+    """SC4 as the reference serves it: GBT probability, decision at the bundle's
+    threshold, client features and exact tree contributions (margin scale) with the
+    expected value, for every found request."""
+    from riskweave.operators.score import lookup, response_records, validate_requests
+    from riskweave.plans import scoring as SC
+    t = P.trained(spark, d)
+    model, meta = load_bundle(spark, t.path)
+    prod = _prod_for_model(spark, d, t)
+    found = lookup(validate_requests(SC.requests(spark, d), "raw", prod.count()), prod)
+    x = P.assembled(t, found, ["request_no"])
+    paths, _ = P.paths_of(spark, t)
+    names = P.input_names(t.model_inputs)
+    phi = tree_contributions(x, "request_no", [f"x{k}" for k in range(len(names))], paths,
+                             [f"phi_{n}" for n in names])
+    scored = L.predict(model, found, ["request_no", "client_id", *t.features]).join(phi, "request_no")
+    return response_records(scored, t.features, [f"phi_{n}" for n in names], expected_value(paths),
+                            meta["threshold"], with_request_id=False, keep=["request_no"], shap_names=names)

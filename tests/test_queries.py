@@ -64,3 +64,16 @@ def test_stream_equals_batch(spark):
                                                           "Class", "Decision")
     cols = ["request_no", "Client_id", "SK_ID_CURR", "proba", "Class", "Decision"]
     assert sorted(tuple(r) for r in s.select(*cols).collect()) == sorted(tuple(r) for r in batch.collect())
+
+
+def test_gbt_response_contributions_add_up_to_probability(spark):
+    import json
+    rows = E.queries()["q_response_gbt"](spark, SF).limit(50).collect()
+    assert rows
+    for r in rows:
+        shap = json.loads(r["Shap_values_client"])[0]
+        info = json.loads(r["Client_info"])[0]
+        assert "N_DIGITS_isna" in shap and "N_CHARS" in info
+        margin = r["Expected_Shap_Value"] + sum(float(v) for v in shap.values())
+        p = r["Client default probability"]
+        assert abs(margin - 0.5 * math.log(p / (1 - p))) < 1e-4 * len(shap)
