@@ -1,9 +1,11 @@
 """Feature pipelines per source and the assembled wide table (one row per client).
 
-Every pipeline is ONE grouped aggregate keyed by SK_ID_CURR (the bureau chain is two:
-balance rows per bureau row, then bureau rows per client). The aggregate outputs are
-hash-partitioned by SK_ID_CURR, so the left-join chain onto the client table reuses
-that partitioning instead of re-shuffling each side."""
+Every source is ONE grouped aggregate keyed by SK_ID_CURR; the two order-level
+sources share one per-order lineitem aggregate first. Each source is also usable
+alone (the per-source queries). The wide table fuses sources that read the same
+table into one client-level groupBy (bureau + previous applications; POS + credit
+card). Aggregate outputs are hash-partitioned by SK_ID_CURR, so the left-join chain
+onto the client table reuses that partitioning instead of re-shuffling each side."""
 
 from __future__ import annotations
 
