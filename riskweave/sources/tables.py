@@ -18,11 +18,19 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_RELATIONS: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one given table (SRC3)."""
+    """Parquet scan of one given table (SRC3). The relation (file listing, footer
+    schema) is resolved once per application and path; DataFrames are immutable,
+    so every plan can start from the same one."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _RELATIONS:
+        _RELATIONS[key] = spark.read.parquet(table_path(sf_dir, name))
+    return _RELATIONS[key]
 
 
 def head_rows(df: DataFrame, n: int | None) -> DataFrame:
