@@ -143,13 +143,21 @@ def global_importance(long: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
 
 
-def waterfall(long: DataFrame, key: str, base: float, top: int = 15) -> DataFrame:
+def waterfall(long: DataFrame, key: str, base: float, top: int = 15, other: bool = False) -> DataFrame:
     """XP5: per client the ``top`` largest |phi| (ties by feature name), drawn in
     ascending |phi| order from the base: end = base + running sum, start = end - phi.
-    Windows are partitioned by client (one client's features per window)."""
+    ``other=True`` adds one first step holding the sum of the remaining features, so
+    the last ``end`` is the full margin. Windows are partitioned by client (one
+    client's features per window)."""
     rk = Window.partitionBy(key).orderBy(F.abs("phi").desc(), F.col("feature").desc())
-    kept = long.withColumn("_r", F.row_number().over(rk)).where(F.col("_r") <= top)
-    asc = Window.partitionBy(key).orderBy(F.abs("phi").asc(), F.col("feature").asc())
+    ranked = long.withColumn("_r", F.row_number().over(rk))
+    kept = ranked.where(F.col("_r") <= top).withColumn("_o", F.lit(1))
+    if other:
+        rest = (ranked.where(F.col("_r") > top).groupBy(key)
+                .agg(F.sum("phi").alias("phi")).select(key, F.lit("other").alias("feature"), "phi",
+                                                       F.lit(0).alias("_r"), F.lit(0).alias("_o")))
+        kept = kept.unionByName(rest)
+    asc = Window.partitionBy(key).orderBy("_o", F.abs("phi").asc(), F.col("feature").asc())
     run = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = kept.select(key, "feature", "phi", F.row_number().over(asc).alias("step"),
                       (F.lit(float(base)) + F.sum("phi").over(run)).alias("end"))

@@ -83,3 +83,11 @@ def test_waterfall_top_and_running_sum(spark):
     assert [wf[f].step for f in ("b", "a", "d")] == [1, 2, 3]
     assert abs(wf["d"].end - (0.1 - 0.2 + 0.5 - 0.9)) < 1e-12
     assert abs(wf["a"].start - (0.1 - 0.2)) < 1e-12 and wf["d"].direction == "decrease"
+
+
+def test_waterfall_other_row_reaches_full_margin(spark):
+    long = spark.createDataFrame([(1, "a", 0.5), (1, "b", -0.2), (1, "c", 0.05), (1, "d", -0.9), (1, "e", 0.01)],
+                                 "k int, feature string, phi double")
+    wf = sorted(waterfall(long, "k", 0.1, top=3, other=True).collect(), key=lambda r: r.step)
+    assert wf[0].feature == "other" and abs(wf[0].phi - 0.06) < 1e-12
+    assert abs(wf[-1].end - (0.1 + 0.5 - 0.2 + 0.05 - 0.9 + 0.01)) < 1e-12
