@@ -61,3 +61,15 @@ def test_top_bottom_nulls_last(spark):
     df = spark.createDataFrame([("x", 0.5), ("y", None), ("z", -0.2), ("w", 0.1)], "feature string, r double")
     tb = {(x.side, x.rank): x.feature for x in top_bottom(df, 2).collect()}
     assert tb == {("top", 1): "x", ("top", 2): "w", ("bottom", 1): "z", ("bottom", 2): "w"}
+
+
+def test_fit_selection_matches_topk_query(spark):
+    import __spark_entry__ as E
+    from riskweave.operators.select import fit_selection
+    from riskweave.plans import entities as EN
+    sf = "/root/testdata/sf0.01"
+    spec = fit_selection(EN.doc_features(spark, sf), "TARGET", "SK_ID_CURR", k=10)
+    expected = {r.feature for r in E.queries()["q_topk_features"](spark, sf).collect()}
+    assert set(spec.keep) == expected | {"SK_ID_CURR", "TARGET"}
+    out = spec.transform(EN.doc_features(spark, sf))
+    assert set(out.columns) == set(spec.keep)
