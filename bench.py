@@ -56,7 +56,7 @@ def main() -> None:
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "queries_cold": cold, "sf": float(m.group(1)) if m else sf_dir,
            "config": {"master": f"local[{cpus}]", "shuffle_partitions": max(8, 2 * cpus),
-                      "aqe": True, "repeat": repeat, "warm": True}}
+                      "aqe": True, "repeat": repeat, "warm": True, "spark": spark.version}}
     print(json.dumps(out))
     spark.stop()
 
