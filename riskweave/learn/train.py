@@ -111,10 +111,12 @@ def prepare(df: DataFrame, label: str, weights: dict[int, float] | None) -> Data
 
 
 def fit(train: DataFrame, features: list[str], label: str, balance: bool = True,
-        relative_error: float = 0.001, **params) -> PipelineModel:
+        relative_error: float = 0.001, nullable: list[str] | None = None, **params) -> PipelineModel:
+    """``nullable``: the columns needing imputation, when already known (e.g. for all
+    folds of one table); otherwise found with one aggregate."""
     counts = label_counts(train, label)
     weights = class_weights(train, label, counts) if balance else None
-    nullable = nullable_columns(train, features)
+    nullable = nullable_columns(train, features) if nullable is None else nullable
     pipe = build_pipeline(features, label, nullable, "weight" if balance else None, relative_error, **params)
     return pipe.fit(sized(prepare(train, label, weights), sum(counts.values())))
 
@@ -180,9 +182,10 @@ def cv_report(df: DataFrame, features: list[str], label: str, fold_col: str = "f
     """ML5: per-fold fit; train and test metrics; per metric the train mean, test
     mean and gap (from unrounded means), rounded to 3 decimals."""
     parts = []
+    nullable = nullable_columns(df, features)  # one scan for all folds
     for f in range(k):
         tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        model = fit(tr, features, label, **params)
+        model = fit(tr, features, label, nullable=nullable, **params)
         for side, part in (("train", tr), ("test", te)):
             m = evaluate(predict(model, part, [label]), label, beta)
             parts.append(m.select(F.lit(f).alias("fold"), F.lit(side).alias("side"), *METRIC_NAMES))
