@@ -98,12 +98,13 @@ def paths_of(spark: SparkSession, t: Trained):
 
 
 def best_features(spark: SparkSession, t: Trained, n: int = N_BEST) -> list[str]:
-    """SEL8: top-n model inputs by split count (ties by name); only n names
-    reach the driver."""
+    """SEL8: top-n model inputs by split count (ties by name). Inputs never split
+    on count 0 and fill the list, as a head(n) over all features does. At most one
+    row per model input reaches the driver."""
     _, nodes = paths_of(spark, t)
-    sc = split_counts(nodes, input_names(t.model_inputs))
-    top = sc.orderBy(F.col("split_count").desc(), "feature").limit(n).collect()
-    return [r["feature"] for r in top]
+    names = input_names(t.model_inputs)
+    counts = {r["feature"]: r["split_count"] for r in split_counts(nodes, names).collect()}
+    return sorted(names, key=lambda f: (-counts.get(f, 0), f))[:n]
 
 
 def bundle_meta(spark: SparkSession, t: Trained) -> dict:
