@@ -42,13 +42,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only when unset."""
+    """The session's checkpoint folder. ``setCheckpointDir`` makes a new subfolder on
+    every call, so it is called once: only when the context has none yet. A local
+    temporary folder is used only by a ``local[...]`` master; any other master must
+    name shared storage in ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="riskweave-ckpt-")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is unset and the master {sc.master!r} is not local: "
+                             "name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="riskweave-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
