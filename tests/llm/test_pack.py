@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 from hypothesis import given, settings
@@ -10,10 +11,14 @@ from riskweave.llm import op2_pack as op
 from .helpers import docs, table_rows
 
 
-def whole_ids(text):
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(op.tokenizer_path())
-    return tok.encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(op.tokenizer_path())
+
+
+def whole_ids(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def check_packing(rows, capacity):
