@@ -67,3 +67,56 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], name: str = "rank
         on = on & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
     out = local.join(offs, on, "inner").withColumn(name, F.col("_before") + F.col("_local"))
     return out.drop("_b", "_ob", "_before", "_local", *[f"_o_{g}" for g in groups])
+
+
+def sorted_runs(batches, group: list[str], size: int):
+    """Arrow batches sorted by ``group`` -> (table, [(from, to), ...]): the rows of each group
+    that has more than one, in windows of at most ``size`` rows that overlap by half. At
+    most about two windows and one batch are held, however large a group is."""
+    import numpy as np
+    import pyarrow as pa
+
+    step = max(1, size // 2)
+
+    def windows(lo: int, hi: int) -> list[tuple[int, int]]:
+        if hi - lo <= size:
+            return [(lo, hi)]
+        return [(at, min(at + size, hi)) for at in range(lo, hi - size + step, step)]
+
+    def cuts(t) -> list[int]:
+        new = np.zeros(len(t), dtype=bool)
+        for c in group:
+            v = t[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return [0, *np.nonzero(new)[0].tolist(), len(t)]
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        at = cuts(held)
+        spans = [w for lo, hi in zip(at[:-2], at[1:-1]) if hi - lo > 1 for w in windows(lo, hi)]
+        if spans:
+            yield held, spans
+        held = held.slice(at[-2])
+        while len(held) >= size + step:
+            yield held, [(0, size)]
+            held = held.slice(step)
+    if held is not None and len(held) > 1:
+        yield held.combine_chunks(), windows(0, len(held))
+
+
+def fixed_bytes(column, width: int):
+    """A binary column whose values all have ``width`` bytes, as a (rows, width) array."""
+    import numpy as np
+    import pyarrow as pa
+
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(c):
+        return np.zeros((0, width), dtype=np.uint8)
+    if isinstance(c, pa.ChunkedArray):
+        c = c.chunk(0)
+    offsets = np.frombuffer(c.buffers()[1], dtype=np.int32, count=len(c) + 1, offset=4 * c.offset)
+    return np.frombuffer(c.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]].reshape(len(c), width)

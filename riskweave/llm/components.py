@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,17 @@ def components(edges: DataFrame) -> DataFrame:
         least = _least(large)
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Edges (i, root) of a spanning forest of the rows that have links."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (before == label).all():
+            break
+    return [(int(i), int(r)) for i, r in enumerate(label) if i != r]

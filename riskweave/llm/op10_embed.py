@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import prepared, written
-from riskweave.llm.components import components
+from riskweave.llm.components import components, spanning
 
 THRESHOLD = 0.95
 MISS = 1e-6
@@ -97,20 +97,6 @@ def linked_pairs(x: np.ndarray, bits: int, table: int, threshold: float, split:
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros(0, int),) * 2
 
 
-def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges (i, root) of a spanning forest of the rows that have links."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (before == label).all():
-            break
-    return [(int(i), int(r)) for i, r in enumerate(label) if i != r]
-
-
 def classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows with their vector's key, classes of equal usable vectors)."""
     v = F.col(vec_col).cast("array<double>")

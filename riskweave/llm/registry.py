@@ -6,35 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.llm import op2_pack, op3_dedup, op10_embed, sql
-from riskweave.llm import op9_warc as warc
+import corpus_pipeline
+from riskweave.llm import op1_mix, op2_pack, op3_dedup, op4_langid, op5_minhash, op6_html, op7_lm, op8_pii, op9_warc, op10_embed, sql
 from riskweave.llm.common import table
 
+_OPERATORS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
+    "op1_pfair_mix": (op1_mix.mix, "documents"),
+    "op2_best_fit_pack": (op2_pack.pack_documents, "documents"),
+    "op3_trie_dedup": (op3_dedup.exact_dedup, "documents"),
+    "op4_language_id": (op4_langid.identify, "documents"),
+    "op5_minhash_forest": (op5_minhash.near_dedup, "documents"),
+    "op6_main_text": (op6_html.extract, "pages"),
+    "op7_backoff_score": (op7_lm.score, "documents"),
+    "op8_personal_data": (op8_pii.find, "documents"),
+    "op9_warc": (op9_warc.round_trip, "pages"),
+    "op10_embed_dedup": (op10_embed.near_links, "embeddings"),
+}
 
-def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op2_pack.pack_documents(table(spark, sf_dir, "documents"))
 
-
-def op3_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3_dedup.exact_dedup(table(spark, sf_dir, "documents"))
-
-
-def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
-
-
-def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_embed.near_links(table(spark, sf_dir, "embeddings"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_pack, op3_trie_dedup, op9_warc, op10_embed_dedup)}
-ORACLES: dict[str, str] = {"op3_trie_dedup": sql.OP3, "op9_warc": sql.OP9, "op10_embed_dedup": sql.OP10}
+def _query(operator: Callable[[DataFrame], DataFrame], name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {k: _query(*v) for k, v in _OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {"op1_pfair_mix": sql.OP1, "op3_trie_dedup": sql.OP3, "op5_minhash_forest": sql.OP5,
+            "op7_backoff_score": sql.OP7, "op9_warc": sql.OP9, "op10_embed_dedup": sql.OP10}

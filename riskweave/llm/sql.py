@@ -32,3 +32,69 @@ n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
 SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
 FROM c LEFT JOIN n ON n.a = c.vec_id
 """
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS b FROM d),
+g AS (SELECT r, i, b, lag(b) OVER (PARTITION BY r ORDER BY i) AS a FROM p),
+tot AS (SELECT count(*) AS n FROM g),
+uni AS (SELECT b, count(*) AS c FROM g GROUP BY b), own1 AS (SELECT r, b, count(*) AS c FROM g GROUP BY r, b),
+bi AS (SELECT a, b, count(*) AS c FROM g WHERE a IS NOT NULL GROUP BY a, b),
+own2 AS (SELECT r, a, b, count(*) AS c FROM g WHERE a IS NOT NULL GROUP BY r, a, b),
+len AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+s AS (SELECT g.r,
+        CASE WHEN g.a IS NOT NULL AND bi.c - own2.c > 0 THEN ln(bi.c - own2.c) - ln(ua.c - oa.c)
+             ELSE CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(ub.c - ob.c, 1)) - ln(greatest(tot.n - len.n, 1)) END AS x
+      FROM g JOIN uni ub ON g.b = ub.b JOIN own1 ob ON g.r = ob.r AND g.b = ob.b
+      LEFT JOIN uni ua ON g.a = ua.b LEFT JOIN own1 oa ON g.r = oa.r AND g.a = oa.b
+      LEFT JOIN bi ON g.a = bi.a AND g.b = bi.b LEFT JOIN own2 ON g.r = own2.r AND g.a = own2.a AND g.b = own2.b
+      JOIN len ON g.r = len.r CROSS JOIN tot)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, round(avg(s.x) * 1e6 - 0.3767) / 1e6 AS score
+FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.r, d.doc_id, d.w
+"""
+
+OP5 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
+u AS MATERIALIZED (SELECT DISTINCT doc_id, hash(s) AS s FROM x),
+n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.s = b.s AND a.doc_id <> b.doc_id
+      JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.seen FROM r JOIN e ON r.doc_id = e.a WHERE r.seen < e.b),
+c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+OP1 = """
+WITH RECURSIVE s AS (SELECT source, count(*) AS n, sqrt(CAST(count(*) AS DOUBLE)) * sqrt(sqrt(CAST(count(*) AS DOUBLE))) AS w
+      FROM documents GROUP BY source),
+q AS (SELECT source, n, greatest(1000, 2 * count(*) OVER ()) AS p,
+        w / sum(w) OVER () * (greatest(1000, 2 * count(*) OVER ()) - count(*) OVER ()) AS q,
+        count(*) OVER () AS m FROM s),
+t AS (SELECT source, n, p, CAST(1 + floor(q) + CASE WHEN row_number() OVER (ORDER BY q - floor(q) DESC, source NULLS FIRST)
+        <= p - m - sum(floor(q)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share, CAST(ceil(n / 16.0) AS BIGINT) AS blocks,
+        row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM q),
+f AS (SELECT *, max(CAST(ceil(blocks / CAST(share AS DOUBLE)) AS BIGINT)) OVER () AS frames FROM t),
+frame(slot, done, pick) AS (
+    SELECT CAST(-1 AS BIGINT), (SELECT list(CAST(0 AS BIGINT) ORDER BY i) FROM t), CAST(NULL AS BIGINT)
+    UNION ALL
+    SELECT slot + 1, list_transform(done, lambda d, i: CASE WHEN i = w THEN d + 1 ELSE d END), w
+    FROM (SELECT slot, done, list_sort(list_filter(list_transform(done, lambda d, i: CASE
+              WHEN (d * k.p) // k.a[i] <= slot + 1 THEN struct_pack(due := ((d + 1) * k.p + k.a[i] - 1) // k.a[i], i := i) END),
+              lambda c: c IS NOT NULL))[1].i AS w, k.p
+          FROM frame, (SELECT max(p) AS p, list(share ORDER BY i) AS a FROM t) k) z WHERE slot + 1 < z.p),
+k AS (SELECT pick AS i, list(slot ORDER BY slot) AS slots FROM frame WHERE pick IS NOT NULL GROUP BY pick),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id) - 1 AS rank,
+        row_number() OVER (PARTITION BY source, doc_id) - 1 AS copy FROM documents),
+e AS (SELECT f.*, k.slots, max(((f.blocks - 1) // f.share) * f.p + k.slots[(f.blocks - 1) % f.share + 1]) OVER () AS final
+      FROM f JOIN k ON k.i = f.i),
+b AS (SELECT r.*, e.* EXCLUDE (source), unnest(range(r.rank // 16, e.frames * e.share, e.blocks)) AS kth
+      FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, source, copy, kth // blocks AS epoch, (kth // share) * p + slots[kth % share + 1] AS slot,
+       ((kth // share) * p + slots[kth % share + 1]) * 16 + rank % 16 AS position
+FROM b WHERE (kth // share) * p + slots[kth % share + 1] <= final
+"""
