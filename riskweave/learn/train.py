@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators import metrics as M
+from riskweave.session import cut_lineage
 
 # Learner settings of the reference mapped to Spark ML names.
 BASE_PARAMS = {"stepSize": 0.01, "subsamplingRate": 0.9, "seed": 42}
-# The reference's grid (num_leaves and min_child_weight have no Spark equivalent).
+# The full grid as Spark parameters (num_leaves has no equivalent; the smallest child
+# weight is a share of all weights here). Any subset can be passed to ``grid_search``.
 REFERENCE_GRID = {
+    "minWeightFractionPerNode": [0.0005, 0.001, 0.002],
     "minInstancesPerNode": [50, 100, 150],
     "maxDepth": [3, 5, 7],
     "maxIter": [300, 500],
@@ -32,10 +35,6 @@ REFERENCE_GRID = {
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "auc", "fbeta"]
 
 
-# Fixed value: training rows per task the learner's partitions are sized for.
-ROWS_PER_TASK = 200_000
-
-
 def label_counts(df: DataFrame, label: str) -> dict[int, int]:
     """One grouped count; one row per class reaches the driver."""
     return {int(r[label]): int(r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -48,14 +47,6 @@ def class_weights(df: DataFrame, label: str, counts: dict[int, int] | None = Non
     return {0: 1.0, 1: (neg / pos) if pos else 1.0}
 
 
-def sized(df: DataFrame, n_rows: int) -> DataFrame:
-    """Partitions sized to the data for the iterative learner: ceil(n / ROWS_PER_TASK)
-    tasks, at most the cluster's parallelism (coalesce: no shuffle, never more)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    k = max(1, min(par, -(-n_rows // ROWS_PER_TASK)))
-    return df.coalesce(k)
-
-
 def weight_column(label: str, weights: dict[int, float]):
     return F.when(F.col(label) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
 
@@ -118,7 +109,7 @@ def fit(train: DataFrame, features: list[str], label: str, balance: bool = True,
     weights = class_weights(train, label, counts) if balance else None
     nullable = nullable_columns(train, features) if nullable is None else nullable
     pipe = build_pipeline(features, label, nullable, "weight" if balance else None, relative_error, **params)
-    return pipe.fit(sized(prepare(train, label, weights), sum(counts.values())))
+    return pipe.fit(prepare(train, label, weights))
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -133,6 +124,8 @@ def evaluate(pred: DataFrame, label: str, beta: float = 10.0, proba: str = "prob
              predicted: str = "prediction") -> DataFrame:
     """ML7/ML8 on a prediction table: one row of accuracy, precision, recall, f1,
     exact AUC, F-beta."""
+    # scored once: both metrics read the checkpointed (label, class, probability) table
+    pred = cut_lineage(pred.select(label, predicted, proba))
     counts = M.metrics_from_counts(M.confusion_counts(pred, label, predicted), beta)
     auc = M.roc_auc(pred, label, proba).select("auc")
     return _one_row_join(counts, auc)
@@ -165,8 +158,7 @@ def grid_search(train: DataFrame, features: list[str], label: str, grid: dict[st
                                            metricName="fMeasureByLabel", metricLabel=1.0, beta=beta)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
                         numFolds=k, parallelism=parallelism, seed=42)
-    data = sized(prepare(train, label, weights).withColumn(fold_col, F.col(fold_col).cast("int")),
-                 sum(counts.values()))
+    data = prepare(train, label, weights).withColumn(fold_col, F.col(fold_col).cast("int"))
     cvm = cv.fit(data)
     rows = [(i, json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(s))
             for i, (m, s) in enumerate(zip(maps, cvm.avgMetrics))]

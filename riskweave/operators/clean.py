@@ -11,6 +11,9 @@ from riskweave.session import cut_lineage
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
+_INT_BOUND, _FLOAT_BOUND = (1 << 31) - 1, 3.4028234663852886e38  # fixed values: largest int and float
+
+
 def narrow_types(df: DataFrame, key_marker: str = "SK_ID") -> DataFrame:
     """Type normalisation, rules evaluated in order per column:
 
@@ -18,35 +21,38 @@ def narrow_types(df: DataFrame, key_marker: str = "SK_ID") -> DataFrame:
     2. strings stay strings (parquet dictionary-encodes them)
     3. numeric columns holding exactly the values {0, 1} (both present, no NULL) -> boolean
     4. double -> float
-    5. long/int -> int (``try_cast``: out-of-range values become NULL, never an error)
+    5. long/int -> int
 
-    Rule 3 needs one aggregate over the table; its result is one row."""
-    fields = df.schema.fields
-    nums = [f.name for f in fields if isinstance(f.dataType, _NUMERIC) and key_marker not in f.name]
-    binary = set()
-    if nums:
+    A column is narrowed only if all its values fit: the values' bounds come from the same
+    one-row aggregate as rule 3. Otherwise it stays long or double."""
+    fields = [f for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
+    row = None
+    if fields:
         checks = []
-        for c in nums:
-            x = F.col(f"`{c}`")
-            checks.append((F.count_if(x.isNull() | ~x.isin(0, 1)) == 0)
-                          & (F.count_if(x == 1) > 0) & (F.count_if(x == 0) > 0))
-        row = df.agg(*[ch.alias(f"b{i}") for i, ch in enumerate(checks)]).first()
-        binary = {c for i, c in enumerate(nums) if row[f"b{i}"]}
+        for k, f in enumerate(fields):
+            x = F.col(f"`{f.name}`")
+            checks.append(((F.count_if(x.isNull() | ~x.isin(0, 1)) == 0)
+                           & (F.count_if(x == 1) > 0) & (F.count_if(x == 0) > 0)).alias(f"b{k}"))
+            wide = F.abs(x.cast("double"))
+            checks.append((F.coalesce(F.max(F.when(~F.isnan(wide) & (wide < float("inf")), wide)), F.lit(0.0))).alias(f"m{k}"))
+        row = df.agg(*checks).first()
+    bounds = {f.name: (row[f"b{k}"], row[f"m{k}"]) for k, f in enumerate(fields)}
     out = []
-    for f in fields:
+    for f in df.schema.fields:
         x = F.col(f"`{f.name}`")
+        binary, most = bounds.get(f.name, (False, 0.0))
+        whole = isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
         if key_marker in f.name:
-            out.append(F.coalesce(x, F.lit(0)).try_cast("int").alias(f.name))
-        elif isinstance(f.dataType, T.StringType):
+            x = F.coalesce(x, F.lit(0).cast(f.dataType))
+            out.append((x.try_cast("int") if most <= _INT_BOUND else x.cast("long") if whole else x).alias(f.name))
+        elif isinstance(f.dataType, T.StringType) or f.name not in bounds:
             out.append(x)
-        elif f.name in binary:
+        elif binary:
             out.append((x == 1).alias(f.name))
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(x.cast("float").alias(f.name))
-        elif isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-            out.append(x.try_cast("int").alias(f.name))
+        elif whole:
+            out.append(x.cast("int").alias(f.name) if most <= _INT_BOUND else x)
         else:
-            out.append(x)
+            out.append(x.cast("float").alias(f.name) if most <= _FLOAT_BOUND else x)
     return df.select(*out)
 
 
@@ -71,9 +77,9 @@ def with_position(df: DataFrame, order_col: str, name: str = "POSITION",
         acc += c
     if not offsets:
         return tagged.drop("_mid").withColumn(name, F.lit(None).cast("long"))
-    omap = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))])
+    held = F.lit([offsets.get(p, 0) for p in range(max(offsets) + 1)])  # indexed by partition
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return tagged.withColumn(name, (omap[pid] + local + 1).cast("long")).drop("_mid")
+    return tagged.withColumn(name, (F.get(held, pid.cast("int")) + local + 1).cast("long")).drop("_mid")
 
 
 def label_split(df: DataFrame, label: str = "TARGET", key: str = "SK_ID_CURR"):

@@ -79,14 +79,14 @@ def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | Non
     sum(x-c) = sum(x-a) + n(a-c),  sum((x-c)^2) = sum((x-a)^2) + 2(a-c)sum(x-a) + n(a-c)^2,
     sum((x-c)(y-d)) = sum((x-a)(y-b)) + (a-c)sum(y-b) + (b-d)sum(x-a) + n(a-c)(b-d).
     ``tasks`` bounds the number of partial Gram matrices (coalesce, no shuffle);
-    default: the session's default parallelism. With ``materialize`` the pair table
+    default: the partitions of the input. With ``materialize`` the pair table
     (p^2/2 rows) is checkpointed."""
     cols = numeric_columns(df) if cols is None else list(cols)
     p = len(cols)
     spark = df.sparkSession
     x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
-    tasks = tasks or spark.sparkContext.defaultParallelism
-    x = x.coalesce(tasks)
+    if tasks:
+        x = x.coalesce(tasks)
     ship_package(spark)
     parts = x.mapInPandas(_gram_partition(p), GRAM_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
     # common shift per column: mean of the task shifts (diagonal rows carry a = b = shift)
@@ -119,12 +119,20 @@ def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | Non
     return out
 
 
+def split_label(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pair table of [label] + features as (pairs between features, positions as
+    without the label; correlation of each feature with the label)."""
+    between = pairs.where(F.col("pos_i") > 0).withColumns({"pos_i": F.col("pos_i") - 1, "pos_j": F.col("pos_j") - 1})
+    with_label = pairs.where(F.col("pos_i") == 0).select(
+        F.col("col_j").alias("feature"), (F.col("pos_j") - 1).alias("pos"), "r")
+    return between, with_label
+
+
 def target_corr(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
     """(feature, pos, r) correlation of every column with the target (pairwise
     complete). Uses the Gram operator over [target] + cols."""
     pc = pairwise_corr(df, [target] + [c for c in cols if c != target])
-    return pc.where(F.col("pos_i") == 0).select(F.col("col_j").alias("feature"),
-                                               (F.col("pos_j") - 1).alias("pos"), "r")
+    return split_label(pc)[1]
 
 
 def top_bottom(corr_df: DataFrame, k: int = 10, round_digits: int | None = 6) -> DataFrame:
@@ -154,15 +162,15 @@ def collinear_cut(df: DataFrame, cols: list[str] | None = None, threshold: float
                   protect=()) -> tuple[DataFrame, list[str]]:
     """SEL4-SEL6: drop the collinear columns from ``df`` (names collected: metadata)."""
     cols = numeric_columns(df) if cols is None else cols
-    pairs = pairwise_corr(df, [c for c in cols if c not in set(protect)])
-    drop = [r["feature"] for r in collinear_drop(pairs, threshold).collect()]
+    pairs = pairwise_corr(df, cols)  # protected columns still remove others
+    drop = [r["feature"] for r in collinear_drop(pairs, threshold).collect() if r["feature"] not in set(protect)]
     return df.drop(*drop), drop
 
 
 def topk_features(corr_df: DataFrame, k: int) -> DataFrame:
-    """SEL7/SET3: k most positive (NULLs last) and k most negative (after dropna)
-    features, as a set."""
-    return top_bottom(corr_df, k).select("feature").distinct()
+    """SEL7/SET3: k most positive and k most negative features, as a set; features
+    without a correlation are dropped before both lists."""
+    return top_bottom(corr_df.where(F.col("r").isNotNull()), k).select("feature").distinct()
 
 
 def pairwise_corr_agg(df: DataFrame, cols: list[str]) -> DataFrame:

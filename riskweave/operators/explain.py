@@ -2,10 +2,10 @@
 
 * tree contributions: exact path-dependent Shapley values of a Spark GBT model,
   computed per leaf path. The leaf list (bounded by maxIter x 2^maxDepth) is built
-  from the saved node table and shipped in the task closure; rows are processed
+  from the saved node table and broadcast; rows are processed
   in Arrow batches by ``mapInPandas`` with numpy.
 * linear contributions: pure column expressions (the SQL-checkable twin).
-* waterfall / global importance / local rows: windows partitioned by client."""
+* waterfall: arrays of the client's own row; global importance: one aggregate."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,40 +100,48 @@ def contributions_numpy(X: np.ndarray, paths: list[LeafPath], p: int) -> np.ndar
     return phi
 
 
-def tree_contributions(df: DataFrame, key: str, feature_cols: list[str], paths: list[LeafPath],
+def tree_contributions(df: DataFrame, keep: str | list[str], feature_cols: list[str], paths: list[LeafPath],
                        feature_names: list[str] | None = None) -> DataFrame:
-    """XP1: wide table (key, phi_<feature>...) of additive contributions on the
-    model's margin scale; base + sum(phi) = margin."""
+    """XP1: wide table (kept columns, phi_<feature>...) of additive contributions on the
+    model's margin scale; base + sum(phi) = margin. ``keep`` columns pass through, so
+    nothing has to be joined back. The leaf paths travel as one broadcast (a bounded
+    node table), not in every task's closure."""
+    keep = [keep] if isinstance(keep, str) else list(keep)
     names = feature_names or feature_cols
     p = len(feature_cols)
-    schema = T.StructType([df.schema[key]] + [T.StructField(n, T.DoubleType()) for n in names])
-    x = df.select(key, *[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(feature_cols)])
+    schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(n, T.DoubleType()) for n in names])
+    x = df.select(*keep, *[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(feature_cols)])
+    ship_package(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(paths)
 
     def run(batches):
         for pdf in batches:
             X = pdf[[f"x{k}" for k in range(p)]].to_numpy(dtype=np.float64)
-            phi = contributions_numpy(X, paths, p)
-            out = pd.DataFrame(phi, columns=names)
-            out.insert(0, key, pdf[key].to_numpy())
-            yield out
-    ship_package(df.sparkSession)
+            phi = pd.DataFrame(contributions_numpy(X, held.value, p), columns=names, index=pdf.index)
+            yield pd.concat([pdf[keep], phi], axis=1)
     return x.mapInPandas(run, schema)
 
 
-def linear_contributions(df: DataFrame, key: str, cols: list[str], weights: list[float]) -> tuple[DataFrame, float]:
-    """XP7: phi_i = w_i (x_i - mean_i) / sd_i (standardised linear scorer), long
-    table (key, feature, phi); base = 0 (the margin at the means). One aggregate
-    for means and standard deviations (2p numbers reach the driver)."""
-    stats = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)],
+def linear_phi(fit_on: DataFrame, cols: list[str], weights: list[float]) -> dict[str, Column]:
+    """phi_i = w_i (x_i - mean_i) / sd_i as columns; means and standard deviations from
+    one aggregate over ``fit_on`` (2p numbers reach the driver)."""
+    stats = fit_on.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)],
                    *[F.stddev_samp(c).alias(f"s{k}") for k, c in enumerate(cols)]).first()
-    terms = []
+    out = {}
     for k, (c, w) in enumerate(zip(cols, weights)):
         m, s = stats[f"m{k}"], stats[f"s{k}"]
-        if m is None or not s:
-            phi = F.lit(0.0)
-        else:
-            phi = F.lit(float(w)) * (F.col(c).cast("double") - F.lit(m)) / F.lit(s)
-        terms.append(F.struct(F.lit(c).alias("feature"), F.coalesce(phi, F.lit(0.0)).alias("phi")))
+        phi = F.lit(0.0) if m is None or not s else F.lit(float(w)) * (F.col(c).cast("double") - F.lit(m)) / F.lit(s)
+        out[c] = F.coalesce(phi, F.lit(0.0))
+    return out
+
+
+def linear_contributions(df: DataFrame, key: str, cols: list[str], weights: list[float],
+                         fit_on: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """XP7: contributions of the standardised linear scorer as a long table (key,
+    feature, phi); base = 0 (the margin at the means). ``fit_on``: the rows that give
+    means and deviations, default ``df``."""
+    phi = linear_phi(df if fit_on is None else fit_on, cols, weights)
+    terms = [F.struct(F.lit(c).alias("feature"), p.alias("phi")) for c, p in phi.items()]
     long = df.select(key, F.explode(F.array(*terms)).alias("t")).select(key, "t.feature", "t.phi")
     return long, 0.0
 
@@ -143,24 +151,28 @@ def global_importance(long: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
 
 
-def waterfall(long: DataFrame, key: str, base: float, top: int = 15, other: bool = False) -> DataFrame:
-    """XP5: per client the ``top`` largest |phi| (ties by feature name), drawn in
+def waterfall(df: DataFrame, key: str, phi: dict[str, Column], base: float, top: int = 15,
+              other: bool = False) -> DataFrame:
+    """XP5: per client the ``top`` largest |phi| (ties by feature name, later first), drawn in
     ascending |phi| order from the base: end = base + running sum, start = end - phi.
-    ``other=True`` adds one first step holding the sum of the remaining features, so
-    the last ``end`` is the full margin. Windows are partitioned by client (one
-    client's features per window)."""
-    rk = Window.partitionBy(key).orderBy(F.abs("phi").desc(), F.col("feature").desc())
-    ranked = long.withColumn("_r", F.row_number().over(rk))
-    kept = ranked.where(F.col("_r") <= top).withColumn("_o", F.lit(1))
+    ``phi`` maps features to contribution columns of the client's own row, so
+    everything happens in arrays of that row: no shuffle. ``other=True`` adds one first
+    step with the sum of the remaining features, so the last ``end`` is the full margin."""
+    items = F.array(*[F.struct(c.cast("double").alias("phi"), F.lit(f).alias("feature")) for f, c in phi.items()])
+    order = lambda a, b: (F.when(F.abs(a["phi"]) < F.abs(b["phi"]), -1).when(F.abs(a["phi"]) > F.abs(b["phi"]), 1)
+                          .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
+    x = df.select(key, F.array_sort(items, order).alias("_a"))
+    cut = F.greatest(F.size("_a") - F.lit(top), F.lit(0))
+    kept = F.slice("_a", cut + 1, F.greatest(F.size("_a") - cut, F.lit(0)))
     if other:
-        rest = (ranked.where(F.col("_r") > top).groupBy(key)
-                .agg(F.sum("phi").alias("phi")).select(key, F.lit("other").alias("feature"), "phi",
-                                                       F.lit(0).alias("_r"), F.lit(0).alias("_o")))
-        kept = kept.unionByName(rest)
-    asc = Window.partitionBy(key).orderBy("_o", F.abs("phi").asc(), F.col("feature").asc())
-    run = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = kept.select(key, "feature", "phi", F.row_number().over(asc).alias("step"),
-                      (F.lit(float(base)) + F.sum("phi").over(run)).alias("end"))
+        rest = F.aggregate(F.slice("_a", F.lit(1), cut), F.lit(0.0), lambda t, e: t + e["phi"])
+        kept = F.concat(F.when(cut > 0, F.array(F.struct(rest.alias("phi"), F.lit("other").alias("feature"))))
+                        .otherwise(F.slice("_a", F.lit(1), F.lit(0))), kept)
+    x = x.select(key, kept.alias("_k"))
+    ends = F.aggregate("_k", F.array(F.lit(float(base))), lambda t, e: F.concat(t, F.array(F.element_at(t, -1) + e["phi"])))
+    x = x.select(key, F.posexplode(F.arrays_zip(F.col("_k").alias("k"), F.slice(ends, F.lit(2), F.size("_k")).alias("end"))))
+    out = x.select(key, F.col("col.k.feature").alias("feature"), F.col("col.k.phi").alias("phi"),
+                   (F.col("pos") + 1).alias("step"), F.col("col.end").alias("end"))
     return out.select(key, "feature", "phi", "step", (F.col("end") - F.col("phi")).alias("start"), "end",
                       F.when(F.col("phi") > 0, F.lit("increase")).otherwise(F.lit("decrease")).alias("direction"))
 

@@ -7,13 +7,11 @@ partitions with per-partition offsets."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from riskweave.session import cut_lineage, ship_package
+from riskweave.session import cut_lineage
 
 
 def sweep_thresholds(start: float = 0.05, stop: float = 0.95, step: float = 0.01) -> list[float]:
@@ -60,47 +58,25 @@ def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-# Fixed value: up to this many rows a running sum is one window in one task.
-SMALL_CUMULATIVE_ROWS = 100_000
-
-
 def cumulative(df: DataFrame, order_col: str, cols: list[str], descending: bool = False,
                partitions: int | None = None) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` in ``order_col`` order.
 
-    The input is already aggregated (e.g. one row per distinct score). If its row
-    count is at most SMALL_CUMULATIVE_ROWS (checked) one ordered window is cheapest;
-    otherwise no global window: range partitions, per-partition totals -> offsets,
-    local cumsum."""
-    spark = df.sparkSession
+    The input is already aggregated (e.g. one row per distinct score). Rows are
+    range-partitioned and carry the number of their range as a column, fixed by a
+    checkpoint; a window runs inside each range and the sums of the ranges before it
+    (one row per range) are joined on that column. The result does not depend on
+    how its partitions are merged later."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    df = df.persist()
-    if df.limit(SMALL_CUMULATIVE_ROWS + 1).count() <= SMALL_CUMULATIVE_ROWS:
-        w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(F.col(c).cast("double")).over(w).alias(f"cum_{c}") for c in cols])
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(n, key).sortWithinPartitions(key))
-    tot = ranged.groupBy(F.spark_partition_id().alias("pid")).agg(*[F.sum(c).alias(c) for c in cols]).collect()
-    offsets, acc = {}, np.zeros(len(cols))
-    for r in sorted(tot, key=lambda r: r["pid"]):
-        offsets[r["pid"]] = acc.copy()
-        acc += np.array([r[c] or 0 for c in cols], dtype=np.float64)
-    schema = T.StructType(ranged.schema.fields + [T.StructField(f"cum_{c}", T.DoubleType()) for c in cols])
-
-    def run(batches):
-        pid = TaskContext.get().partitionId()
-        run_tot = offsets.get(pid, np.zeros(len(cols))).copy()
-        for pdf in batches:
-            vals = pdf[cols].to_numpy(dtype=np.float64)
-            cs = np.cumsum(vals, axis=0) + run_tot
-            if len(pdf):
-                run_tot = cs[-1].copy()
-            out = pdf.copy()
-            for k, c in enumerate(cols):
-                out[f"cum_{c}"] = cs[:, k]
-            yield out
-    ship_package(spark)
-    return ranged.mapInPandas(run, schema)
+    ranged = cut_lineage(df.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = (ranged.groupBy(F.col("_range").alias("_r")).agg(*[F.sum(F.col(c).cast("double")).alias(f"_t_{c}") for c in cols])
+               .select("_r", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0.0)).alias(f"_o_{c}") for c in cols]))
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.sum(F.col(c).cast("double")).over(inside).alias(f"_l_{c}") for c in cols])
+    return local.join(offsets, F.col("_range") == F.col("_r")).select(
+        *df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"cum_{c}") for c in cols])
 
 
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -115,13 +91,14 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """ML7 exact, tie-aware AUC = sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N)."""
+    """ML7 exact, tie-aware AUC = sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N);
+    NULL when only one class is present."""
     sc = score_counts(df, label, score)
     cum = cumulative(sc, "score", ["neg"])
     below = F.col("cum_neg") - F.col("neg")
     return cum.agg(
-        (F.sum(F.col("pos") * (below + F.col("neg") / 2.0)) /
-         (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
+                     F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
@@ -141,7 +118,9 @@ def threshold_sweep(df: DataFrame, label: str, score: str, beta: float = 10.0,
     ts = thresholds or sweep_thresholds()
     bk = Bucketizer(splits=[-float("inf")] + ts + [float("inf")], inputCol=score, outputCol="_b",
                     handleInvalid="keep")
-    counts = (bk.transform(df.select(F.col(label).alias("y"), F.col(score).cast("double").alias(score)))
+    x = F.col(score).cast("double")  # a missing score is below every threshold
+    x = F.when(x.isNull() | F.isnan(x), F.lit(float("-inf"))).otherwise(x)
+    counts = (bk.transform(df.select(F.col(label).alias("y"), x.alias(score)))
               .groupBy("_b").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")))
     spark = df.sparkSession
     tdf = spark.createDataFrame([(k + 1, t) for k, t in enumerate(ts)], "_b int, threshold double")

@@ -30,7 +30,8 @@ def validate_requests(requests: DataFrame, raw: str, n_clients: int) -> DataFram
     is_int = F.col(raw).rlike(INTEGER_PATTERN)
     cid = F.when(is_int, F.col(raw).try_cast("bigint"))
     in_range = (cid >= 1) & (cid <= n_clients)
-    status = (F.when(~is_int | cid.isNull(), F.lit("not_integer"))
+    # an integer too large for bigint is an id that does not exist
+    status = (F.when(~F.coalesce(is_int, F.lit(False)), F.lit("not_integer"))
               .when(in_range, F.lit("ok")).otherwise(F.lit("not_found")))
     msg = (F.when(status == "not_integer", F.lit(MSG_NOT_INTEGER))
            .when(status == "not_found", F.lit(MSG_NOT_FOUND.format(n=n_clients))))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.correlate import (
-    collinear_drop, numeric_columns, pairwise_corr, target_corr, topk_features,
+    collinear_drop, numeric_columns, pairwise_corr, split_label, topk_features,
 )
 from riskweave.operators.profile import missing_cut
 
@@ -30,15 +30,17 @@ class SelectionSpec:
 def fit_selection(df: DataFrame, label: str, key: str, missing_threshold: float = 75.0,
                   collinear_threshold: float = 0.8, k: int = 100,
                   fit_on: Column | None = None) -> SelectionSpec:
-    """``fit_on`` restricts the rows the cuts are fitted on (default: every
+    """``fit_on`` restricts the rows all cuts are fitted on (default: every
     labelled row, as the reference does; pass e.g. ``F.col('split') == 'train'``
     to fit on the training part only)."""
-    base, missing = missing_cut(df, missing_threshold, protect=[key, label])
-    rows = base.where(F.col(label).isNotNull())
+    rows = df.where(F.col(label).isNotNull())
     if fit_on is not None:
         rows = rows.where(fit_on)
+    rows, missing = missing_cut(rows, missing_threshold, protect=[key, label])
     feats = numeric_columns(rows, exclude=[key, label])
-    removed = {r["feature"] for r in collinear_drop(pairwise_corr(rows, feats), collinear_threshold).collect()}
-    chosen = {r["feature"] for r in topk_features(target_corr(rows, label, feats), k).collect()}
-    keep = [c for c in base.columns if c in (chosen - removed) or c in (key, label)]
+    pairs = pairwise_corr(rows, [label, *feats])  # one pass: features with each other and with the label
+    between, with_label = split_label(pairs)
+    removed = {r["feature"] for r in collinear_drop(between, collinear_threshold).collect()}
+    chosen = {r["feature"] for r in topk_features(with_label, k).collect()}
+    keep = [c for c in rows.columns if c in (chosen - removed) or c in (key, label)]
     return SelectionSpec(tuple(keep), tuple(missing), tuple(sorted(removed)))

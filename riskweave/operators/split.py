@@ -3,8 +3,8 @@
 Every row gets a pseudo-uniform number ``u = hash_unit(key, seed)``. Sampling is a
 threshold on u (no shuffle). Exact stratified splits need each row's rank inside its
 label by u. A window partitioned by the label alone would put a 2-valued label into
-two tasks, so ranks are computed in (label, u-bucket) groups: bucket counts (a few
-thousand rows at most) give per-bucket offsets, and the window runs per bucket.
+two tasks, so ranks are computed in (label, u-bucket) groups: bucket counts
+(sqrt of the rows at most) give per-bucket offsets, and the window runs per bucket.
 A label holding almost all rows is therefore spread over all buckets."""
 
 from __future__ import annotations
@@ -20,44 +20,38 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> Dat
     return df.where(hash_unit(key, seed) < F.lit(float(fraction)))
 
 
-# Fixed value: the largest offsets table (labels x buckets rows) that is broadcast.
-MAX_BROADCAST_ROWS = 100_000
-
-
-def rank_in_label(df: DataFrame, key: str, label: str, seed: int = 42, buckets: int = 256) -> DataFrame:
-    """Adds ``u``, ``rank`` (1-based within label, by u then key) and ``n_label``."""
-    u = hash_unit(key, seed)
-    x = df.withColumn("u", u).withColumn("_b", F.floor(F.col("u") * buckets).cast("int"))
-    counts = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c")).persist()
-    small = counts.count() <= MAX_BROADCAST_ROWS
-    # offsets over at most (labels x buckets) rows
-    w = Window.partitionBy(label).orderBy("_b")
-    offs = counts.select(label, "_b",
-                         (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-                         F.sum("_c").over(Window.partitionBy(label)).alias("n_label"))
-    offs = offs.na.fill({"_off": 0})
-    if small:  # size checked above; otherwise a regular (shuffled) join
-        offs = F.broadcast(offs)
-    ranked = x.join(offs, [label, "_b"], "left")
+def rank_in_label(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
+    """Adds ``u``, ``rank`` (1-based within label, by u then key) and ``n_label``. A label
+    of n rows is ranked in ceil(sqrt(n)) ranges of u, so no task holds a whole label;
+    NULL labels are a label of their own."""
+    n_label = F.count(F.lit(1))
+    sizes = df.groupBy(F.col(label).alias("_sl")).agg(
+        n_label.alias("n_label"), F.ceil(F.sqrt(n_label.cast("double"))).cast("int").alias("_nb"))
+    x = df.withColumn("u", hash_unit(key, seed)).join(sizes, F.col(label).eqNullSafe(F.col("_sl"))).drop("_sl")
+    x = x.withColumn("_b", F.floor(F.col("u") * F.col("_nb")).cast("int")).drop("_nb")
+    before = Window.partitionBy("_ol").orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
+    offs = x.groupBy(F.col(label).alias("_ol"), F.col("_b").alias("_ob")).agg(F.count(F.lit(1)).alias("_c")).select(
+        "_ol", "_ob", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    ranked = x.join(offs, F.col(label).eqNullSafe(F.col("_ol")) & (F.col("_b") == F.col("_ob"))).drop("_ol", "_ob")
     wb = Window.partitionBy(label, "_b").orderBy("u", key)
     return ranked.withColumn("rank", F.col("_off") + F.row_number().over(wb)).drop("_b", "_off")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, fractions=(0.6, 0.2, 0.2),
-                     names=("train", "val", "test"), seed: int = 42, buckets: int = 256) -> DataFrame:
+                     names=("train", "val", "test"), seed: int = 42,
+                     keep_rank: bool = False) -> DataFrame:
     """SMP2: exact per-label proportions: with n rows in a label, the first
     floor(f1*n) ranks go to the first part, up to floor((f1+f2)*n) to the second,
     the rest to the third."""
-    r = rank_in_label(df, key, label, seed, buckets)
+    r = rank_in_label(df, key, label, seed)
     c1 = F.floor(F.col("n_label") * F.lit(fractions[0]))
     c2 = F.floor(F.col("n_label") * F.lit(fractions[0] + fractions[1]))
     split = (F.when(F.col("rank") <= c1, F.lit(names[0]))
              .when(F.col("rank") <= c2, F.lit(names[1])).otherwise(F.lit(names[2])))
-    return r.withColumn("split", split).drop("u", "rank", "n_label")
+    return r.withColumn("split", split).drop("u", "n_label", *([] if keep_rank else ["rank"]))
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42,
-                     buckets: int = 256) -> DataFrame:
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """SMP3: fold = (rank in label - 1) mod k -> label shares equal per fold (±1 row)."""
-    r = rank_in_label(df, key, label, seed, buckets)
+    r = rank_in_label(df, key, label, seed)
     return r.withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("u", "rank", "n_label")

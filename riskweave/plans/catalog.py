@@ -32,5 +32,6 @@ def load_all() -> None:
         q_select,
         q_metrics,
         q_model,
+        q_trees,
         q_serve,
     )

@@ -16,7 +16,8 @@ from riskweave.learn import train as L
 from riskweave.operators import metrics as M
 from riskweave.operators.correlate import numeric_columns
 from riskweave.operators.explain import leaf_paths, node_rows, split_counts
-from riskweave.operators.split import stratified_folds, stratified_split
+from riskweave.operators.select import fit_selection
+from riskweave.operators.split import stratified_split
 from riskweave.plans import entities as E
 from riskweave.session import scratch_path
 from riskweave.sources.bundle import gbt_node_table, load_bundle, save_bundle
@@ -37,9 +38,10 @@ def model_table(spark: SparkSession, d: str) -> DataFrame:
     lab = E.labelled(E.doc_features(spark, d))
     lab = lab.withColumn("N_DIGITS", F.when(F.col("LANG_de") == 0, F.col("N_DIGITS")))
     lab = lab.withColumn(LABEL, F.col(LABEL).cast("int"))
-    split = stratified_split(lab, KEY, LABEL, (0.6, 0.2, 0.2), seed=42)
-    folds = stratified_folds(split.where(F.col("split") == "train").select(KEY, LABEL), KEY, LABEL, 5, seed=42)
-    return split.join(folds.select(KEY, "fold"), KEY, "left")
+    split = stratified_split(lab, KEY, LABEL, (0.6, 0.2, 0.2), seed=42, keep_rank=True)
+    # the training part holds the first ranks of every label, so its folds follow from the same ranking
+    fold = F.when(F.col("split") == "train", ((F.col("rank") - 1) % 5).cast("int"))
+    return split.withColumn("fold", fold).drop("rank")
 
 
 def feature_list(df: DataFrame) -> list[str]:
@@ -59,6 +61,13 @@ class Trained:
 _CACHE: dict[tuple, Trained] = {}
 
 
+def forget() -> None:
+    """Drops the fitted models and releases the tables they hold."""
+    for t in _CACHE.values():
+        t.table.unpersist()
+    _CACHE.clear()
+
+
 def trained(spark: SparkSession, d: str) -> Trained:
     """Fit on the train part, tune the F-beta threshold on the validation part,
     save the bundle (memoised per application and data folder)."""
@@ -66,7 +75,10 @@ def trained(spark: SparkSession, d: str) -> Trained:
     if k in _CACHE:
         return _CACHE[k]
     table = model_table(spark, d).cache()
-    feats = feature_list(table)
+    # the selection fitted on the training rows feeds the learner (missing, collinear and top-k cuts)
+    spec = fit_selection(table.select(KEY, LABEL, "split", *feature_list(table)), LABEL, KEY,
+                         fit_on=F.col("split") == "train")
+    feats = [c for c in feature_list(table) if c in spec.keep]
     train = table.where(F.col("split") == "train")
     model = L.fit(train, feats, LABEL, **MODEL_PARAMS)
     val = L.predict(model, table.where(F.col("split") == "val"), [KEY, LABEL])
@@ -83,13 +95,13 @@ def input_names(inputs: list[str]) -> list[str]:
     return [c[:-4] if c.endswith("_imp") else c for c in inputs]
 
 
-def assembled(t: Trained, df: DataFrame, keep: list[str]) -> DataFrame:
-    """Model input vector expanded to columns x0..x{p-1}, plus the margin."""
-    out = t.model.transform(df)
+def assembled(t: Trained, df: DataFrame, keep: list[str], model: PipelineModel | None = None) -> DataFrame:
+    """One transform: model input vector expanded to columns x0..x{p-1}, margin and probability."""
+    out = (model or t.model).transform(df)
     xv = vector_to_array("features")
     p = len(t.model_inputs)
     return out.select(*keep, *[xv[k].alias(f"x{k}") for k in range(p)],
-                      vector_to_array("rawPrediction")[1].alias("margin"))
+                      vector_to_array("rawPrediction")[1].alias("margin"), vector_to_array("probability")[1].alias("proba"))
 
 
 def paths_of(spark: SparkSession, t: Trained):
@@ -98,13 +110,14 @@ def paths_of(spark: SparkSession, t: Trained):
 
 
 def best_features(spark: SparkSession, t: Trained, n: int = N_BEST) -> list[str]:
-    """SEL8: top-n model inputs by split count (ties by name). Inputs never split
-    on count 0 and fill the list, as a head(n) over all features does. At most one
-    row per model input reaches the driver."""
+    """SEL8: top-n source columns by split count (ties by name); the splits on a column's
+    NULL indicator count for the column. Columns never split on count 0 and fill the
+    list, as a head(n) over all features does. At most one row per model input reaches the driver."""
     _, nodes = paths_of(spark, t)
-    names = input_names(t.model_inputs)
-    counts = {r["feature"]: r["split_count"] for r in split_counts(nodes, names).collect()}
-    return sorted(names, key=lambda f: (-counts.get(f, 0), f))[:n]
+    counts = dict.fromkeys(t.features, 0)
+    for r in split_counts(nodes, input_names(t.model_inputs)).collect():
+        counts[r["feature"].removesuffix("_isna")] += r["split_count"]
+    return sorted(counts, key=lambda f: (-counts[f], f))[:n]
 
 
 def bundle_meta(spark: SparkSession, t: Trained) -> dict:

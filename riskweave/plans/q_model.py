@@ -4,6 +4,7 @@ bundle, importances, tree contributions. Model-dependent outputs have no SQL ora
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalar import round_doubles
@@ -27,14 +28,12 @@ KEY, LABEL = E.KEY, E.LABEL
 SELECT SK_ID_CURR, coalesce(N_DIGITS, m) AS N_DIGITS_imp,
   CAST(N_DIGITS IS NULL AS DOUBLE) AS N_DIGITS_isna FROM x, med""")
 def q_impute_indicators(spark, d):
-    """ML3: exact median imputation (lower median) plus a NULL indicator. The
-    training pipeline uses Spark's approximate ``Imputer``; this exact variant
-    finds the median with counts per value and range-partitioned running sums."""
+    """ML3: the training pipeline's own preprocessing stages (NULL indicator, median
+    imputation), with the exact quantile."""
     lab = E.labelled(E.doc_features(spark, d)).select(KEY, "LANG_de", "N_DIGITS")
     x = lab.withColumn("N_DIGITS", F.when(F.col("LANG_de") == 0, F.col("N_DIGITS"))).drop("LANG_de")
-    med = M.exact_lower_quantile(x, "N_DIGITS", 0.5)
-    return x.select(KEY, F.coalesce(F.col("N_DIGITS"), F.lit(med).cast("double")).alias("N_DIGITS_imp"),
-                    F.col("N_DIGITS").isNull().cast("double").alias("N_DIGITS_isna"))
+    stages, _ = L.preprocess_stages(["N_DIGITS"], ["N_DIGITS"], relative_error=0.0)
+    return Pipeline(stages=stages).fit(x).transform(x).select(KEY, "N_DIGITS_imp", "N_DIGITS_isna")
 
 
 @register("q_gbt_predict")
@@ -87,7 +86,7 @@ def q_split_importance(spark, d):
 def q_select_best_features(spark, d):
     """SEL9: training rows restricted to the top-20 split-count features + label."""
     t = P.trained(spark, d)
-    best = [f for f in P.best_features(spark, t) if f in t.features]
+    best = P.best_features(spark, t)
     return t.table.where(F.col("split") == "train").select(*best, F.col(LABEL).alias("Target"))
 
 
@@ -97,10 +96,8 @@ def q_refit(spark, d):
     threshold is carried over, not re-tuned; metrics on the test part."""
     t = P.trained(spark, d)
     meta = P.bundle_meta(spark, t)
-    best = [f for f in P.best_features(spark, t) if f in t.features]
-    params = {k: v for k, v in meta["params"].items() if k in ("maxIter", "maxDepth", "stepSize",
-                                                                "minInstancesPerNode", "subsamplingRate", "seed")}
-    model = L.fit(t.table.where(F.col("split") == "train"), best, LABEL, **params)
+    best = P.best_features(spark, t)
+    model = L.fit(t.table.where(F.col("split") == "train"), best, LABEL, **meta["params"])
     test = L.predict(model, t.table.where(F.col("split") == "test"), [KEY, LABEL])
     test = M.apply_threshold(test.drop("prediction"), "proba", meta["threshold"])
     m = L.evaluate(test, LABEL, P.BETA)
@@ -110,13 +107,16 @@ def q_refit(spark, d):
 
 @register("q_run_record")
 def q_run_record(spark, d):
-    """ML15: one run row (parameters, validation metrics, tag) appended to a table."""
+    """ML15: run rows (parameters, metrics of the training and the validation part, tag)
+    appended one after the other to one table."""
     t = P.trained(spark, d)
-    val = L.predict(t.model, t.table.where(F.col("split") == "val"), [KEY, LABEL])
-    m = L.evaluate(val, LABEL, P.BETA).first().asDict()
     path = scratch_path(spark, "runs")
-    return L.run_record(path, spark, "gbt fbeta10", L.model_params(t.model),
-                        {f"val_{k}": m[k] for k in L.METRIC_NAMES}, tag="grid + threshold sweep")
+    for part in ("train", "val"):
+        pred = L.predict(t.model, t.table.where(F.col("split") == part), [KEY, LABEL])
+        m = L.evaluate(pred, LABEL, P.BETA).first().asDict()
+        runs = L.run_record(path, spark, f"gbt fbeta10 {part}", L.model_params(t.model),
+                            {k: m[k] for k in L.METRIC_NAMES}, tag="grid + threshold sweep")
+    return runs
 
 
 @register("q_tree_contrib")
@@ -129,8 +129,8 @@ def q_tree_contrib(spark, d):
     rest = t.table.where(F.col("split") != "train")
     x = P.assembled(t, rest, [KEY])
     names = [f"phi_{n}" for n in P.input_names(t.model_inputs)]
-    phi = tree_contributions(x, KEY, [f"x{k}" for k in range(len(names))], paths, names)
-    return phi.join(x.select(KEY, "margin"), KEY).withColumn("expected_value", F.lit(base))
+    phi = tree_contributions(x, [KEY, "margin"], [f"x{k}" for k in range(len(names))], paths, names)
+    return phi.withColumn("expected_value", F.lit(base))
 
 
 @register("q_expected_value")
@@ -169,6 +169,16 @@ def q_score_gbt(spark, d):
     return pred.select(F.col("POSITION").alias("Client_id"), KEY, "proba", cls.alias("Class"), dec.alias("Decision"))
 
 
+def _explained(spark, t, model, found):
+    """Found requests with probability, features and contributions, in one pass over the rows."""
+    x = P.assembled(t, found, ["request_no", "client_id", *t.features], model)
+    paths, _ = P.paths_of(spark, t)
+    names = P.input_names(t.model_inputs)
+    scored = tree_contributions(x, ["request_no", "client_id", "proba", *t.features],
+                                [f"x{k}" for k in range(len(names))], paths, [f"phi_{n}" for n in names])
+    return scored, paths, names
+
+
 @register("q_response_gbt")
 def q_response_gbt(spark, d):
     """SC4 as the reference serves it: GBT probability, decision at the bundle's
@@ -180,11 +190,73 @@ def q_response_gbt(spark, d):
     model, meta = load_bundle(spark, t.path)
     prod = _prod_for_model(spark, d, t)
     found = lookup(validate_requests(SC.requests(spark, d), "raw", prod.count()), prod)
-    x = P.assembled(t, found, ["request_no"])
-    paths, _ = P.paths_of(spark, t)
-    names = P.input_names(t.model_inputs)
-    phi = tree_contributions(x, "request_no", [f"x{k}" for k in range(len(names))], paths,
-                             [f"phi_{n}" for n in names])
-    scored = L.predict(model, found, ["request_no", "client_id", *t.features]).join(phi, "request_no")
+    scored, paths, names = _explained(spark, t, model, found)
     return response_records(scored, t.features, [f"phi_{n}" for n in names], expected_value(paths),
                             meta["threshold"], with_request_id=False, keep=["request_no"], shap_names=names)
+
+
+# ---------------------------------------------------------------- invariants of the fitted model that SQL can state
+_CLIENTS = S.with_roles("documents_entity") + "SELECT SK_ID_CURR, TRUE AS {} FROM documents_entity WHERE TARGET IS NULL"
+
+
+@register("q_tree_additivity", _CLIENTS.format("additive"))
+def q_tree_additivity(spark, d):
+    """XP1/XP2: for every client, expected value + contributions = margin (to 1e-9)."""
+    t = P.trained(spark, d)
+    paths, _ = P.paths_of(spark, t)
+    names = [f"phi_{n}" for n in P.input_names(t.model_inputs)]
+    x = P.assembled(t, _clients_for_model(spark, d, t), [KEY])
+    phi = tree_contributions(x, [KEY, "margin"], [f"x{k}" for k in range(len(names))], paths, names)
+    total = sum((F.col(f"`{n}`") for n in names), F.lit(expected_value(paths)))
+    return phi.select(KEY, (F.abs(total - F.col("margin")) < 1e-9).alias("additive"))
+
+
+@register("q_bundle_same", _CLIENTS.format("same"))
+def q_bundle_same(spark, d):
+    """SRC7: for every client, the loaded bundle gives the fitted model's probability."""
+    t = P.trained(spark, d)
+    model, _ = load_bundle(spark, t.path)
+    rows = _clients_for_model(spark, d, t)
+    a = L.predict(t.model, rows, [KEY]).select(KEY, F.col("proba").alias("p"))
+    b = L.predict(model, rows, [KEY]).select(KEY, F.col("proba").alias("q"))
+    return a.join(b, KEY).select(KEY, (F.col("p") == F.col("q")).alias("same"))
+
+
+@register("q_predict_class_rule", _CLIENTS.format("consistent"))
+def q_predict_class_rule(spark, d):
+    """ML6: for every client, the class is 1 exactly when the probability is above one half, the
+    probability lies in [0, 1], and the margin is half its log odds."""
+    t = P.trained(spark, d)
+    pred = L.predict(t.model, _clients_for_model(spark, d, t), [KEY])
+    p = F.col("proba")
+    odds = F.abs(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin"))) - p) < 1e-9
+    return pred.select(KEY, (((p > 0.5).cast("int") == F.col("prediction")) & p.between(0, 1) & odds).alias("consistent"))
+
+
+def _clients_for_model(spark, d, t):
+    ent = E.doc_features(spark, d).where(F.col(LABEL).isNull())
+    return ent.withColumn("N_DIGITS", F.when(F.col("LANG_de") == 0, F.col("N_DIGITS"))).select(KEY, *t.features)
+
+
+# ---------------------------------------------------------------- streaming with the fitted model
+@register("q_stream_response")
+def q_stream_response(spark, d):
+    """SC6 with the bundle: requests arrive as files; each is validated, joined to the clients,
+    scored by the loaded GBT model, decided, explained and appended to a parquet sink."""
+    from riskweave.operators.score import lookup, response_records, validate_requests
+    from riskweave.plans import scoring as SC
+    from riskweave.streaming.score_stream import request_stream, run_available_now
+    t = P.trained(spark, d)
+    model, meta = load_bundle(spark, t.path)
+    prod_dir, req_dir = scratch_path(spark, "clients"), scratch_path(spark, "requests")
+    _prod_for_model(spark, d, t).write.parquet(prod_dir)
+    SC.requests(spark, d).write.parquet(req_dir)
+    prod = spark.read.parquet(prod_dir)
+    valid = validate_requests(request_stream(spark, req_dir, SC.REQUEST_SCHEMA), "raw", prod.count())
+    scored, paths, names = _explained(spark, t, model, lookup(valid, prod))
+    out = response_records(scored, t.features, [f"phi_{n}" for n in names], expected_value(paths), meta["threshold"],
+                           with_request_id=False, keep=["request_no"], shap_names=names)
+    sink = scratch_path(spark, "responses")
+    plain = out.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in out.columns])
+    run_available_now(plain, sink, scratch_path(spark, "stream-ckpt"))
+    return spark.read.parquet(sink)

@@ -172,13 +172,17 @@ def _sql_narrow():
             "FLAG_POSITIVE_BALANCE = 1 AS FLAG_POSITIVE_BALANCE"]
     cols += [f"{S.q(c)} = 1 AS {S.q(c)}" for c, _ in outs if c.startswith("NAME_SEGMENT_")]
     cols.append(f"CAST({S.r6('BALANCE_PER_NATION')} AS FLOAT) AS BALANCE_PER_NATION")
+    cols += ["CAST(SK_ID_CURR AS BIGINT) + 3000000000 AS SK_ID_WIDE", "SK_ID_CURR * CAST('1e300' AS DOUBLE) AS HUGE"]
     return S.with_roles("application", extra=ctes) + "SELECT " + ",\n  ".join(cols) + "\nFROM app_feat"
 
 
 @register("q_narrow_types", _sql_narrow)
 def q_narrow_types(spark, d):
-    """PRJ8: key -> int, {0,1} columns -> boolean, double -> float, long -> int."""
-    return narrow_types(round_doubles(fx.application_features(spark, d)))
+    """PRJ8: key -> int, {0,1} columns -> boolean, double -> float, long -> int; a key
+    above int32 and a double above float keep their width."""
+    app = round_doubles(fx.application_features(spark, d))
+    return narrow_types(app.withColumns({"SK_ID_WIDE": F.col(KEY).cast("long") + 3_000_000_000,
+                                         "HUGE": F.col(KEY) * F.lit(1e300)}))
 
 
 _DOC_FEATURES = ["LANG", "SOURCE", "N_CHARS", "N_SPACE_TOKENS", "N_LINES", "N_DIGITS", "N_UPPER",

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scalar import round_doubles
 from riskweave.operators.correlate import (
-    collinear_drop, numeric_columns, pairwise_corr, pairwise_corr_agg, target_corr, top_bottom,
-    topk_features,
+    collinear_drop, numeric_columns, pairwise_corr, pairwise_corr_agg, split_label, target_corr,
+    top_bottom, topk_features,
 )
+from riskweave.operators.select import fit_selection
 from riskweave.operators.profile import label_distribution, missing_cut, missing_report, profile
 from riskweave.plans import entities as E
 from riskweave.plans import features as fx
@@ -150,20 +151,82 @@ def q_corr_target_top(spark, d):
     return top_bottom(tc, TOP_K)
 
 
-def _topk_sql():
-    ctes, cols = _target_top_ctes(TOP_K)
+def _chosen_ctes(k: int):
+    """Label correlations (features without one dropped), the two top-k lists united,
+    and the columns that survive the collinearity cut."""
+    ctes, cols = _target_top_ctes(k)
+    ctes = ctes[:2] + ["usable AS (SELECT feature, r FROM tc WHERE r IS NOT NULL)",
+                       "chosen AS (SELECT feature FROM (SELECT feature, row_number() OVER (ORDER BY r DESC, feature) AS a,\n"
+                       f"  row_number() OVER (ORDER BY r, feature DESC) AS b FROM usable) t WHERE a <= {k} OR b <= {k})"]
     ctes += S.pairs_ctes("doc_feat", KEY, cols, tag="d", where="TARGET IS NOT NULL")
-    return (S.with_roles("documents_entity", extra=ctes)
-            + f"SELECT DISTINCT feature FROM tb WHERE feature NOT IN "
-              f"(SELECT col_j FROM d_pairs WHERE r > {COLLINEAR_THRESHOLD})")
+    ctes.append(f"kept AS (SELECT feature FROM chosen WHERE feature NOT IN "
+                f"(SELECT col_j FROM d_pairs WHERE r > {COLLINEAR_THRESHOLD}))")
+    return ctes, cols
 
 
-@register("q_topk_features", _topk_sql)
+@register("q_topk_features", lambda: S.with_roles("documents_entity", extra=_chosen_ctes(TOP_K)[0])
+          + "SELECT feature FROM kept")
 def q_topk_features(spark, d):
     """SEL5-SEL7, SET3-SET4: top-k positive and negative label correlations,
-    united, intersected with the columns surviving the collinearity cut."""
+    united, intersected with the columns surviving the collinearity cut. One Gram pass."""
     lab = E.labelled(E.doc_features(spark, d))
     feats = numeric_columns(lab, exclude=[KEY, LABEL])
-    chosen = topk_features(target_corr(lab, LABEL, feats), TOP_K)
-    removed = collinear_drop(pairwise_corr(lab, feats), COLLINEAR_THRESHOLD)
-    return chosen.join(removed.select("feature"), "feature", "left_anti")
+    between, with_label = split_label(pairwise_corr(lab, [LABEL, *feats]))
+    return topk_features(with_label, TOP_K).join(
+        collinear_drop(between, COLLINEAR_THRESHOLD).select("feature"), "feature", "left_anti")
+
+
+# ---------------------------------------------------------------- the whole selection chain
+SELECT_K = 8
+
+
+def _selection_table(spark, d):
+    """All documents with features, and a column that is missing in most labelled rows:
+    the first cut removes it."""
+    return E.doc_features(spark, d).withColumn(
+        "RARE", F.when(F.col(KEY) % 10 == 0, F.col("N_CHARS")))
+
+
+def _select_fit_sql():
+    ctes, cols = _chosen_ctes(SELECT_K)
+    return (S.with_roles("documents_entity", extra=ctes)
+            + f"SELECT feature, TRUE AS kept FROM kept UNION ALL SELECT '{KEY}', TRUE UNION ALL SELECT '{LABEL}', TRUE")
+
+
+@register("q_select_fit", _select_fit_sql)
+def q_select_fit(spark, d):
+    """SEL1, SEL4-SEL7 as one fitted selection: missing cut, collinear cut, top-k; names kept."""
+    spec = fit_selection(_selection_table(spark, d), LABEL, KEY, MISSING_THRESHOLD, COLLINEAR_THRESHOLD, SELECT_K)
+    return spark.createDataFrame([(c, True) for c in spec.keep], "feature string, kept boolean")
+
+
+def _part_sql(labelled: bool):
+    """The selected columns of one part in long form, so that SQL needs no fitted names."""
+    ctes, cols = _chosen_ctes(SELECT_K)
+    casted = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    side = "IS NOT NULL" if labelled else "IS NULL"
+    return (S.with_roles("documents_entity", extra=ctes)
+            + f"SELECT {KEY}, CAST(TARGET AS INTEGER) AS TARGET, col AS feature, {S.r6('val')} AS val FROM "
+              f"(UNPIVOT (SELECT {KEY}, TARGET, {casted} FROM doc_feat WHERE TARGET {side}) "
+              f"ON COLUMNS(* EXCLUDE ({KEY}, TARGET)) INTO NAME col VALUE val) u WHERE col IN (SELECT feature FROM kept)")
+
+
+def _selected_part(spark, d, labelled: bool):
+    table = _selection_table(spark, d)
+    spec = fit_selection(table, LABEL, KEY, MISSING_THRESHOLD, COLLINEAR_THRESHOLD, SELECT_K)
+    part = spec.transform(table).where(F.col(LABEL).isNotNull() if labelled else F.col(LABEL).isNull())
+    feats = [c for c in spec.keep if c not in (KEY, LABEL)]
+    part = part.select(KEY, F.col(LABEL).cast("int").alias(LABEL), *[F.col(c).cast("double").alias(c) for c in feats])
+    return round_doubles(part.unpivot([KEY, LABEL], feats, "feature", "val").where(F.col("val").isNotNull()))
+
+
+@register("q_select_train", lambda: _part_sql(True))
+def q_select_train(spark, d):
+    """SEL6: the labelled part after the fitted selection (long form)."""
+    return _selected_part(spark, d, True)
+
+
+@register("q_select_test", lambda: _part_sql(False))
+def q_select_test(spark, d):
+    """SEL6: the same fitted columns on the unlabelled part (long form)."""
+    return _selected_part(spark, d, False)

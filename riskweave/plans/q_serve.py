@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scalar import round_doubles, round_fixed
 from riskweave.operators.clean import with_position
-from riskweave.operators.explain import global_importance, waterfall
+from riskweave.operators.explain import global_importance, linear_contributions, linear_phi, waterfall
 from riskweave.operators.score import (
-    client_table, decide, lookup, response_records, validate_requests,
+    client_table, decide, lookup, rejects, response_records, validate_requests,
 )
 from riskweave.plans import entities as E
 from riskweave.plans import scoring as SC
 from riskweave.plans import sqlgen as S
 from riskweave.plans.catalog import register
 from riskweave.session import scratch_path
-from riskweave.streaming.score_stream import run_available_now, scoring_stream
+from riskweave.streaming.score_stream import reject_stream, run_available_now, scoring_stream
 
 KEY = E.KEY
 F8 = SC.LIN_FEATURES
@@ -65,11 +65,11 @@ wf AS (SELECT SK_ID_CURR, feature, phi,
 @register("q_waterfall", _lin_sql(_WF) + f"""SELECT SK_ID_CURR, feature, phi, step, {S.r6('"end" - phi')} AS start,
   {S.r6('"end"')} AS "end", CASE WHEN phi > 0 THEN 'increase' ELSE 'decrease' END AS direction FROM wf""")
 def q_waterfall(spark, d):
-    """XP5: per client the 5 largest |phi|, cumulated from the base in ascending
+    """XP5: per client the 15 largest |phi|, cumulated from the base in ascending
     |phi| order (ties by feature name)."""
-    long, base = SC.linear_long(spark, d)
-    long = long.withColumn("phi", round_fixed("phi"))
-    return round_doubles(waterfall(long, KEY, base, SC.WATERFALL_TOP))
+    docs = SC.roles.documents_entity(spark, d)
+    phi = {f: round_fixed(c) for f, c in linear_phi(docs, F8, SC.LIN_WEIGHTS).items()}
+    return round_doubles(waterfall(docs, KEY, phi, 0.0, SC.WATERFALL_TOP))
 
 
 @register("q_local_row", _lin_sql(
@@ -78,10 +78,10 @@ def q_waterfall(spark, d):
       f"WHERE POSITION IN {SC.LOCAL_POSITIONS}")
 def q_local_row(spark, d):
     """XP4: the explanation rows of the clients at positions 1 and 24."""
-    long, _ = SC.linear_long(spark, d)
-    from riskweave.plans import roles
-    pos = with_position(roles.documents_entity(spark, d).select(KEY), KEY)
-    sel = pos.where(F.col("POSITION").isin(*SC.LOCAL_POSITIONS))
+    docs = SC.roles.documents_entity(spark, d)
+    pos = with_position(docs.select(KEY), KEY)
+    sel = pos.where(F.col("POSITION").isin(*SC.LOCAL_POSITIONS))  # before contributions are made
+    long, _ = linear_contributions(docs.join(sel.select(KEY), KEY, "left_semi"), KEY, F8, SC.LIN_WEIGHTS, fit_on=docs)
     return round_doubles(long.join(sel, KEY).select("POSITION", KEY, "feature", "phi"))
 
 
@@ -116,11 +116,12 @@ def q_score_decisions(spark, d):
 
 
 _REQ = ("req AS (SELECT event_id AS request_no, CASE event_type WHEN 'click' THEN CAST(user_id AS VARCHAR)"
-        " WHEN 'view' THEN CAST(-user_id AS VARCHAR) WHEN 'error' THEN CAST(user_id AS VARCHAR) || '.5'"
+        " WHEN 'view' THEN CAST(-user_id AS VARCHAR) WHEN 'error' THEN CAST(user_id AS VARCHAR) ||"
+        " CASE WHEN event_id % 2 = 0 THEN '00000000000000000000' ELSE '.5' END"
         " WHEN 'purchase' THEN CAST(user_id + 1000000 AS VARCHAR) ELSE event_type END AS raw FROM events)")
 _N = "(SELECT count(*) FROM prod)"
 _VALID = (f"val AS (SELECT request_no, raw, CASE WHEN regexp_full_match(raw, '^-?[0-9]+$') THEN TRY_CAST(raw AS BIGINT) END AS client_id,\n"
-          f"  CASE WHEN NOT regexp_full_match(raw, '^-?[0-9]+$') OR TRY_CAST(raw AS BIGINT) IS NULL THEN 'not_integer'\n"
+          f"  CASE WHEN NOT regexp_full_match(raw, '^-?[0-9]+$') THEN 'not_integer'\n"
           f"       WHEN TRY_CAST(raw AS BIGINT) BETWEEN 1 AND {_N} THEN 'ok' ELSE 'not_found' END AS status FROM req),\n"
           f"valm AS (SELECT *, CASE status WHEN 'not_integer' THEN 'Client id must be a whole number.'\n"
           f"  WHEN 'not_found' THEN 'Client id not in application database. Enter a whole number between 1 and '"
@@ -137,8 +138,11 @@ def q_request_validation(spark, d):
     n = prod.count()
     v = validate_requests(SC.requests(spark, d), "raw", n)
     ids = prod.select(F.col("POSITION").alias("_pos"), KEY)
-    j = v.join(ids, (v["status"] == "ok") & (v["client_id"] == ids["_pos"]), "left")
-    return j.select("request_no", "raw", "client_id", "status", "message", KEY)
+    # only found requests are joined; rejects (no key to join on) are added as they are
+    found = v.where(F.col("status") == "ok").join(ids, F.col("client_id") == F.col("_pos")).drop("_pos")
+    cols = ["request_no", "raw", "client_id", "status", "message", KEY]
+    return found.select(*cols).unionByName(
+        rejects(v).withColumn(KEY, F.lit(None).cast(prod.schema[KEY].dataType)).select(*cols))
 
 
 def _json_sql(cols, names):
@@ -199,3 +203,16 @@ def q_stream_score(spark, d):
     sink, ckpt = scratch_path(spark, "scored"), scratch_path(spark, "stream-ckpt")
     run_available_now(out, sink, ckpt)
     return spark.read.parquet(sink)
+
+
+@register("q_stream_rejects", _score_sql(_REQ, _VALID)
+          + "SELECT request_no, raw, client_id, status, message FROM valm WHERE status <> 'ok'")
+def q_stream_rejects(spark, d):
+    """SC6/JN6: the stream's side output: rejected requests with the reason, in a sink of their own."""
+    n = SC.prod_clients(spark, d).count()
+    req_dir = scratch_path(spark, "requests")
+    SC.requests(spark, d).write.parquet(req_dir)
+    out = reject_stream(spark, req_dir, SC.REQUEST_SCHEMA, "raw", n)
+    sink = scratch_path(spark, "rejects")
+    run_available_now(out, sink, scratch_path(spark, "stream-ckpt"))
+    return spark.read.parquet(sink)

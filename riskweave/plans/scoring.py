@@ -20,7 +20,7 @@ KEY = E.KEY
 LIN_FEATURES = list(E.DOC_NUMERIC)
 LIN_WEIGHTS = [(-1) ** k / (k + 1) for k in range(len(LIN_FEATURES))]
 DECISION_THRESHOLD = 0.3
-WATERFALL_TOP = 5
+WATERFALL_TOP = 15
 LOCAL_POSITIONS = (1, 24)
 
 
@@ -58,12 +58,13 @@ def prod_clients(spark: SparkSession, d: str) -> DataFrame:
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Request ids derived from the events table: integers in and out of range,
-    zero and negatives, decimals and words."""
+    zero and negatives, integers too large for bigint, decimals and words."""
     e = read_table(spark, d, "events")
     uid, et = F.col("user_id"), F.col("event_type")
     raw = (F.when(et == "click", uid.cast("string"))
            .when(et == "view", (-uid).cast("string"))
-           .when(et == "error", F.concat(uid.cast("string"), F.lit(".5")))
+           .when(et == "error", F.concat(uid.cast("string"), F.when(
+               F.col("event_id") % 2 == 0, F.lit("0" * 20)).otherwise(F.lit(".5"))))
            .when(et == "purchase", (uid + 1000000).cast("string"))
            .otherwise(et))
     return e.select(F.col("event_id").alias("request_no"), raw.alias("raw"))

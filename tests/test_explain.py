@@ -76,9 +76,11 @@ def test_tree_contributions_match_brute_force_and_margin(spark):
 
 
 def test_waterfall_top_and_running_sum(spark):
-    long = spark.createDataFrame([(1, "a", 0.5), (1, "b", -0.2), (1, "c", 0.05), (1, "d", -0.9)],
-                                 "k int, feature string, phi double")
-    wf = {r.feature: r for r in waterfall(long, "k", 0.1, top=3).collect()}
+    df = spark.createDataFrame([(1, 0.5, -0.2, 0.05, -0.9)], "k int, a double, b double, c double, d double")
+    phi = {c: F.col(c) for c in "abcd"}
+    plan = waterfall(df, "k", phi, 0.1, top=3)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+    wf = {r.feature: r for r in waterfall(df, "k", phi, 0.1, top=3).collect()}
     assert set(wf) == {"a", "b", "d"}  # c has the smallest |phi|
     assert [wf[f].step for f in ("b", "a", "d")] == [1, 2, 3]
     assert abs(wf["d"].end - (0.1 - 0.2 + 0.5 - 0.9)) < 1e-12
@@ -86,8 +88,7 @@ def test_waterfall_top_and_running_sum(spark):
 
 
 def test_waterfall_other_row_reaches_full_margin(spark):
-    long = spark.createDataFrame([(1, "a", 0.5), (1, "b", -0.2), (1, "c", 0.05), (1, "d", -0.9), (1, "e", 0.01)],
-                                 "k int, feature string, phi double")
-    wf = sorted(waterfall(long, "k", 0.1, top=3, other=True).collect(), key=lambda r: r.step)
+    df = spark.createDataFrame([(1, 0.5, -0.2, 0.05, -0.9, 0.01)], "k int, a double, b double, c double, d double, e double")
+    wf = sorted(waterfall(df, "k", {c: F.col(c) for c in "abcde"}, 0.1, top=3, other=True).collect(), key=lambda r: r.step)
     assert wf[0].feature == "other" and abs(wf[0].phi - 0.06) < 1e-12
     assert abs(wf[-1].end - (0.1 + 0.5 - 0.2 + 0.05 - 0.9 + 0.01)) < 1e-12
