@@ -17,15 +17,18 @@ occur; an empty table gives no rows; only the id and text columns are read."""
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right, insort
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import prepared, ranked, text_bytes, written
 
 CAPACITY = 2048
-CACHED_WORDS = 150_000  # words a worker remembers the ids of; beyond, it starts afresh
+CACHED_WORDS = 300_000  # words a worker remembers the ids of, in each of two generations
 
 
 def tokenizer_path() -> str:
@@ -33,47 +36,93 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for every piece of every document.
+# Fixed value: an ASCII sign, apostrophe aside, right after a letter always begins a new token.
+SIGN_AFTER_LETTER = re.compile(rb"(?<=[a-z])[!-&(-/:-@\[-`{-~]")
 
-    The tokenizer drops white space and never joins ids over it, so a text is encoded
-    word by word and the ids of frequent words are remembered as bytes."""
-    prepared(docs.sparkSession)
-    path = path or tokenizer_path()
 
-    def run(batches):
+def words_of(text: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer encodes independently: it drops white space and
+    never joins ids over it, folds case, and ends a word before a sign. A text that may hold
+    the tokenizer's special strings is only split at white space."""
+    if b"<|" in text:
+        return text.split()
+    return SIGN_AFTER_LETTER.sub(rb" \g<0>", text.lower()).split()
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> "WordIds":
+    """One for each Python worker, which serves many tasks."""
+    return WordIds(path)
+
+
+class WordIds:
+    """Ids of words as bytes; frequent words are remembered."""
+
+    def __init__(self, path: str):
         import os
-        import zlib
 
-        import numpy as np
-        import pyarrow as pa
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = Tokenizer.from_file(path)
-        cache: dict[bytes, bytes] = {}
+        self.tok = Tokenizer.from_file(path)
+        self.ids: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the generation before; what is met again moves on
+        self.long: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes the words not known yet. Words of letters alone are encoded together, one
+        token word each; if that does not hold, and all others, one by one."""
+        if len(self.ids) > CACHED_WORDS:
+            self.older, self.ids = self.ids, {}
+        self.long = {}
+        letters, others = [], []
+        for w in words:
+            if w in self.ids:
+                continue
+            if w in self.older:
+                self.ids[w] = self.older[w]
+                continue
+            (letters if len(w) <= 64 and w.decode("utf-8", "replace").isalpha() else others).append(w)
+        for at in range(0, len(letters), 10_000):
+            part = letters[at:at + 10_000]
+            e = self.tok.encode(" ".join(w.decode() for w in part), add_special_tokens=False)
+            word, ids = np.asarray(e.word_ids), np.asarray(e.ids, dtype="<u4")
+            cuts = [0, *(np.nonzero(np.diff(word))[0] + 1).tolist(), len(ids)]
+            if len(cuts) != len(part) + 1:
+                others += part
+                continue
+            raw = ids.tobytes()
+            self.ids.update(zip(part, [raw[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])]))
+        for w, e in zip(others, self.tok.encode_batch([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)):
+            (self.ids if len(w) <= 64 else self.long)[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def of(self, words: list[bytes]) -> bytes:
+        try:
+            return b"".join(map(self.ids.__getitem__, words))
+        except KeyError:
+            return b"".join([self.ids[w] if w in self.ids else self.long[w] for w in words])
 
-        def encode(words: list[bytes]) -> list[bytes]:
-            found = tok.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
-        def ids_of(words: list[bytes]) -> bytes:
-            return b"".join([cache[w] if w in cache else long_words[w] for w in words])
+def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) for every piece of every document."""
+    prepared(docs.sparkSession)
+    path = path or tokenizer_path()
 
+    def run(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        known = word_ids(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                lists = [t.split() for t in part.column(1).to_pylist()]
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-                new = list(set().union(*lists) - cache.keys())
-                long_words = {}
-                for w, ids in zip(new, encode(new)):
-                    (cache if len(w) <= 64 else long_words)[w] = ids
+                lists = [words_of(t) for t in part.column(1).to_pylist()]
+                known.learn(set().union(*lists))
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for doc_id, words in zip(part.column(0).to_pylist(), lists):
-                    ids = ids_of(words) + b"\0\0\0\0"
+                    ids = known.of(words) + b"\0\0\0\0"
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at:at + 4 * capacity]
                         for col, v in zip(out, (doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own))):
@@ -224,8 +273,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = plan_sequences(sizes, capacity)
 
     def run(frames):
-        import numpy as np
-
         rows = np.array(plan, dtype=np.int64).reshape(-1, 5)
         starts = (rows[:, 0] << 48) | rows[:, 1]
         for f in frames:
