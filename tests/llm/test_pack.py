@@ -36,7 +36,9 @@ def check_packing(rows, capacity):
 
 def test_ids_equal_the_tokenizer_on_whole_texts(spark):
     texts = [(r["doc_id"], r["text"]) for r in table_rows("documents")]
-    odd = ["", None, "a" * 5000, "x <|endoftext|> y", "it's  I'll we\x1cre é ́ ẛ̣", "日本語 テキスト", " a\x85b", "1234 5.6!?"]
+    odd = ["", None, "a" * 5000, "x <|endoftext|> y", "it's  I'll we\x1cre é ́ ẛ̣", "日本語 テキスト", " a\x85b", "1234 5.6!?",
+           "Wait... (THE <|ENDOFTEXT|> END), o'clock 'tis y'all've. x\u20ac. A\u0301. \u0130stanbul. \ufb01ne, \u01c5. a'.b %.%",
+           "<|endoftext|>The End.", "mother-in-law's 3.5 x. y, Z!? .a ,b.c"]
     texts += [(10_000 + i, t) for i, t in enumerate(odd)] + [(10_003, odd[3])]
     got = op.pack_documents(docs(spark, texts), capacity=512).collect()
     want = []
