@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pfair scheduling (operator 1, DataFrame and SQL functions only).
 
 Each source's documents, in a fixed pseudo-random order, form blocks of ``block_rows``.
-The target weights are rounded to shares a of a frame of P slots. The k-th block of a
+The target weights are rounded to shares a of a frame of P slots (at least one each, off
+by (number of sources) / P at most). The k-th block of a
 source (from 0) is released at slot floor(k P / a) and due by slot ceil((k + 1) P / a); every
 slot takes the released block with the earliest deadline. All shares add up to the frame, so no
 deadline is missed: after any number of slots a source is less than one block off its share.

@@ -12,8 +12,9 @@ Files go to the shared folder through ``pyarrow.fs``, so any store it opens will
 
 Duplicates: of records with equal payloads of at least ``revisit_bytes`` the one with the
 largest id is the response and the others revisit it. Payloads are equal when
-length, SHA-1 and SHA-256 agree. The largest id is found by a partial aggregate, so a payload
-in a third of all rows is one row per task there, and the join back can be split by AQE.
+length, SHA-1 and SHA-256 agree. The largest id is found by a partial aggregate over digests, so a payload
+in a third of all rows is one row per task there, and the join back, of ids and digests, can be
+split by AQE. The payloads are shuffled once, to their shards.
 
 Defined results: a null html is the empty payload; a null id sorts first and is written
 as such; rows that repeat an id with an equal payload are all responses when that id is the
@@ -32,28 +33,28 @@ from riskweave.llm.common import prepared
 from riskweave.session import scratch_path
 
 REVISIT_BYTES = 1000
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 ROLL_BYTES = 16 << 20
-SAMPLE_IDS = 200_000  # about so many ids choose the bounds of the shards
+SAMPLE_IDS = 100_000  # about so many ids choose the bounds of the shards
 MAX_SHARDS = 10_000  # larger archives get larger shards, not more bounds; files roll over inside a shard
 DATE = "2000-01-01T00:00:00Z"  # a fixed date: the archive depends on its records alone
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, sha256 string"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, payload, refers_to): refers_to is null for responses."""
+def keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, payload, sha): the payload as bytes with its length and both digests as one string."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                      F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    key = [F.octet_length("payload").alias("_len"), F.sha1("payload").alias("_sha1"),
-           F.sha2("payload", 256).alias("_sha2")]
-    long = F.octet_length("payload") >= revisit_bytes
-    last = (p.where(long).select("page_id", *key).groupBy("_len", "_sha1", "_sha2")
-            .agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    own = p.select("*", *key).join(last, ["_len", "_sha1", "_sha2"], "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))
-    return own.select("page_id", "url", "payload", refers.alias("refers_to"))
+    return p.withColumn("sha", F.concat_ws("-", F.octet_length("payload").cast("string"), F.sha1("payload"), F.sha2("payload", 256)))
+
+
+def revisits(rows: DataFrame, revisit_bytes: int) -> DataFrame:
+    """(page_id, sha, refers_to) of the records that revisit another; no payload is shuffled for it."""
+    long = rows.where(F.octet_length("payload") >= revisit_bytes).select("page_id", "sha")
+    last = long.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    own = long.join(last.drop("_n"), "sha")
+    return own.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha", "refers_to").distinct()
 
 
 def shard_bounds(pages: DataFrame, id_col: str, html_col: str, shard_bytes: int) -> list[int]:
@@ -153,20 +154,28 @@ def write_archive(pages: DataFrame, folder: str | None = None, id_col: str = "pa
         import pyarrow as pa
         from pyspark import TaskContext
 
-        attempt, writer, done = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}", None, []
+        attempt, writer, done, note = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}", None, [], None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if writer is None or writer.shard != row[0]:
+            for number, page_id, sha, payload, url, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+                if payload is None:  # the note that the records sorted after it are revisits
+                    note = (page_id, sha, refers_to)
+                    continue
+                if writer is None or writer.shard != number:
                     done += [writer.close()] if writer else []
-                    writer = _Shard(uri, row[0], attempt, roll_bytes)
-                done.append(writer.add(record_bytes(*row[1:])))
+                    writer = _Shard(uri, number, attempt, roll_bytes)
+                own = note[2] if note and note[:2] == (page_id, sha) else None
+                done.append(writer.add(record_bytes(page_id, url, payload, own)))
         done += [writer.close()] if writer else []
         yield pa.RecordBatch.from_pylist([x for x in done if x], schema=pa.schema(
             [("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
-    dealt = (records(pages, id_col, url_col, html_col, revisit_bytes).withColumn("shard", shard("page_id") if bounds else F.lit(0))
-             .repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "url", "payload"))
-    manifest = dealt.select("shard", "page_id", "url", "payload", "refers_to").mapInArrow(run, MANIFEST)
+    # the one shuffle of payloads: notes of revisits meet their records in the shard, sorted just before them
+    rows = keyed(pages, id_col, url_col, html_col)
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(
+        revisits(rows, revisit_bytes), allowMissingColumns=True)
+    dealt = (both.withColumn("shard", shard("page_id") if bounds else F.lit(0)).repartition(len(bounds) + 1, "shard")
+             .sortWithinPartitions("shard", "page_id", "sha", F.col("payload").isNotNull(), "url"))
+    manifest = dealt.select("shard", "page_id", "sha", "payload", "url", "refers_to").mapInArrow(run, MANIFEST)
     # committed by Spark's own output commit: the manifest exists whole or not at all
     manifest.write.parquet(f"{uri}/manifest")
     return uri
