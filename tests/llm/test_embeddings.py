@@ -7,7 +7,7 @@ from .helpers import SMALL, partition, same
 
 
 def test_whole_table_equals_sql(spark):
-    same(registry.op10_embed_dedup(spark, SMALL), sql.OP10)
+    same(registry.queries()["op10_embed_dedup"](spark, SMALL), sql.OP10)
 
 
 def brute(rows):

@@ -24,7 +24,7 @@ def brute(rows):
 
 
 def test_whole_table_equals_sql(spark):
-    same(registry.op3_trie_dedup(spark, SMALL), sql.OP3)
+    same(registry.queries()["op3_trie_dedup"](spark, SMALL), sql.OP3)
 
 
 def test_awkward_rows(spark):

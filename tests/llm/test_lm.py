@@ -49,7 +49,7 @@ def test_empty(spark):
 
 
 def test_packing_of_numbers_is_exact():
-    v = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    v = np.random.default_rng(0).integers(0, (1 << 64) - 1, 1000, dtype=np.uint64)
     assert (op.spread(op.squeezed(v), "<u8") == v).all()
     cut = op.parts_of(np.sort(v), 7)
     assert cut[0] == 0 and cut[-1] == 1000 and (np.diff(cut) > 90).all()

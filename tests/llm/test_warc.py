@@ -10,7 +10,7 @@ from .helpers import SMALL, same
 
 
 def test_round_trip_equals_sql(spark):
-    same(registry.op9_warc(spark, SMALL), sql.OP9)
+    same(registry.queries()["op9_warc"](spark, SMALL), sql.OP9)
 
 
 def pages(spark):
