@@ -24,6 +24,18 @@ def register(name: str, sql: str | Callable[[], str] | None = None):
     return deco
 
 
+def forget() -> None:
+    """Drops everything that plans remember of data folders in this session (resolved tables, fitted
+    categories, written tables, models), e.g. after a folder was rewritten or to time a cold run."""
+    from riskweave.plans import features, models, roles
+    from riskweave.sources import tables
+    tables.forget()
+    models.forget()
+    features._SPECS.clear()
+    features._WIDE_TABLES.clear()
+    roles._ENTITY_TABLES.clear()
+
+
 def load_all() -> None:
     """Import the query modules (each registers itself)."""
     from riskweave.plans import (  # noqa: F401

@@ -61,12 +61,13 @@ _SPECS: dict[tuple, OneHotSpec] = {}
 
 
 def fitted(spark: SparkSession, d: str, name: str, df: DataFrame, cols: list[str],
-           nan_column: bool = True) -> OneHotSpec:
+           nan_column: bool = True, max_levels: int = 1000) -> OneHotSpec:
     """Category fit on a narrow pre-join projection, frozen per application and data
-    folder so every plan built from it has the same schema."""
+    folder so every plan built from it has the same schema. ``max_levels`` bounds the
+    categories of a column (every one becomes a column; beyond, the fit raises)."""
     key = (spark.sparkContext.applicationId, d, name, tuple(cols), nan_column)
     if key not in _SPECS:
-        _SPECS[key] = OneHotSpec.fit(df.select(*cols), cols, nan_column=nan_column)
+        _SPECS[key] = OneHotSpec.fit(df.select(*cols), cols, nan_column=nan_column, max_levels=max_levels)
     return _SPECS[key]
 
 
@@ -194,26 +195,39 @@ def installments_payments(spark: SparkSession, d: str) -> DataFrame:
     return grouped(ins, KEY, INSTAL_NUM, "INSTAL_", extra=extra)
 
 
-def credit_card_frame(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+def credit_card_exprs(spark: SparkSession, d: str) -> tuple[DataFrame, list, list]:
+    """(rows, aggregates, output columns). The dummies' five aggregates follow from one count
+    per category and the group size: they are not materialised, and computed after
+    the aggregate."""
     cc = roles.credit_card(spark, d)
     cats = fitted(spark, d, "events", cc, ["NAME_CONTRACT_STATUS"])
-    cc = cats.transform(cc, keep_source=True).drop("SK_ID_PREV")
-    spec = all_columns_spec(cc.drop("NAME_CONTRACT_STATUS"), exclude=[KEY], fns=CC_AGGS)
-    return cc, spec
+    cc = cc.drop("SK_ID_PREV")
+    numeric = all_columns_spec(cc.drop("NAME_CONTRACT_STATUS"), exclude=[KEY], fns=CC_AGGS)
+    aggs, out = agg_exprs(numeric, "CC_"), [F.col(f"`CC_{c}_{f.upper()}`") for c in numeric for f in CC_AGGS]
+    n = F.col("CC_COUNT").cast("double")
+    for k, (name, col, value) in enumerate(cats.items()):
+        aggs.append(F.count_if(cats.indicator(col, value) == 1).cast("double").alias(f"_cc{k}"))
+        c = F.col(f"_cc{k}")
+        from_count = {"min": (c == n).cast("double"), "max": (c > 0).cast("double"), "mean": c / n, "sum": c,
+                      "var": F.when(n > 1, (c - c * c / n) / (n - 1))}
+        out += [from_count[f].alias(f"CC_{name}_{f.upper()}") for f in CC_AGGS]
+    return cc, [*aggs, F.count(F.lit(1)).alias("CC_COUNT")], [*out, F.col("CC_COUNT")]
 
 
 def credit_card_balance(spark: SparkSession, d: str) -> DataFrame:
     """All remaining columns (dummies included) x {min, max, mean, sum, var}."""
-    cc, spec = credit_card_frame(spark, d)
-    return grouped(cc, KEY, spec, "CC_", extra=[F.count(F.lit(1)).alias("CC_COUNT")])
+    cc, aggs, out = credit_card_exprs(spark, d)
+    return cc.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*aggs).select(KEY, *out)
 
 
 def event_sources(spark: SparkSession, d: str) -> DataFrame:
     """POS and credit-card aggregates of the events table in ONE groupBy."""
-    cc, spec = credit_card_frame(spark, d)
+    cc, aggs, out = credit_card_exprs(spark, d)
     cc = cc.withColumns({"SK_DPD": F.col("AMT_BALANCE"), "SK_DPD_DEF": F.col("CNT_DRAWINGS")})
-    return cc.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
-        *pos_exprs(spark, d), *agg_exprs(spec, "CC_"), F.count(F.lit(1)).alias("CC_COUNT"))
+    pos = pos_exprs(spark, d)
+    both = cc.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*pos, *aggs)
+    pos_names = [c for c in both.columns if c.startswith("POS_")]
+    return both.select(KEY, *[F.col(f"`{c}`") for c in pos_names], *out)
 
 
 SOURCES = (

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -21,18 +22,29 @@ def table_path(sf_dir: str, name: str) -> str:
 _RELATIONS: dict[tuple, DataFrame] = {}
 
 
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN in float and double columns becomes NULL, as in a frame where NaN means missing:
+    aggregates skip it and the missing report counts it. A projection, so unused columns are still pruned."""
+    reals = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in reals}) if reals else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one given table (SRC3). The relation (file listing, footer
-    schema) is resolved once per application and path; DataFrames are immutable,
-    so every plan can start from the same one."""
+    """Parquet scan of one given table (SRC3), NaN as NULL. The relation (file listing,
+    footer schema) is resolved once per application and path; DataFrames are immutable,
+    so every plan can start from the same one. ``forget()`` after a folder is rewritten."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _RELATIONS:
-        _RELATIONS[key] = spark.read.parquet(table_path(sf_dir, name))
+        _RELATIONS[key] = nan_as_null(spark.read.parquet(table_path(sf_dir, name)))
     return _RELATIONS[key]
 
 
+def forget() -> None:
+    _RELATIONS.clear()
+
+
 def head_rows(df: DataFrame, n: int | None) -> DataFrame:
     """Head-N row limit (SRC2). A debug knob: order is the scan order, undefined
     across runs on a cluster; ``None`` means the whole table."""
