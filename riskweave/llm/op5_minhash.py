@@ -196,18 +196,25 @@ def verified(docs: DataFrame, member: DataFrame, id_col: str, text_col: str, shi
     member = member.join(large, F.col("component") == F.col("big"), "left")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), text_bytes(text_col).alias("text"))
 
-    def shrink(batches):
+    def pack(batches):
         import pyarrow as pa
-        shingles, squeeze = Shingler(shingle), zstandard.ZstdCompressor(3)
+        squeeze = zstandard.ZstdCompressor(3)
         for batch in batches:
-            text = batch.column(3).to_pylist()
-            m = [minima(shingles(t)).tobytes() for t in text]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(m, pa.binary()), pa.array([squeeze.compress(t) for t in text], pa.binary())],
-                names=["doc_id", "component", "big", "minima", "packed"])
-
-    rows = written(texts.join(member, "node").select("node", "component", F.col("big").isNotNull().alias("big"), "text")
-                   .mapInArrow(shrink, "doc_id long, component long, big boolean, minima binary, packed binary"), "members")
+            packed = pa.array([squeeze.compress(t) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["node", "packed"])
+
+    def sign(batches):
+        import pyarrow as pa
+        shingles, unpack = Shingler(shingle), zstandard.ZstdDecompressor()
+        for batch in batches:
+            m = [minima(shingles(unpack.decompress(p))).tobytes() for p in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m, pa.binary())],
+                                             names=["doc_id", "component", "big", "packed", "minima"])
+
+    # texts are shuffled packed; the join is a merge at every size, as it must be at a large one
+    rows = written(texts.mapInArrow(pack, "node long, packed binary").join(member.hint("merge"), "node")
+                   .select("node", "component", F.col("big").isNotNull().alias("big"), "packed")
+                   .mapInArrow(sign, "doc_id long, component long, big boolean, packed binary, minima binary"), "members")
 
     def deal(batches):
         import pyarrow as pa
