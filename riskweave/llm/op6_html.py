@@ -38,12 +38,12 @@ NEVER = frozenset("applet aside audio button canvas datalist dialog embed footer
                   "nav noframes noscript object option script select style svg template textarea title video".split())
 ENDS_AT_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 # Words in class, id and role that name a part outside the article.
-NEVER_NAMED = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs byline comment comments "
-                        "complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion "
+NEVER_NAMED = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments "
+                        "complementary consent contentinfo cookie cookies copyright dialog discussion "
                         "disqus footer gdpr header hidden login masthead menu menubar modal nav navbar navigation "
                         "newsletter notice outbrain pager pagination popup promo promoted promotion recommended "
                         "related replies reply respond search share sharing sidebar signup skip skyscraper social "
-                        "sponsor sponsored sponsorship subscribe subscription taboola teaser toolbar widget".split())
+                        "sponsor sponsored sponsorship subscribe subscription taboola toolbar".split())
 WORDS = re.compile(r"[a-z]+")
 
 
@@ -72,6 +72,8 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.line = None
+            if any(t == "head" for t, _ in self.open):
+                self.end("head")  # an open head ends where the body begins
             if self.open and self.open[-1][0] in ENDS_AT_BLOCK or tag == "li" and self.open and self.open[-1][0] == "li":
                 self.pop()
             while tag in BLOCK and any(t == "p" for t, _ in self.open) and self.inside_paragraph():
