@@ -44,6 +44,7 @@ def test_awkward_pages(spark):
     assert op.main_text(None) == op.main_text("") == op.main_text("<p></p><nav>x</nav>") == ""
     assert op.main_text("plain text only") == "plain text only"
     assert op.main_text("<p>a<p>b<!-- c --></div></b>") == "a\nb"
+    assert op.main_text("<html><head><title>T</title><body><p>open head") == "open head"
     assert op.main_text("<article><p>x &lt;b&gt; &#233; &bogus; y</p><br>") == "x <b> é &bogus; y"
     assert op.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     long = "<article>" + "<p>" + "word " * 100_000 + "</p></article>"
