@@ -8,6 +8,7 @@ parameters and metric rows."""
 from __future__ import annotations
 
 import json
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -86,9 +87,11 @@ def gbt_estimator(label: str, weight_col: str | None = None, **params) -> GBTCla
 
 
 def build_pipeline(features: list[str], label: str, nullable: list[str], weight_col: str | None = None,
-                   relative_error: float = 0.001, **params) -> Pipeline:
-    """ML1: [indicators, Imputer] -> VectorAssembler -> GBTClassifier."""
+                   relative_error: float = 0.001, before=(), **params) -> Pipeline:
+    """ML1: [own stages,] [indicators, Imputer] -> VectorAssembler -> GBTClassifier. ``before``:
+    further preprocessing stages, fitted with the pipeline (on the training rows only)."""
     stages, inputs = preprocess_stages(features, nullable, relative_error)
+    stages = [*before, *stages]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     stages.append(gbt_estimator(label, weight_col, **params))
     return Pipeline(stages=stages)
@@ -102,13 +105,13 @@ def prepare(df: DataFrame, label: str, weights: dict[int, float] | None) -> Data
 
 
 def fit(train: DataFrame, features: list[str], label: str, balance: bool = True,
-        relative_error: float = 0.001, nullable: list[str] | None = None, **params) -> PipelineModel:
+        relative_error: float = 0.001, nullable: list[str] | None = None, before=(), **params) -> PipelineModel:
     """``nullable``: the columns needing imputation, when already known (e.g. for all
     folds of one table); otherwise found with one aggregate."""
     counts = label_counts(train, label)
     weights = class_weights(train, label, counts) if balance else None
     nullable = nullable_columns(train, features) if nullable is None else nullable
-    pipe = build_pipeline(features, label, nullable, "weight" if balance else None, relative_error, **params)
+    pipe = build_pipeline(features, label, nullable, "weight" if balance else None, relative_error, before, **params)
     return pipe.fit(prepare(train, label, weights))
 
 
@@ -170,17 +173,21 @@ def grid_search(train: DataFrame, features: list[str], label: str, grid: dict[st
 
 
 def cv_report(df: DataFrame, features: list[str], label: str, fold_col: str = "fold", k: int = 5,
-              beta: float = 10.0, **params) -> DataFrame:
+              beta: float = 10.0, before=(), parallelism: int = 4, **params) -> DataFrame:
     """ML5: per-fold fit; train and test metrics; per metric the train mean, test
-    mean and gap (from unrounded means), rounded to 3 decimals."""
-    parts = []
+    mean and gap (from unrounded means), rounded to 3 decimals. ``before``: preprocessing
+    stages fitted inside each fold. Up to ``parallelism`` folds run at a time."""
     nullable = nullable_columns(df, features)  # one scan for all folds
-    for f in range(k):
+
+    def one(f: int) -> list[DataFrame]:
         tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        model = fit(tr, features, label, nullable=nullable, **params)
-        for side, part in (("train", tr), ("test", te)):
-            m = evaluate(predict(model, part, [label]), label, beta)
-            parts.append(m.select(F.lit(f).alias("fold"), F.lit(side).alias("side"), *METRIC_NAMES))
+        model = fit(tr, features, label, nullable=nullable, before=before, **params)
+        return [evaluate(predict(model, part, [label]), label, beta)
+                .select(F.lit(f).alias("fold"), F.lit(side).alias("side"), *METRIC_NAMES)
+                for side, part in (("train", tr), ("test", te))]
+
+    with ThreadPool(parallelism) as pool:
+        parts = [m for fold in pool.map(one, range(k)) for m in fold]
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)

@@ -75,6 +75,16 @@ def response_records(scored: DataFrame, feature_cols: list[str], phi_cols: list[
     return scored.select(*(keep or []), *cols)
 
 
+def client_view(responses: DataFrame, feature_cols: list[str]) -> DataFrame:
+    """A served response as it is shown: the decision in capitals, the probability as a
+    percentage text, and the client's features decoded from the JSON record."""
+    record = F.from_json("Client_info", "array<struct<" + ",".join(f"`{c}`:double" for c in feature_cols) + ">>")[0]
+    p = F.col("Client default probability")
+    return responses.select("Client_id", F.upper("Decision").alias("decision_text"),
+                            F.concat(F.round(p * 100, 1).cast("string"), F.lit(" %")).alias("probability_text"),
+                            *[record[c].alias(c) for c in feature_cols])
+
+
 def client_table(clients: DataFrame, id_col: str, feature_cols: list[str], proba: str | None = None) -> DataFrame:
     """SC5: long display table (client, field, value): values rounded to 4
     decimals, probability as a percentage with one decimal."""

@@ -10,7 +10,7 @@ from riskweave.functions.scalar import round_doubles, round_fixed
 from riskweave.operators.clean import with_position
 from riskweave.operators.explain import global_importance, linear_contributions, linear_phi, waterfall
 from riskweave.operators.score import (
-    client_table, decide, lookup, rejects, response_records, validate_requests,
+    client_table, client_view, decide, lookup, rejects, response_records, validate_requests,
 )
 from riskweave.plans import entities as E
 from riskweave.plans import scoring as SC
@@ -170,6 +170,19 @@ def q_response_record(spark, d):
     return rr.withColumn("Client default probability", round_fixed("`Client default probability`"))
 
 
+_VIEW = ("vw AS (SELECT request_no, client_id, round((" + S.r6("proba") + ") * 100, 1) AS pct, " + _CLASS + ", "
+         + ", ".join(f"CAST(CAST({c} AS DECIMAL(20,6)) AS DOUBLE) AS {c}" for c in F8)
+         + " FROM valm JOIN scored s ON valm.status = 'ok' AND valm.client_id = s.POSITION)")
+
+
+@register("q_client_view", _score_sql(_REQ, _VALID, _VIEW) + f"""
+SELECT client_id AS Client_id, upper(Decision) AS decision_text, CAST(pct AS VARCHAR) || ' %' AS probability_text,
+  {', '.join(F8)} FROM vw""")
+def q_client_view(spark, d):
+    """SC5: responses decoded from their JSON records, with percentage and capitals as shown to a user."""
+    return client_view(q_response_record(spark, d), F8)
+
+
 @register("q_client_table", _score_sql() + """
 SELECT Client_id, field, value FROM (
 """ + "\n  UNION ALL ".join(f"SELECT POSITION AS Client_id, '{c}' AS field, round({c}, 4) AS value FROM scored"

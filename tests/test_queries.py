@@ -55,6 +55,12 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and df.columns[0] == "SK_ID_CURR"
 
 
+def test_served_model_in_the_stream_equals_batch(spark):
+    s = E.queries()["q_stream_response"](spark, SF)
+    b = E.queries()["q_response_gbt"](spark, SF)
+    assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect())) and s.count() > 0
+
+
 def test_stream_equals_batch(spark):
     s = E.queries()["q_stream_score"](spark, SF)
     b = E.queries()["q_score_decisions"](spark, SF)
