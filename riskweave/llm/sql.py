@@ -33,22 +33,14 @@ SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c
 FROM c LEFT JOIN n ON n.a = c.vec_id
 """
 
-OP7 = f"""
+OP7 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-p AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS b FROM d),
-g AS (SELECT r, i, b, lag(b) OVER (PARTITION BY r ORDER BY i) AS a FROM p),
-tot AS (SELECT count(*) AS n FROM g),
-uni AS (SELECT b, count(*) AS c FROM g GROUP BY b), own1 AS (SELECT r, b, count(*) AS c FROM g GROUP BY r, b),
-bi AS (SELECT a, b, count(*) AS c FROM g WHERE a IS NOT NULL GROUP BY a, b),
-own2 AS (SELECT r, a, b, count(*) AS c FROM g WHERE a IS NOT NULL GROUP BY r, a, b),
-len AS (SELECT r, count(*) AS n FROM g GROUP BY r),
-s AS (SELECT g.r,
-        CASE WHEN g.a IS NOT NULL AND bi.c - own2.c > 0 THEN ln(bi.c - own2.c) - ln(ua.c - oa.c)
-             ELSE CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(ub.c - ob.c, 1)) - ln(greatest(tot.n - len.n, 1)) END AS x
-      FROM g JOIN uni ub ON g.b = ub.b JOIN own1 ob ON g.r = ob.r AND g.b = ob.b
-      LEFT JOIN uni ua ON g.a = ua.b LEFT JOIN own1 oa ON g.r = oa.r AND g.a = oa.b
-      LEFT JOIN bi ON g.a = bi.a AND g.b = bi.b LEFT JOIN own2 ON g.r = own2.r AND g.a = own2.a AND g.b = own2.b
-      JOIN len ON g.r = len.r CROSS JOIN tot)
+p AS (SELECT r, len(w) AS len, generate_subscripts(w, 1) AS i, unnest(w) AS b FROM d),
+u AS (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY b) AS cb, count(*) OVER (PARTITION BY r, b) AS ob FROM p),
+g AS (SELECT *, lag(b) OVER x AS a, lag(cb) OVER x AS ca, lag(ob) OVER x AS oa FROM u WINDOW x AS (PARTITION BY r ORDER BY i)),
+k AS (SELECT *, count(*) OVER (PARTITION BY a, b) AS cab, count(*) OVER (PARTITION BY r, a, b) AS oab FROM g),
+s AS (SELECT r, CASE WHEN a IS NOT NULL AND cab > oab THEN ln(cab - oab) - ln(ca - oa)
+             ELSE CASE WHEN a IS NULL THEN 0 ELSE ln(0.4) END + ln(greatest(cb - ob, 1)) - ln(greatest(n - len, 1)) END AS x FROM k)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, round(avg(s.x) * 1e6 - 0.3767) / 1e6 AS score
 FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.r, d.doc_id, d.w
 """
