@@ -67,36 +67,44 @@ def _shap_weights(d: int) -> np.ndarray:
     return np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
 
 
-def contributions_numpy(X: np.ndarray, paths: list[LeafPath], p: int) -> np.ndarray:
+def _by_size(paths: list[LeafPath]) -> dict[int, tuple[np.ndarray, ...]]:
+    """Leaves by their number d of path features, as arrays: values (L), features, lower and upper
+    bounds and cover ratios (L x d). A feature's conditions on one path are an interval (lo, hi]."""
+    out: dict[int, tuple[np.ndarray, ...]] = {}
+    for d in sorted({len(lp.features) for lp in paths} - {0}):
+        group = [lp for lp in paths if len(lp.features) == d]
+        lo = [[max((t for _, t, left in cs if not left), default=-np.inf) for cs in lp.conds] for lp in group]
+        hi = [[min((t for _, t, left in cs if left), default=np.inf) for cs in lp.conds] for lp in group]
+        out[d] = (np.array([lp.value for lp in group]), np.array([lp.features for lp in group]),
+                  np.array(lo), np.array(hi), np.array([lp.z for lp in group]))
+    return out
+
+
+def contributions_numpy(X: np.ndarray, paths: list[LeafPath], p: int, cells: int = 4_000_000) -> np.ndarray:
     """phi (n x p) for rows X (n x p): for each leaf with distinct path features P
     (|P| = d), o_j = row satisfies all of j's conditions, z_j = cover ratio product,
     phi_i += v (o_i - z_i) sum_{S in P minus i} w(|S|) prod_S o_j prod_rest z_j.
-    The subset sum is a polynomial in |S| built by a small dynamic programme."""
+    The subset sum is a polynomial in |S| built by a small dynamic programme, for many
+    leaves at once (about ``cells`` numbers at a time)."""
     n = X.shape[0]
     phi = np.zeros((n, p))
-    for lp in paths:
-        d = len(lp.features)
-        if d == 0:
-            continue
-        o = np.ones((n, d))
-        for k, conds in enumerate(lp.conds):
-            for f, thr, left in conds:
-                o[:, k] *= (X[:, f] <= thr) if left else (X[:, f] > thr)
-        z = np.array(lp.z)
-        w = _shap_weights(d)
-        for k in range(d):
-            # coefficients c[s] = sum over subsets S of the other d-1 features with |S| = s
-            c = np.zeros((n, d))
-            c[:, 0] = 1.0
-            m = 0
-            for j in range(d):
-                if j == k:
-                    continue
-                nxt = c * z[j]
-                nxt[:, 1:m + 2] += c[:, 0:m + 1] * o[:, j:j + 1]
-                c = nxt
-                m += 1
-            phi[:, lp.features[k]] += lp.value * (o[:, k] - z[k]) * (c @ w)
+    for d, (value, feature, low, high, ratio) in _by_size(paths).items():
+        w, step = _shap_weights(d), max(1, cells // max(1, n * d))
+        for at in range(0, len(value), step):
+            v, f, z = value[at:at + step], feature[at:at + step], ratio[at:at + step]
+            lo, hi, x = low[at:at + step], high[at:at + step], X[:, f]  # x: rows x leaves x d
+            o = (((x > lo) | (lo == -np.inf)) & ((x <= hi) | (hi == np.inf))).astype(np.float64)
+            for k in range(d):
+                # coefficients c[s] = sum over subsets S of the other d-1 features with |S| = s
+                c = np.zeros(o.shape)
+                c[:, :, 0] = 1.0
+                for m, j in enumerate(j for j in range(d) if j != k):
+                    nxt = c * z[:, j][None, :, None]
+                    nxt[:, :, 1:m + 2] += c[:, :, 0:m + 1] * o[:, :, j:j + 1]
+                    c = nxt
+                onto = np.zeros((len(v), p))
+                onto[np.arange(len(v)), f[:, k]] = 1.0
+                phi += (v * (o[:, :, k] - z[:, k]) * (c @ w)) @ onto
     return phi
 
 
