@@ -16,8 +16,8 @@ length, SHA-1 and SHA-256 agree. The largest id is found by a partial aggregate
 in a third of all rows is one row per task there, and the join back, of ids and digests, can be
 split by AQE. The payloads are shuffled once, to their shards.
 
-Defined results: a null html is the empty payload; a null id sorts first and is written
-as such; rows that repeat an id with an equal payload are all responses when that id is the
+Defined results: a null html is the empty payload, a null url an empty target; a null id
+sorts first and is written as such; rows that repeat an id with an equal payload are all responses when that id is the
 largest; an empty table gives an archive without files."""
 
 from __future__ import annotations
@@ -232,7 +232,8 @@ def read_archive(spark, uri: str) -> DataFrame:
                     raise ValueError(f"{name}: the manifest has another number of records")
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return names.repartition(max(1, names.count()), "file").mapInArrow(
+    tasks = min(names.count(), 10 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return names.repartition(max(1, tasks), "file").mapInArrow(
         run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
              "refers_to long, payload binary")
 
