@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.operators.clean import with_position
+
 
 def string_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields
@@ -84,13 +86,16 @@ class OneHotSpec:
 
 @dataclass(frozen=True)
 class FactorizeSpec:
-    """Ordinal codes in order of first appearance (by an explicit order key); NULL -> -1."""
+    """Ordinal codes in order of first appearance (by an explicit order key); NULL -> -1.
+    A column of at most ``max_levels`` values is coded by a literal map; a wider one by a
+    left join with its code table, which never passes the driver."""
 
     codes: dict[str, dict[str, int]] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, df: DataFrame, cols: list[str], order_col: str, max_levels: int = 1000) -> "FactorizeSpec":
-        codes = {}
+        codes, tables = {}, {}
         for c in cols:
             firsts = (df.where(F.col(c).isNotNull())
                       .groupBy(F.col(c).cast("string").alias("v"))
@@ -98,10 +103,12 @@ class FactorizeSpec:
             # at most max_levels + 1 (value, first position) rows reach the driver
             rows = firsts.limit(max_levels + 1).collect()
             if len(rows) > max_levels:
-                raise ValueError(f"column {c!r} has more than {max_levels} categories")
+                placed = with_position(firsts.withColumn("_o", F.struct("first_seen", "v")), "_o", "_code")
+                tables[c] = placed.select("v", (F.col("_code") - 1).cast("int").alias("_code"))
+                continue
             ordered = sorted(rows, key=lambda r: (r["first_seen"], r["v"]))
             codes[c] = {r["v"]: k for k, r in enumerate(ordered)}
-        return cls(codes)
+        return cls(codes, tables)
 
     def expr(self, col: str) -> Column:
         m = self.codes[col]
@@ -111,5 +118,10 @@ class FactorizeSpec:
         return F.coalesce(lit_map[F.col(col).cast("string")], F.lit(-1)).cast("int")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select(*[self.expr(c).alias(c) if c in self.codes else F.col(f"`{c}`")
-                           for c in df.columns])
+        columns = df.columns
+        for k, (c, table) in enumerate(self.tables.items()):
+            own = table.select(F.col("v").alias(f"_v{k}"), F.col("_code").alias(f"_c{k}"))
+            df = df.join(own, F.col(f"`{c}`").cast("string") == F.col(f"_v{k}"), "left")
+        wide = {c: F.coalesce(F.col(f"_c{k}"), F.lit(-1)) for k, c in enumerate(self.tables)}
+        return df.select(*[self.expr(c).alias(c) if c in self.codes else wide.get(c, F.col(f"`{c}`")).alias(c)
+                           for c in columns])

@@ -5,6 +5,7 @@ import tempfile
 
 from riskweave.operators.clean import narrow_types
 from riskweave.operators.correlate import collinear_cut
+from riskweave.operators.encode import FactorizeSpec
 from riskweave.operators.profile import missing_report
 from riskweave.plans import catalog
 from riskweave.sources.tables import read_table
@@ -34,3 +35,12 @@ def test_a_protected_column_still_removes_others(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, (i * 7919) % 13 * 1.0) for i in range(30)], "p double, q double, z double")
     assert collinear_cut(df, protect=["p"])[1] == ["q"]
     assert collinear_cut(df, protect=["q"])[1] == []
+
+
+def test_wide_columns_are_factorized_by_a_join(spark):
+    df = spark.range(60).selectExpr("id k", "cast(59 - id as string) a", "case when id % 7 > 0 then cast(id % 7 as string) end b")
+    few = FactorizeSpec.fit(df, ["a", "b"], "k")
+    many = FactorizeSpec.fit(df, ["a", "b"], "k", max_levels=5)
+    assert set(many.tables) == {"a", "b"} and not many.codes
+    key = lambda spec: sorted(map(tuple, spec.transform(df).collect()))
+    assert key(few) == key(many) and key(many)[0] == (0, 0, -1)
