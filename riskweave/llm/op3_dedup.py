@@ -203,9 +203,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """The rows that stay, with all their columns (pipeline stage). The row that stays is
     found again by id and text hash; of fully equal pairs of those, one row stays."""
-    kept = exact_dedup(docs, budget=budget).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    key = lambda sha: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), sha)
+    kept = exact_dedup(docs, budget=budget).where("kept").select(key(F.col("text_sha256")).alias("_key"))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
-    return (docs.withColumn("_text_sha", sha)
-            .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi")
-            .dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha"))
+    # one key, so that the join's partitioning serves the last step too: the texts move once
+    return docs.withColumn("_key", key(sha)).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
