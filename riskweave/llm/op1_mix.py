@@ -80,7 +80,7 @@ def ranked_rows(docs: DataFrame, id_col: str, source_col: str) -> tuple[DataFram
     key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
                    .groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-                   .withColumn("_md5", key).withColumn("_b", F.substring("_md5", 1, 4)), "mix")
+                   .withColumn("_md5", key).withColumn("_b", F.substring("_md5", 1, 3)), "mix")
     per = rows.groupBy("source", "_b").agg(F.sum("copies").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_b")
                                          .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
