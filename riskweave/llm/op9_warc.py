@@ -173,7 +173,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     rows = keyed(pages, id_col, url_col, html_col)
     both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(
         revisits(rows, revisit_bytes), allowMissingColumns=True)
-    dealt = (both.withColumn("shard", shard("page_id") if bounds else F.lit(0)).repartition(len(bounds) + 1, "shard")
+    dealt = (both.withColumn("shard", shard("page_id") if bounds else F.lit(0)).repartitionById(len(bounds) + 1, "shard")
              .sortWithinPartitions("shard", "page_id", "sha", F.col("payload").isNotNull(), "url"))
     manifest = dealt.select("shard", "page_id", "sha", "payload", "url", "refers_to").mapInArrow(run, MANIFEST)
     # committed by Spark's own output commit: the manifest exists whole or not at all
