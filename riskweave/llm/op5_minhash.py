@@ -4,15 +4,18 @@
    minima. Equal sets are one class (smallest id), so copies are never compared.
 2. Forest: ``TREES`` sorted orders of the classes, each starting at other minima. The orders are
    range-partitioned, so a dense region lies over as many tasks as it needs. Neighbours whose
-   common prefix is at least ``DEPTH`` minima are candidates; in a region of more than ``REGION``
-   classes the prefix is deeper: its windows of sorted neighbours. Two sets at the
+   common prefix is at least ``DEPTH`` minima are candidates. Two sets at the
    threshold share a region in some order with probability 1 - (1 - 0.8^3)^14 > 0.9999.
-   Windows compare signatures (estimate at least ``LEAST``, over 3.3 standard errors
-   below the threshold) and pass on a spanning forest, not pairs.
+   Signatures are compared (estimate at least ``LEAST``, over 3.3 standard errors
+   below the threshold) and a spanning forest is passed on, not pairs. A region of more than
+   ``REGION`` classes is first read in windows of sorted neighbours; then ``across`` compares
+   all its classes that the windows left in different components.
 3. The forest's components are verified on full sets, rebuilt from the texts of their
-   members alone. A component is one unit; one of more than ``UNIT`` members is again read in
-   windows of all its sorted orders. Pairs go by falling estimate and are skipped when
-   already connected, so a dense group costs about one check a member.
+   members alone. A component is one unit; one of more than ``UNIT`` members is first read in
+   windows of sorted orders, then ``across`` compares all its members that are not
+   linked yet. In a window pairs go by falling estimate and are skipped when
+   already connected, so a dense group costs about one check a member. What is not
+   connected costs a comparison a pair, by pairs of blocks spread over all tasks.
 4. The components of the confirmed links are the result.
 
 Defined results: null text and texts without words have an empty set and link with
@@ -30,6 +33,7 @@ from riskweave.llm.components import components, spanning
 
 SHINGLE, PERCENT = 4, 80  # the query's contract
 HASHES, TREES, DEPTH = 112, 14, 3
+CHAINS = 4  # orders read in windows before the members of a big component are compared across
 LEAST = 0.66
 REGION, UNIT = 1024, 2048
 CACHED_WORDS = 200_000
@@ -148,11 +152,114 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
         run, "doc_id long, n_shingles long, set_key binary, minima binary")
 
 
+def alike_across(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs of signatures with different labels whose estimate is at least ``least``."""
+    need, found = int(np.ceil(least * HASHES)), [(np.zeros(0, int),) * 2]
+    for lo in range(0, len(a), 32):
+        agree = np.stack([(b == row).sum(axis=1, dtype=np.int16) for row in a[lo:lo + 32]])
+        i, j = np.nonzero((agree >= need) & (la[lo:lo + 32, None] != lb))
+        found.append((i + lo, j))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``. Elements that
+    many sets share are counted by a matrix product, the others by a join."""
+    na, nb = len(a), len(b)
+    _, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    split = sum(map(len, a))
+    own = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (a, b)]
+    at = (at[:split], at[split:])
+    n = max((int(x.max()) + 1 for x in at if len(x)), default=0)
+    ca, cb = (np.bincount(x, minlength=n) for x in at)
+    both = np.zeros(na * nb, dtype=np.int64)
+    heavy = np.nonzero(ca * cb > 64)[0]
+    place = np.full(n, -1)
+    place[heavy] = np.arange(len(heavy))
+    for lo in range(0, len(heavy), 2048):
+        sides = []
+        for x, o, rows in ((at[0], own[0], na), (at[1], own[1], nb)):
+            col = place[x] - lo
+            inside = (col >= 0) & (col < 2048) & (place[x] >= 0)
+            m = np.zeros((rows, 2048), dtype=np.float32)
+            m[o[inside], col[inside]] = 1
+            sides.append(m)
+        both += np.rint(sides[0] @ sides[1].T).astype(np.int64).ravel()
+    light = (ca * cb > 0) & (place < 0)
+    x, ox = at[0][light[at[0]]], own[0][light[at[0]]]
+    y, oy = at[1][light[at[1]]], own[1][light[at[1]]]
+    order = np.argsort(y, kind="stable")
+    start = np.searchsorted(y[order], x)
+    times = cb[x]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    j = oy[order][np.repeat(start, times) + step]
+    return (both + np.bincount(np.repeat(ox, times) * nb + j, minlength=na * nb)).reshape(na, nb)
+
+
+def confirmed_across(a: list[np.ndarray], b: list[np.ndarray], la: np.ndarray, lb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all pairs of full sets with different labels that reach the threshold."""
+    both, size = overlaps(a, b), [np.array([len(s) for s in x]) for x in (a, b)]
+    return np.nonzero((100 * both >= percent * (size[0][:, None] + size[1] - both)) & (la[:, None] != lb))
+
+
+def across(rows: DataFrame, group: list[str], size: int, compare) -> DataFrame:
+    """Edges (a, b) that connect the pairs which ``compare`` finds among rows of one group with
+    different labels; no pair is left out. ``rows``: group, doc_id, label, payload. Rows of
+    one large label form blocks of their own, smaller labels share blocks (about ``size``
+    rows, fewer long ones); a block is packed once and every pair of blocks is one row, but
+    for those inside one label. ``compare(payloads, payloads, labels, labels)`` gives (i, j)."""
+    rows = rows.withColumn("w", F.ceil((F.length("payload") + 1) / F.lit(4096)).cast("long"))
+    per = written(rows.groupBy(*group, "label").agg(F.sum("w").alias("n")), "labels")
+    pool = per.groupBy(*group).agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(F.col("n") <= size, F.col("n")).otherwise(0)).alias("pooled"))
+    on = [*group, "label"]
+    large = per.where(F.col("n") > size)
+    keyed = rows.join(pool.where("labels > 1"), group).join(large, on, "left")
+    pure = F.col("n").isNotNull()
+    parts = F.greatest(F.ceil(F.coalesce("n", "pooled") / F.lit(size)), F.lit(1)).cast("long")
+    keyed = (keyed.withColumn("pure", pure).withColumn("own", F.when(pure, F.col("label")).otherwise(F.lit(0).cast("long")))
+             .withColumn("part", F.pmod(F.when(pure, F.xxhash64("doc_id")).otherwise(F.xxhash64("label")), parts)))
+    name = ["pure", "own", "part"]
+    blocks = written(keyed.groupBy(*group, *name).agg(F.collect_list(F.struct("doc_id", "label", "payload")).alias("rows")), "blocks")
+
+    def side(mark: str, *more: str) -> DataFrame:
+        return blocks.select(*group, *[F.col(c).alias(f"{mark}{c}") for c in (*name, *more)])
+
+    x, y = (F.struct(*[f"{mark}{c}" for c in name]) for mark in "xy")
+    apart = ~F.col("xpure") | ~F.col("ypure") | (F.col("xown") != F.col("yown"))
+    pairs = side("x").join(side("y"), group).where((x <= y) & apart)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = written(pairs.repartition(n, *group, *[f"{m}{c}" for m in "xy" for c in name]), "pairs")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def read(cell):
+            ids, labels, payloads = cell.values.flatten()
+            return ids.to_numpy(), labels.to_numpy(), payloads
+
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1)):
+                (ia, la, a), (ib, lb, b) = read(left), read(right)
+                i, j = compare(a, b, la, lb)
+                if len(i):
+                    e, ids = np.array(spanning(i, j + len(ia), len(ia) + len(ib))), np.concatenate([ia, ib])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]])], names=["a", "b"])
+
+    return (pairs.join(side("x", "rows"), [*group, *[f"x{c}" for c in name]])
+            .join(side("y", "rows"), [*group, *[f"y{c}" for c in name]]).select("xrows", "yrows").mapInArrow(run, "a long, b long"))
+
+
+def labelled(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """``rows`` with the component of doc_id in ``member`` (node, component) as label, or its own id."""
+    m = member.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    return rows.join(m, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
 ORDER_ROW = "tree int, k1 long, k2 long, doc_id long, sig binary"
 
 
 def candidates(found: DataFrame, least: float, region: int) -> DataFrame:
-    """Edges (a, b) that connect the alike neighbours of the sorted orders."""
+    """Edges (a, b) that connect the alike classes of every region of the sorted orders."""
 
     def deal(batches):
         import pyarrow as pa
@@ -182,8 +289,23 @@ def candidates(found: DataFrame, least: float, region: int) -> DataFrame:
     spark = found.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = found.select("doc_id", "minima").mapInArrow(deal, ORDER_ROW)
-    return (rows.repartitionByRange(n, "tree", "k1", "k2").sortWithinPartitions("tree", "k1", "k2", "doc_id")
-            .mapInArrow(neighbours, "a long, b long"))
+    large = written(rows.groupBy("tree", "k1").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > region).select("tree", "k1"), "regions")
+    found_in = lambda d, keys: (d.repartitionByRange(n, *keys).sortWithinPartitions("tree", "k1", "k2", "tie", "doc_id")
+                                .mapInArrow(neighbours, "a long, b long"))
+    # equal keys are never split, so no border cuts a region of at most one window
+    tied = rows.withColumn("tie", F.xxhash64("tree", "doc_id"))
+    near = found_in(tied.join(large, ["tree", "k1"], "left_anti"), ["tree", "k1"])
+    if large.isEmpty():
+        return near
+    # borders may cut a large region, anywhere in its ties, which each tree orders anew
+    dense = written(tied.join(large, ["tree", "k1"]), "dense")
+    near = written(near.unionByName(found_in(dense, ["tree", "k1", "k2", "tie"])), "neighbours")
+
+    def compare(a, b, la, lb):
+        return alike_across(fixed_bytes(a, HASHES), fixed_bytes(b, HASHES), la, lb, least)
+
+    classes = dense.select("tree", "k1", "doc_id", F.col("sig").alias("payload"))
+    return near.unionByName(across(labelled(classes, components(near)), ["tree", "k1"], region, compare))
 
 
 def verified(docs: DataFrame, member: DataFrame, id_col: str, text_col: str, shingle: int, percent: int,
@@ -222,7 +344,7 @@ def verified(docs: DataFrame, member: DataFrame, id_col: str, text_col: str, shi
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 k1, k2 = order_keys(fixed_bytes(part.column(2), 2 * HASHES).copy().view(np.uint16))
-                for tree in range(TREES):
+                for tree in range(CHAINS):
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns, pa.array(np.full(len(k1), tree, dtype=np.int32)), pa.array(k1[:, tree]), pa.array(k2[:, tree])],
                         names=["doc_id", "component", "minima", "packed", "tree", "k1", "k2"])
@@ -245,11 +367,24 @@ def verified(docs: DataFrame, member: DataFrame, id_col: str, text_col: str, shi
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = (rows.where("not big").select("doc_id", "component", "minima", "packed")
              .repartition("component").sortWithinPartitions("component", "doc_id"))
-    parts = (rows.where("big").select("doc_id", "component", "minima", "packed")
-             .mapInArrow(deal, "doc_id long, component long, minima binary, packed binary, tree int, k1 long, k2 long")
-             .repartitionByRange(n, "component", "tree", "k1", "k2").sortWithinPartitions("component", "tree", "k1", "k2", "doc_id"))
-    return whole.mapInArrow(confirm(["component"]), "a long, b long").unionByName(
-        parts.mapInArrow(confirm(["component", "tree"]), "a long, b long"))
+    small = whole.mapInArrow(confirm(["component"]), "a long, b long")
+    big = rows.where("big").select("doc_id", "component", "minima", "packed")
+    if big.isEmpty():
+        return small
+    keys = ["component", "tree", "k1", "k2", "tie"]
+    parts = (big.mapInArrow(deal, "doc_id long, component long, minima binary, packed binary, tree int, k1 long, k2 long")
+             .withColumn("tie", F.xxhash64("tree", "doc_id"))
+             .repartitionByRange(n, *keys).sortWithinPartitions(*keys, "doc_id"))
+    chained = written(parts.mapInArrow(confirm(["component", "tree"]), "a long, b long"), "chained")
+
+    def compare(a, b, la, lb):
+        shingles, unpack = Shingler(shingle), zstandard.ZstdDecompressor()
+        one, other = ([shingles(unpack.decompress(p.as_py())) for p in side] for side in (a, b))
+        return confirmed_across(one, other, la, lb, percent)
+
+    members = big.select("component", "doc_id", F.col("packed").alias("payload"))
+    rest = across(labelled(members, components(chained)), ["component"], max(1, unit // 2), compare)
+    return small.unionByName(chained).unionByName(rest)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

@@ -87,3 +87,35 @@ def test_components_and_spanning(spark):
     forest = spanning(a, b, 131)
     assert partition(forest, range(131)) == partition(edges, range(131))
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def family(members, seed=7):
+    """Texts of one template (pairs below the threshold, mostly above ``LEAST``), every text with one partner that links with it."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared, texts = [word() for _ in range(88)], []
+    for _ in range(members // 2):
+        a = shared + [word() for _ in range(16)]
+        texts += [a, a[:-4] + [word() for _ in range(4)]]
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_partners_in_a_large_family_meet_whatever_the_partitions(spark):
+    rows = family(600)
+    want = brute(rows)
+    assert 250 < sum(r[3] for r in want) < 350
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert sorted(map(tuple, op.near_dedup(docs(spark, rows), region=24, unit=40).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_overlaps_equal_python_sets():
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.choice(m, k)).astype(np.uint64) for m, k in [(20, 30), (40, 30), (5000, 60), (1, 0)] * r] for r in (9, 7))
+    assert op.overlaps(a, b).tolist() == [[len(set(x) & set(y)) for y in map(np.ndarray.tolist, b)] for x in map(np.ndarray.tolist, a)]
+    assert op.overlaps([a[3]], [b[3]]).tolist() == [[0]]
