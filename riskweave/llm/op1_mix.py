@@ -18,6 +18,10 @@ A source of any size is ranked in hash-prefix buckets with offsets, rows that re
 (source, doc_id) are one row with a count until their places are known, and only the source
 table (a row a source) carries the schedule.
 
+The registered query's SQL fixes the frame, so its error against the target grows with the stream.
+The pipeline's stage (``mixed``) has no frame: it nests the sources in a tree and stays within two
+blocks of the target weights over any length.
+
 Defined results: a null source is a source of its own; a null doc_id comes first; rows
 that repeat an id get consecutive places; an empty table gives no rows; sources without a given
 weight take part with the smallest share; texts are not read."""
@@ -109,11 +113,83 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
                          slot.cast("long").alias("slot"), (slot * block_rows + F.col("rank") % block_rows).cast("long").alias("position"))
 
 
+# A leaf's k-th block, counted up its path: the m-th block of a child is the n-th of its parent.
+CLIMB = """aggregate(path, k, (m, s) -> IF(s.left,
+    (cast(s.w AS decimal(15,0)) * cast(2 * m + 1 AS decimal(20,0)) + 2 * s.a - 1) DIV cast(2 * s.a AS decimal(16,0)) - 1,
+    cast(s.w AS decimal(15,0)) * cast(2 * m + 1 AS decimal(20,0)) DIV cast(2 * s.a AS decimal(16,0))))"""
+UNIT = 1 << 40  # weights are whole numbers of this part
+
+
+def climbed(path: list[tuple[bool, int, int]], k: int) -> int:
+    for left, a, w in path:
+        k = (w * (2 * k + 1) + 2 * a - 1) // (2 * a) - 1 if left else w * (2 * k + 1) // (2 * a)
+    return k
+
+
+def nested_rows(sizes: list[tuple], weights: dict[str, float] | None, block_rows: int) -> list[tuple]:
+    """(source, blocks, path, base, until, upto) of every (source, n): a Huffman tree of the weights.
+    A node deals its slots to its two children by rounding, so each is half a block off at
+    most; an inner node has at most 2/3 of its parent's weight, so a source is less than
+    1/2 + 3/2 blocks off its target at every slot, however long the stream is. Sources of
+    weight 0 follow the stream (base), once."""
+    import heapq
+
+    target = [max(0.0, float(weights.get(s, 0.0))) if weights is not None else n ** 0.75 for s, n in sizes]
+    if not any(target):
+        target = [1.0] * len(sizes)
+    whole = sum(target)
+    units = [max(1, round(t / whole * UNIT)) if t > 0 else 0 for t in target]
+    blocks = [-(-n // block_rows) for _, n in sizes]
+    heap = [(u, i, i) for i, u in enumerate(units) if u]
+    heapq.heapify(heap)
+    up, free = {}, len(sizes)
+    while len(heap) > 1:
+        (b, _, right), (a, _, left) = heapq.heappop(heap), heapq.heappop(heap)
+        up[left], up[right] = (free, True, a, a + b), (free, False, b, a + b)
+        heapq.heappush(heap, (a + b, free, free))
+        free += 1
+
+    def path(i: int) -> list[tuple[bool, int, int]]:
+        out = []
+        while i in up:
+            i, *step = up[i]
+            out.append(tuple(step))
+        return out
+
+    paths = [path(i) for i in range(len(sizes))]
+    last = max((climbed(p, b - 1) for p, b, u in zip(paths, blocks, units) if u), default=-1)
+    rows, after = [], last + 1
+    for (source, _), p, b, u in zip(sizes, paths, blocks, units):
+        if u:
+            rows.append((source, b, p, 0, last, (last + 1) * u // sum(units) + 3))
+        else:
+            rows.append((source, b, [], after, after + b - 1, b - 1))
+            after += b
+    return rows
+
+
+def places(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, source, copy, slot, position) of a stream that follows the target weights themselves,
+    without a frame; only the source table (a row a source) is computed on the driver."""
+    rows, sizes = ranked_rows(docs, "doc_id", "source")
+    known = sorted(((r["source"], r["n"]) for r in sizes.collect()), key=lambda r: (r[0] is not None, r[0] or ""))
+    own = docs.sparkSession.createDataFrame(
+        nested_rows(known, weights, block_rows),
+        "_source string, blocks long, path array<struct<left: boolean, a: long, w: long>>, base long, until long, upto long")
+    placed = (rows.join(own, F.col("source").eqNullSafe(F.col("_source")))
+              .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+              .withColumn("rank", F.col("rank") + F.col("copy"))
+              .withColumn("block", F.floor(F.col("rank") / F.lit(block_rows)).cast("long"))
+              .withColumn("k", F.explode(F.sequence(F.col("block"), F.col("upto"), F.col("blocks"))))
+              .withColumn("slot", F.col("base") + F.expr(CLIMB)).where("slot <= until"))
+    return placed.select("doc_id", "source", "copy", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"))
+
+
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The mixed stream of whole rows in its order (pipeline stage): a document comes as often as
-    its source's share asks, at least once. Rows that repeat (source, doc_id) each come as often as the first."""
-    places = mix(docs, weights).where("copy = 0").select(
+    its source's target asks, at least once. Rows that repeat (source, doc_id) each come as often as the first."""
+    at = places(docs, weights).where("copy = 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("position").alias("_position"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stream = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    stream = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
     return stream.repartitionByRange(n, "_position").sortWithinPartitions("_position").select(*docs.columns)

@@ -51,3 +51,29 @@ def test_empty(spark):
 def test_native(spark):
     plan = registry.queries()["op1_pfair_mix"](spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_stage_follows_the_target_not_a_frame(spark):
+    sizes = {f"s{k}": 1 for k in range(599)} | {"big": 6000}
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    got = Counter(r["source"] for r in op.mixed(d).collect())
+    root = {s: n ** 0.75 for s, n in sizes.items()}
+    slots = op.nested_rows(list(sizes.items()), None, op.BLOCK_ROWS)[0][4] + 1
+    assert abs(got["big"] / op.BLOCK_ROWS - slots * root["big"] / sum(root.values())) < 2 + 1
+
+
+def test_places_stay_within_two_blocks_of_the_target(spark):
+    sizes = {"a": 3000, "b": 700, "c": 40, "d": 3, "e": 1, None: 5}
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    for weights, never in ((None, set()), ({"a": 0.9, "b": 0.0895, "c": 0.01, "d": 0.0005}, {"e", None})):
+        got = op.places(d, weights, block_rows=1).collect()
+        assert {r["doc_id"] for r in got} == set(range(sum(sizes.values())))
+        by_slot = {r["slot"]: r["source"] for r in got}
+        assert sorted(by_slot) == list(range(len(got)))  # one block a slot, none empty
+        target = weights or {s: n ** 0.75 for s, n in sizes.items()}
+        stream, done = len(got) - sum(sizes[s] for s in never), Counter()
+        assert all(by_slot[slot] in never for slot in range(stream, len(got)))
+        for slot in range(stream):
+            done[by_slot[slot]] += 1
+            for s, w in target.items():
+                assert abs(w / sum(target.values()) * (slot + 1) - done[s]) < 2
