@@ -164,8 +164,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is known (pipeline stage): those without a letter, or not
-    nearer to one language than to the centre of all, go. Rows keep all their columns."""
+    """The documents whose language is known (pipeline stage): those without a letter ('und') go. The
+    score rejects no text in practice, so a language never learned passes as the nearest one. Rows keep all their columns."""
     model = fit(docs)
 
     def run(batches):
