@@ -24,13 +24,24 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder: cuts the lineage, survives the
-    loss of executors and is computed once however often it is read."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written`` and the folder of the table."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: cuts the lineage, survives the
+    loss of executors and is computed once however often it is read."""
+    return written_at(df, name)[0]
+
+
+def discarded(spark: SparkSession, path: str) -> None:
+    """Deletes the folder of a table that ``written_at`` made and that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_bytes(col: str):

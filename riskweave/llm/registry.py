@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from riskweave.llm import (op1_mix, op2_pack, op3_dedup, op4_langid, op5_minhash, op6_html, op7_lm, op8_pii, op9_warc, op10_embed,
-                           op11_fim, sql)
+                           op11_fim, op12_codes, sql)
 from riskweave.llm.common import table
 
 _OPERATORS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
@@ -23,6 +23,7 @@ _OPERATORS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "op9_warc": (op9_warc.round_trip, "pages"),
     "op10_embed_dedup": (op10_embed.near_links, "embeddings"),
     "op11_fim_assembly": (op11_fim.digests, "documents"),
+    "op12_active_lloyd": (op12_codes.compress, "embeddings"),
 }
 
 
@@ -37,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {"op1_pfair_mix": sql.OP1, "op3_trie_dedup": sql.OP3, "op5_minhash_forest": sql.OP5,
             "op7_backoff_score": sql.OP7, "op9_warc": sql.OP9, "op10_embed_dedup": sql.OP10,
-            "op11_fim_assembly": sql.OP11}
+            "op11_fim_assembly": sql.OP11, "op12_active_lloyd": sql.OP12}

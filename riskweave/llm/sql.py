@@ -108,3 +108,32 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
               ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM s
 """
+
+_DISTANCE = "list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x)"
+
+
+def _op12(rounds: int) -> str:
+    """Every round as plain full scans of the codebooks."""
+    steps = ["""b0 AS MATERIALIZED (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry
+        FROM p QUALIFY entry < 256)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT p.vec_id, p.part, any_value(p.x) AS x, min({{'d': {_DISTANCE}, 'e': b.entry}}) AS best
+        FROM p JOIN b{r} b ON p.part = b.part GROUP BY p.vec_id, p.part)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT part, best.e AS entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r}),
+m{r} AS (SELECT part, entry, i, CAST(floor(sum(v) / count(*)) AS DOUBLE) AS v FROM s{r} GROUP BY part, entry, i),
+n{r} AS (SELECT part, entry, list(v ORDER BY i) AS x FROM m{r} GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN n{r} n ON n.part = b.part AND n.entry = b.entry)""")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS DOUBLE)) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)),
+p AS MATERIALIZED (SELECT vec_id, k AS part, q[len(q) // 4 * k + 1:len(q) // 4 * (k + 1)] AS x FROM v, (SELECT unnest(range(4)) AS k)),
+{(","+chr(10)).join(steps)},
+c AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+k AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS h FROM b{rounds})
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, k.h AS codebooks_sha256
+FROM c JOIN v ON v.vec_id = c.vec_id, k
+"""
+
+
+OP12 = _op12(4)
