@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from riskweave.llm import (op1_mix, op2_pack, op3_dedup, op4_langid, op5_minhash, op6_html, op7_lm, op8_pii, op9_warc, op10_embed,
-                           op11_fim, op12_codes, sql)
+                           op11_fim, op12_codes, op13_toxic, sql)
 from riskweave.llm.common import table
 
 _OPERATORS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
@@ -31,8 +31,12 @@ def _query(operator: Callable[[DataFrame], DataFrame], name: str) -> Callable[[S
     return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_toxic.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _query(*v) for k, v in _OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
+    return {k: _query(*v) for k, v in _OPERATORS.items()} | {"op13_toxic_automata": _toxicity, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
