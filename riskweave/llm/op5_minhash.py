@@ -208,27 +208,30 @@ def across(rows: DataFrame, group: list[str], size: int, compare) -> DataFrame:
     one large label form blocks of their own, smaller labels share blocks (about ``size``
     rows, fewer long ones); a block is packed once and every pair of blocks is one row, but
     for those inside one label. ``compare(payloads, payloads, labels, labels)`` gives (i, j)."""
+    from pyspark.sql import Window
+
     rows = rows.withColumn("w", F.ceil((F.length("payload") + 1) / F.lit(4096)).cast("long"))
     per = written(rows.groupBy(*group, "label").agg(F.sum("w").alias("n")), "labels")
-    pool = per.groupBy(*group).agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(F.col("n") <= size, F.col("n")).otherwise(0)).alias("pooled"))
-    on = [*group, "label"]
-    large = per.where(F.col("n") > size)
-    keyed = rows.join(pool.where("labels > 1"), group).join(large, on, "left")
-    pure = F.col("n").isNotNull()
-    parts = F.greatest(F.ceil(F.coalesce("n", "pooled") / F.lit(size)), F.lit(1)).cast("long")
-    keyed = (keyed.withColumn("pure", pure).withColumn("own", F.when(pure, F.col("label")).otherwise(F.lit(0).cast("long")))
-             .withColumn("part", F.pmod(F.when(pure, F.xxhash64("doc_id")).otherwise(F.xxhash64("label")), parts)))
-    name = ["pure", "own", "part"]
-    blocks = written(keyed.groupBy(*group, *name).agg(F.collect_list(F.struct("doc_id", "label", "payload")).alias("rows")), "blocks")
-
-    def side(mark: str, *more: str) -> DataFrame:
-        return blocks.select(*group, *[F.col(c).alias(f"{mark}{c}") for c in (*name, *more)])
-
-    x, y = (F.struct(*[f"{mark}{c}" for c in name]) for mark in "xy")
-    apart = ~F.col("xpure") | ~F.col("ypure") | (F.col("xown") != F.col("yown"))
-    pairs = side("x").join(side("y"), group).where((x <= y) & apart)
+    # blocks are numbered within the group: the pooled ones first, then those of each large label
+    room = lambda n: F.ceil(n / F.lit(size)).cast("long")
+    pool = per.groupBy(*group).agg(F.count(F.lit(1)).alias("labels"), room(F.sum(F.when(F.col("n") <= size, F.col("n")).otherwise(0))).alias("pooled"),
+                                   F.sum(F.when(F.col("n") > size, room(F.col("n"))).otherwise(0)).alias("own")).where("labels > 1").select(
+        *group, "pooled", (F.col("pooled") + F.col("own")).alias("blocks"))
+    before = F.coalesce(F.sum("parts").over(Window.partitionBy(*group).orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    large = per.where(F.col("n") > size).select(*group, "label", room(F.col("n")).alias("parts")).withColumn("before", before)
+    keyed = rows.join(pool, group).join(large, [*group, "label"], "left")
+    first = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.col("pooled") + F.col("before")).cast("long")
+    block = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("label"), F.col("pooled"))).otherwise(first + F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    # the first block that a block is compared with: itself, or what follows its label's blocks
+    upto = F.when(F.col("parts").isNull(), F.col("block")).otherwise(first + F.col("parts"))
+    blocks = written(keyed.withColumn("block", block).withColumn("upto", upto).groupBy(*group, "block").agg(
+        F.min("upto").alias("upto"), F.max("blocks").alias("blocks"), F.collect_list(F.struct("doc_id", "label", "payload")).alias("rows")), "blocks")
+    many = blocks.where("upto < blocks").select(*group, F.col("block").alias("x"), F.explode(F.sequence("upto", F.col("blocks") - 1)).alias("y"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = written(pairs.repartition(n, *group, *[f"{m}{c}" for m in "xy" for c in name]), "pairs")
+    pairs = many.repartition(n, *group, "x", "y")
+
+    def side(mark: str) -> DataFrame:
+        return blocks.select(*group, F.col("block").alias(mark), F.col("rows").alias(f"{mark}rows"))
 
     def run(batches):
         import pyarrow as pa
@@ -245,8 +248,7 @@ def across(rows: DataFrame, group: list[str], size: int, compare) -> DataFrame:
                     e, ids = np.array(spanning(i, j + len(ia), len(ia) + len(ib))), np.concatenate([ia, ib])
                     yield pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]])], names=["a", "b"])
 
-    return (pairs.join(side("x", "rows"), [*group, *[f"x{c}" for c in name]])
-            .join(side("y", "rows"), [*group, *[f"y{c}" for c in name]]).select("xrows", "yrows").mapInArrow(run, "a long, b long"))
+    return (pairs.join(side("x"), [*group, "x"]).join(side("y"), [*group, "y"]).select("xrows", "yrows").mapInArrow(run, "a long, b long"))
 
 
 def labelled(rows: DataFrame, member: DataFrame) -> DataFrame:
