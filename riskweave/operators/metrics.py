@@ -52,15 +52,22 @@ def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
     return c.select(F.expr("stack(4, 0, 0, tn, 0, 1, fp, 1, 0, fn, 1, 1, tp) AS (actual, predicted, n)"))
 
 
+def missing_last(score: str):
+    """The score as a double; a missing one (NULL, NaN) is below every threshold, in every metric."""
+    x = F.col(score).cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(float("-inf"))).otherwise(x)
+
+
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(score, pos, neg) per distinct score."""
-    return df.groupBy(F.col(score).alias("score")).agg(
+    """(score, pos, neg) per distinct score; missing scores are one score below all."""
+    return df.groupBy(missing_last(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
 def cumulative(df: DataFrame, order_col: str, cols: list[str], descending: bool = False,
-               partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums ``cum_<c>`` in ``order_col`` order.
+               partitions: int | None = None, following: bool = False) -> DataFrame:
+    """Inclusive running sums ``cum_<c>`` in ``order_col`` order; with ``following`` also ``next_<c>``, the value of
+    the next row (NULL at the last one), carried over the borders of the ranges.
 
     The input is already aggregated (e.g. one row per distinct score). Rows are
     range-partitioned and carry the number of their range as a column, fixed by a
@@ -71,28 +78,41 @@ def cumulative(df: DataFrame, order_col: str, cols: list[str], descending: bool
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
     ranged = cut_lineage(df.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = (ranged.groupBy(F.col("_range").alias("_r")).agg(*[F.sum(F.col(c).cast("double")).alias(f"_t_{c}") for c in cols])
-               .select("_r", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0.0)).alias(f"_o_{c}") for c in cols]))
+    first = F.max_by if descending else F.min_by
+    offsets = (ranged.groupBy(F.col("_range").alias("_r")).agg(*[F.sum(F.col(c).cast("double")).alias(f"_t_{c}") for c in cols],
+                                                               *[first(c, order_col).alias(f"_f_{c}") for c in cols])
+               .select("_r", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0.0)).alias(f"_o_{c}") for c in cols],
+                       *[F.lead(f"_f_{c}").over(Window.orderBy("_r")).alias(f"_n_{c}") for c in cols]))
     inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select("*", *[F.sum(F.col(c).cast("double")).over(inside).alias(f"_l_{c}") for c in cols])
+    steps = Window.partitionBy("_range").orderBy(key)
+    local = ranged.select("*", *[F.sum(F.col(c).cast("double")).over(inside).alias(f"_l_{c}") for c in cols],
+                          *[F.lead(c).over(steps).alias(f"_i_{c}") for c in cols if following])
     return local.join(offsets, F.col("_range") == F.col("_r")).select(
-        *df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"cum_{c}") for c in cols])
+        *df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"cum_{c}") for c in cols],
+        *[F.coalesce(f"_i_{c}", f"_n_{c}").alias(f"next_{c}") for c in cols if following])
 
 
-def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    """ML10: (threshold, tpr, fpr) for every distinct score, thresholds descending."""
+def roc_points(df: DataFrame, label: str, score: str, drop_intermediate: bool = True) -> DataFrame:
+    """ML10: (threshold, tpr, fpr), thresholds descending from the start point (+inf, 0, 0). With
+    ``drop_intermediate`` a point whose step to the next one equals the step that led to it is left out, but for
+    the first and the last score. Missing scores are the last threshold (-inf); a class without rows has rate 0."""
     sc = score_counts(df, label, score)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()  # one row
+    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.max("score").alias("top")).first()  # one row
     P, N = float(tot["P"] or 0), float(tot["N"] or 0)
-    cum = cumulative(sc, "score", ["pos", "neg"], descending=True)
-    return cum.select(F.col("score").alias("threshold"),
-                      (F.col("cum_pos") / P if P else F.lit(0.0)).alias("tpr"),
-                      (F.col("cum_neg") / N if N else F.lit(0.0)).alias("fpr"))
+    cum = cumulative(sc, "score", ["pos", "neg"], descending=True, following=drop_intermediate)
+    if drop_intermediate:
+        straight = (F.col("pos") == F.col("next_pos")) & (F.col("neg") == F.col("next_neg")) & (F.col("score") != F.lit(tot["top"]))
+        cum = cum.where(~F.coalesce(straight, F.lit(False)))
+    points = cum.select(F.col("score").alias("threshold"),
+                        (F.col("cum_pos") / P if P else F.lit(0.0)).alias("tpr"),
+                        (F.col("cum_neg") / N if N else F.lit(0.0)).alias("fpr"))
+    start = df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, tpr double, fpr double")
+    return start.unionByName(points)
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """ML7 exact, tie-aware AUC = sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N);
-    NULL when only one class is present."""
+    NULL when only one class is present. Missing scores rank lowest."""
     sc = score_counts(df, label, score)
     cum = cumulative(sc, "score", ["neg"])
     below = F.col("cum_neg") - F.col("neg")
@@ -103,7 +123,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def youden(roc: DataFrame) -> DataFrame:
-    """ML11: argmax(tpr - fpr); the first maximum in descending-threshold order."""
+    """ML11: argmax(tpr - fpr); the first maximum in descending-threshold order, so +inf where no score beats the start."""
     j = roc.withColumn("j", F.col("tpr") - F.col("fpr"))
     best = j.agg(F.max_by(F.struct("threshold", "tpr", "fpr", "j"),
                           F.struct(F.col("j"), F.col("threshold"))).alias("b"))
@@ -118,9 +138,7 @@ def threshold_sweep(df: DataFrame, label: str, score: str, beta: float = 10.0,
     ts = thresholds or sweep_thresholds()
     bk = Bucketizer(splits=[-float("inf")] + ts + [float("inf")], inputCol=score, outputCol="_b",
                     handleInvalid="keep")
-    x = F.col(score).cast("double")  # a missing score is below every threshold
-    x = F.when(x.isNull() | F.isnan(x), F.lit(float("-inf"))).otherwise(x)
-    counts = (bk.transform(df.select(F.col(label).alias("y"), x.alias(score)))
+    counts = (bk.transform(df.select(F.col(label).alias("y"), missing_last(score).alias(score)))
               .groupBy("_b").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")))
     spark = df.sparkSession
     tdf = spark.createDataFrame([(k + 1, t) for k, t in enumerate(ts)], "_b int, threshold double")

@@ -134,19 +134,33 @@ def q_auc(spark, d):
     return round_doubles(M.roc_auc(E.scored_labels(spark, d), LABEL, "SCORE"))
 
 
-_ROC = ("roc AS (SELECT score AS threshold,\n"
+_ROC = ("steps AS (SELECT *, lead(pos) OVER w AS np, lead(neg) OVER w AS nn, row_number() OVER w AS k FROM sc WINDOW w AS (ORDER BY score DESC)),\n"
+        "roc AS (SELECT threshold, tpr, fpr FROM (SELECT score AS threshold, k, np, nn, pos, neg,\n"
         "  CAST(sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / sum(pos) OVER () AS tpr,\n"
         "  CAST(sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / sum(neg) OVER () AS fpr\n"
-        "  FROM sc)")
+        "  FROM steps) p WHERE k = 1 OR np IS NULL OR np <> pos OR nn <> neg\n"
+        "  UNION ALL SELECT CAST('inf' AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE))")
 
 
 @register("q_roc_points", _with_scored(_SCORE_COUNTS, _ROC)
           + f"SELECT threshold, {S.r6('tpr')} AS tpr, {S.r6('fpr')} AS fpr FROM roc")
 def q_roc_points(spark, d):
-    """ML10: ROC points (threshold, tpr, fpr) at every distinct score."""
+    """ML10: ROC points (threshold, tpr, fpr) from the start point on, without points on a straight line."""
     return round_doubles(M.roc_points(E.scored_labels(spark, d), LABEL, "SCORE"))
 
 
+_OPPOSITE = "opposite AS (SELECT SK_ID_CURR, 1 - TARGET AS TARGET, SCORE FROM scored)"
+
+
+@register("q_youden_opposite", _with_scored(_OPPOSITE, _SCORE_COUNTS.replace("FROM scored", "FROM opposite"), _ROC)
+          + f"SELECT threshold, {S.r6('tpr')} AS tpr, {S.r6('fpr')} AS fpr, {S.r6('tpr - fpr')} AS j "
+            "FROM roc ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1")
+def q_youden_opposite(spark, d):
+    """ML11 on labels turned round: the scores lean the wrong way, so the start point can win."""
+    turned = E.scored_labels(spark, d).withColumn(LABEL, 1 - F.col(LABEL))
+    return round_doubles(M.youden(M.roc_points(turned, LABEL, "SCORE")))
+
+
 @register("q_youden", _with_scored(_SCORE_COUNTS, _ROC)
           + f"SELECT threshold, {S.r6('tpr')} AS tpr, {S.r6('fpr')} AS fpr, {S.r6('tpr - fpr')} AS j "
             "FROM roc ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1")

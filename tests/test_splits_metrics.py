@@ -49,7 +49,7 @@ def test_auc_ties_and_roc(spark):
     exp = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / 9
     assert abs(auc - exp) < 1e-12
     roc = sorted((r.threshold, r.tpr, r.fpr) for r in M.roc_points(df, "y", "s").collect())
-    assert roc[-1] == (0.9, 1 / 3, 0.0) and roc[0] == (0.2, 1.0, 1.0)
+    assert roc[-1] == (float("inf"), 0.0, 0.0) and roc[-2] == (0.9, 1 / 3, 0.0) and roc[0] == (0.2, 1.0, 1.0)
     y = M.youden(M.roc_points(df, "y", "s")).first()
     assert abs(y.j - max(t - f for _, t, f in roc)) < 1e-12
 
