@@ -1,6 +1,6 @@
-"""Training side (ML1-ML6, ML14-ML15): class weights, imputation with NULL
-indicators, the gradient-boosted tree pipeline, grid search over stratified folds,
-cross-validation report, refit with carried-over threshold, run records.
+"""Training side (ML1-ML6, ML14-ML15): class weights, missing values on a learned side of
+every split (or imputed, with NULL indicators), the gradient-boosted tree pipeline, grid search over
+stratified folds with staged scores, cross-validation report, refit with carried-over threshold, run records.
 
 All fitting is Spark ML (distributed histogram trees); the driver only sees
 parameters and metric rows."""
@@ -8,14 +8,13 @@ parameters and metric rows."""
 from __future__ import annotations
 
 import json
+from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +32,9 @@ REFERENCE_GRID = {
     "maxIter": [300, 500],
     "featureSubsetStrategy": ["0.6", "0.8"],
 }
+# Stand-ins of a missing value below and above all values: a nullable column enters the trees once with each.
+BELOW, ABOVE = -1e300, 1e300
+SIDES = ("_low", "_high")
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "auc", "fbeta"]
 
 
@@ -77,6 +79,26 @@ def preprocess_stages(features: list[str], nullable: list[str], relative_error:
     return stages, inputs
 
 
+def side_stages(features: list[str], nullable: list[str]):
+    """ML3: each nullable column enters twice, missing as below all values (``_low``) and as above
+    all (``_high``). A split on the first sends missing rows left, one on the second right, and the tree takes the
+    better one: every split learns its side. Nothing is fitted, no value is made up.
+    Returns (stages, model inputs)."""
+    stages = []
+    if nullable:
+        both = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {v!r}D) AS `{c}{side}`"
+                         for c in nullable for v, side in zip((BELOW, ABOVE), SIDES))
+        stages.append(SQLTransformer(statement=f"SELECT *, {both} FROM __THIS__"))
+    inputs = [i for c in features for i in ((f"{c}{SIDES[0]}", f"{c}{SIDES[1]}") if c in nullable else (c,))]
+    return stages, inputs
+
+
+def source_columns(inputs: list[str], features: list[str]) -> list[str]:
+    """The source column of every model input; both sides of a column name the same one."""
+    own = {f"{c}{side}": c for c in features for side in SIDES}
+    return [i if i in set(features) else own[i] for i in inputs]
+
+
 def gbt_estimator(label: str, weight_col: str | None = None, **params) -> GBTClassifier:
     p = dict(BASE_PARAMS)
     p.update(params)
@@ -86,15 +108,17 @@ def gbt_estimator(label: str, weight_col: str | None = None, **params) -> GBTCla
     return est
 
 
+def input_stages(features: list[str], nullable: list[str], missing: str = "sides", relative_error: float = 0.001) -> list:
+    """From the feature columns to the model's vector; ``missing``: "sides" or "impute"."""
+    stages, inputs = side_stages(features, nullable) if missing == "sides" else preprocess_stages(features, nullable, relative_error)
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
+
+
 def build_pipeline(features: list[str], label: str, nullable: list[str], weight_col: str | None = None,
-                   relative_error: float = 0.001, before=(), **params) -> Pipeline:
-    """ML1: [own stages,] [indicators, Imputer] -> VectorAssembler -> GBTClassifier. ``before``:
+                   relative_error: float = 0.001, before=(), missing: str = "sides", **params) -> Pipeline:
+    """ML1: [own stages,] missing values -> VectorAssembler -> GBTClassifier. ``before``:
     further preprocessing stages, fitted with the pipeline (on the training rows only)."""
-    stages, inputs = preprocess_stages(features, nullable, relative_error)
-    stages = [*before, *stages]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    stages.append(gbt_estimator(label, weight_col, **params))
-    return Pipeline(stages=stages)
+    return Pipeline(stages=[*before, *input_stages(features, nullable, missing, relative_error), gbt_estimator(label, weight_col, **params)])
 
 
 def prepare(df: DataFrame, label: str, weights: dict[int, float] | None) -> DataFrame:
@@ -105,13 +129,14 @@ def prepare(df: DataFrame, label: str, weights: dict[int, float] | None) -> Data
 
 
 def fit(train: DataFrame, features: list[str], label: str, balance: bool = True,
-        relative_error: float = 0.001, nullable: list[str] | None = None, before=(), **params) -> PipelineModel:
-    """``nullable``: the columns needing imputation, when already known (e.g. for all
+        relative_error: float = 0.001, nullable: list[str] | None = None, before=(), missing: str = "sides",
+        **params) -> PipelineModel:
+    """``nullable``: the columns with missing values, when already known (e.g. for all
     folds of one table); otherwise found with one aggregate."""
     counts = label_counts(train, label)
     weights = class_weights(train, label, counts) if balance else None
     nullable = nullable_columns(train, features) if nullable is None else nullable
-    pipe = build_pipeline(features, label, nullable, "weight" if balance else None, relative_error, before, **params)
+    pipe = build_pipeline(features, label, nullable, "weight" if balance else None, relative_error, before, missing, **params)
     return pipe.fit(prepare(train, label, weights))
 
 
@@ -139,37 +164,86 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("*", k).join(b.select("*", k), "_k").drop("_k")
 
 
-def param_grid(est: GBTClassifier, grid: dict[str, list]):
-    b = ParamGridBuilder()
-    for name, values in grid.items():
-        b = b.addGrid(est.getParam(name), values)
-    return b.build()
+def grid_points(grid: dict[str, list]) -> list[dict]:
+    """Every combination, the last parameter changing fastest."""
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The ensemble after its first ``n`` iterations. Boosting adds trees one after the other, each seeded by its
+    number, so this equals a model fitted with ``maxIter = n``."""
+    from pyspark import SparkContext
+
+    sc, own = SparkContext._active_spark_context, model._java_obj
+    trees, weights = list(own.trees())[:n], list(own.treeWeights())[:n]
+    kinds = sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    jtrees, jweights = sc._gateway.new_array(kinds, len(trees)), sc._gateway.new_array(sc._jvm.double, len(weights))
+    for i, (t, w) in enumerate(zip(trees, weights)):
+        jtrees[i], jweights[i] = t, w
+    made = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(own.uid(), jtrees, jweights)
+    out = GBTClassificationModel(made)
+    out._resetUid(own.uid())
+    return out
+
+
+def staged_counts(model: GBTClassificationModel, data: DataFrame, label: str, iterations: list[int]) -> dict[int, tuple[int, int, int]]:
+    """(tp, fp, fn) of the 0.5-cut class after each number of iterations, all in one pass over ``data``."""
+    out = data
+    for n in iterations:
+        part = first_trees(model, n) if n < model.getNumTrees else model
+        part = part.copy().setFeaturesCol("features").setPredictionCol(f"_p{n}").setRawPredictionCol(f"_r{n}").setProbabilityCol(f"_q{n}")
+        out = part.transform(out).drop(f"_r{n}", f"_q{n}")
+    y = F.col(label)
+    row = out.agg(*[F.count_if((y == a) & (F.col(f"_p{n}") == p)).alias(f"{name}{n}")
+                    for n in iterations for name, a, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0))]).first()
+    return {n: (row[f"tp{n}"], row[f"fp{n}"], row[f"fn{n}"]) for n in iterations}
+
+
+def fbeta(tp: int, fp: int, fn: int, beta: float) -> float:
+    den = (1 + beta ** 2) * tp + beta ** 2 * fn + fp
+    return (1 + beta ** 2) * tp / den if den else 0.0
 
 
 def grid_search(train: DataFrame, features: list[str], label: str, grid: dict[str, list],
-                fold_col: str = "fold", k: int = 5, beta: float = 10.0, parallelism: int = 4,
-                relative_error: float = 0.001):
-    """ML4: every grid point x k stratified folds, scored by F-beta on class 1,
-    best refit on all training rows. Returns (CrossValidatorModel, results df)."""
+                fold_col: str = "fold", k: int = 5, beta: float = 10.0, parallelism: int = 4):
+    """ML4: every grid point x k stratified folds, scored by F-beta on class 1, best (the first of equal
+    ones) refitted on all training rows. Points that differ in ``maxIter`` alone share one fit a fold, at the
+    largest: the smaller ones are its first trees, scored in the same pass. The model's input vectors are made
+    once for all fits. Returns (fitted pipeline, its parameters, results df)."""
     counts = label_counts(train, label)
     weights = class_weights(train, label, counts)
     nullable = nullable_columns(train, features)
-    pipe = build_pipeline(features, label, nullable, "weight", relative_error)
-    est = pipe.getStages()[-1]
-    maps = param_grid(est, grid)
-    ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction",
-                                           metricName="fMeasureByLabel", metricLabel=1.0, beta=beta)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        numFolds=k, parallelism=parallelism, seed=42)
-    data = prepare(train, label, weights).withColumn(fold_col, F.col(fold_col).cast("int"))
-    cvm = cv.fit(data)
-    rows = [(i, json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(s))
-            for i, (m, s) in enumerate(zip(maps, cvm.avgMetrics))]
-    spark = train.sparkSession
-    res = spark.createDataFrame(rows, "grid_index int, params string, mean_fbeta double")
+    data = prepare(train, label, weights)
+    pre = Pipeline(stages=input_stages(features, nullable)).fit(data)  # its stages learn nothing from the rows
+    data = pre.transform(data).select(label, "weight", F.col(fold_col).cast("int").alias(fold_col), "features").persist()
+    points = grid_points(grid)
+    shared: dict[str, list[int]] = {}
+    for p in points:
+        shared.setdefault(json.dumps({n: v for n, v in p.items() if n != "maxIter"}, sort_keys=True), []).append(p.get("maxIter", 20))
+
+    def one(job: tuple[str, int]):
+        rest, fold = job
+        iterations = sorted(set(shared[rest]))
+        est = gbt_estimator(label, "weight", **json.loads(rest), maxIter=iterations[-1])
+        model = est.fit(data.where(F.col(fold_col) != fold))
+        return rest, staged_counts(model, data.where(F.col(fold_col) == fold), label, iterations)
+
+    scores: dict[tuple[str, int], list[float]] = {}
+    try:
+        with ThreadPool(parallelism) as pool:
+            for rest, found in pool.imap_unordered(one, [(rest, f) for rest in shared for f in range(k)]):
+                for n, c in found.items():
+                    scores.setdefault((rest, n), []).append(fbeta(*c, beta))
+    finally:
+        data.unpersist()
+    rows = []
+    for i, p in enumerate(points):
+        each = scores[json.dumps({n: v for n, v in p.items() if n != "maxIter"}, sort_keys=True), p.get("maxIter", 20)]
+        rows.append((i, json.dumps(p, sort_keys=True), sum(sorted(each)) / k))
     best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
-    res = res.withColumn("is_best", F.col("grid_index") == F.lit(best))
-    return cvm, res
+    res = train.sparkSession.createDataFrame(rows, "grid_index int, params string, mean_fbeta double")
+    refit = fit(train, features, label, nullable=nullable, **points[best])
+    return refit, points[best], res.withColumn("is_best", F.col("grid_index") == F.lit(best))
 
 
 def cv_report(df: DataFrame, features: list[str], label: str, fold_col: str = "fold", k: int = 5,
@@ -204,10 +278,11 @@ def gbt_stage(model: PipelineModel):
 
 
 def model_params(model: PipelineModel) -> dict:
+    """Everything that ``fit`` needs to train the same way again."""
     g = gbt_stage(model)
-    names = ["maxDepth", "maxIter", "stepSize", "minInstancesPerNode", "featureSubsetStrategy",
-             "subsamplingRate", "seed"]
-    return {n: g.getOrDefault(n) for n in names}
+    names = ["maxDepth", "maxIter", "stepSize", "minInstancesPerNode", "minWeightFractionPerNode", "minInfoGain", "maxBins",
+             "featureSubsetStrategy", "subsamplingRate", "seed"]
+    return {n: g.getOrDefault(n) for n in names} | {"balance": g.isDefined("weightCol") and bool(g.getOrDefault("weightCol"))}
 
 
 def run_record(df_path: str, spark, run_name: str, params: dict, metrics: dict, tag: str = "") -> DataFrame:

@@ -111,12 +111,16 @@ def contributions_numpy(X: np.ndarray, paths: list[LeafPath], p: int, cells: int
 def tree_contributions(df: DataFrame, keep: str | list[str], feature_cols: list[str], paths: list[LeafPath],
                        feature_names: list[str] | None = None) -> DataFrame:
     """XP1: wide table (kept columns, phi_<feature>...) of additive contributions on the
-    model's margin scale; base + sum(phi) = margin. ``keep`` columns pass through, so
+    model's margin scale; base + sum(phi) = margin. Inputs that share a name in ``feature_names``
+    (the two sides of a nullable column) are added up. ``keep`` columns pass through, so
     nothing has to be joined back. The leaf paths travel as one broadcast (a bounded
     node table), not in every task's closure."""
     keep = [keep] if isinstance(keep, str) else list(keep)
-    names = feature_names or feature_cols
+    each = feature_names or feature_cols
+    names = list(dict.fromkeys(each))
     p = len(feature_cols)
+    onto = np.zeros((p, len(names)))
+    onto[np.arange(p), [names.index(n) for n in each]] = 1.0
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(n, T.DoubleType()) for n in names])
     x = df.select(*keep, *[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(feature_cols)])
     ship_package(df.sparkSession)
@@ -125,7 +129,7 @@ def tree_contributions(df: DataFrame, keep: str | list[str], feature_cols: list[
     def run(batches):
         for pdf in batches:
             X = pdf[[f"x{k}" for k in range(p)]].to_numpy(dtype=np.float64)
-            phi = pd.DataFrame(contributions_numpy(X, held.value, p), columns=names, index=pdf.index)
+            phi = pd.DataFrame(contributions_numpy(X, held.value, p) @ onto, columns=names, index=pdf.index)
             yield pd.concat([pdf[keep], phi], axis=1)
     return x.mapInPandas(run, schema)
 
@@ -186,12 +190,11 @@ def waterfall(df: DataFrame, key: str, phi: dict[str, Column], base: float, top:
 
 
 def split_counts(nodes: DataFrame, feature_names: list[str]) -> DataFrame:
-    """SEL8/XP6: number of splits per feature over all trees (from the node table)."""
+    """SEL8/XP6: number of splits per feature over all trees (from the node table); inputs of one name count together."""
     names = F.array(*[F.lit(n) for n in feature_names])
     internal = nodes.where(F.col("nodeData.leftChild") >= 0)
-    return (internal.groupBy(F.col("nodeData.split.featureIndex").alias("fi"))
-            .agg(F.count(F.lit(1)).alias("split_count"))
-            .select(names[F.col("fi")].alias("feature"), "split_count"))
+    return (internal.groupBy(names[F.col("nodeData.split.featureIndex")].alias("feature"))
+            .agg(F.count(F.lit(1)).alias("split_count")))
 
 
 def node_rows(nodes: DataFrame) -> list[dict]:

@@ -19,14 +19,14 @@ from riskweave.operators.explain import leaf_paths, node_rows, split_counts
 from riskweave.operators.select import fit_selection
 from riskweave.operators.split import stratified_split
 from riskweave.plans import entities as E
-from riskweave.session import scratch_path
+from riskweave.session import cut_lineage, scratch_path
 from riskweave.sources.bundle import gbt_node_table, load_bundle, save_bundle
 
 KEY, LABEL = E.KEY, E.LABEL
 # Learner settings used by the registered queries (small enough for
 # every query to fit in seconds at sf0.01; REFERENCE_GRID holds the full grid).
 MODEL_PARAMS = {"maxIter": 10, "maxDepth": 3, "stepSize": 0.1, "minInstancesPerNode": 5}
-QUERY_GRID = {"maxDepth": [2, 3], "maxIter": [5, 10]}
+QUERY_GRID = {"minWeightFractionPerNode": [0.0005, 0.002], "maxDepth": [3, 5], "maxIter": [5, 10, 20]}
 N_BEST = 20
 BETA = 10.0
 
@@ -82,17 +82,20 @@ def trained(spark: SparkSession, d: str) -> Trained:
     train = table.where(F.col("split") == "train")
     model = L.fit(train, feats, LABEL, **MODEL_PARAMS)
     val = L.predict(model, table.where(F.col("split") == "val"), [KEY, LABEL])
+    val = cut_lineage(val)
     thr = M.best_threshold(M.threshold_sweep(val, LABEL, "proba", BETA)).first()["best_threshold"]
+    tuned = L.evaluate(M.apply_threshold(val.drop("prediction"), "proba", thr), LABEL, BETA).first()
     path = scratch_path(spark, "bundle")
-    save_bundle(spark, path, model, feats, thr, L.model_params(model), {})
+    save_bundle(spark, path, model, feats, thr, L.model_params(model), {f"val_{m}": tuned[m] for m in L.METRIC_NAMES})
     inputs = model.stages[-2].getInputCols()
     t = Trained(table, feats, model, path, float(thr), inputs)
     _CACHE[k] = t
     return t
 
 
-def input_names(inputs: list[str]) -> list[str]:
-    return [c[:-4] if c.endswith("_imp") else c for c in inputs]
+def input_names(t: Trained) -> list[str]:
+    """The source column of every model input."""
+    return L.source_columns(t.model_inputs, t.features)
 
 
 def assembled(t: Trained, df: DataFrame, keep: list[str], model: PipelineModel | None = None) -> DataFrame:
@@ -110,13 +113,13 @@ def paths_of(spark: SparkSession, t: Trained):
 
 
 def best_features(spark: SparkSession, t: Trained, n: int = N_BEST) -> list[str]:
-    """SEL8: top-n source columns by split count (ties by name); the splits on a column's
-    NULL indicator count for the column. Columns never split on count 0 and fill the
+    """SEL8: top-n source columns by split count (ties by name); splits on either side of a nullable
+    column count for the column. Columns never split on count 0 and fill the
     list, as a head(n) over all features does. At most one row per model input reaches the driver."""
     _, nodes = paths_of(spark, t)
     counts = dict.fromkeys(t.features, 0)
-    for r in split_counts(nodes, input_names(t.model_inputs)).collect():
-        counts[r["feature"].removesuffix("_isna")] += r["split_count"]
+    for r in split_counts(nodes, input_names(t)).collect():
+        counts[r["feature"]] += r["split_count"]
     return sorted(counts, key=lambda f: (-counts[f], f))[:n]
 
 

@@ -5,18 +5,21 @@ bundle, importances, tree contributions. Model-dependent outputs have no SQL ora
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskweave.functions.scalar import round_doubles
+from riskweave.functions.scalar import hash_unit, round_doubles
 from riskweave.learn import train as L
 from riskweave.operators import metrics as M
-from riskweave.operators.explain import expected_value, split_counts, tree_contributions
+from riskweave.operators.explain import expected_value, leaf_paths, node_rows, split_counts, tree_contributions
 from riskweave.plans import entities as E
 from riskweave.plans import models as P
+from riskweave.plans import roles
 from riskweave.plans import sqlgen as S
 from riskweave.plans.catalog import register
-from riskweave.session import scratch_path
-from riskweave.sources.bundle import load_bundle
+from riskweave.plans.q_metrics import hash_sql
+from riskweave.session import cut_lineage, scratch_path
+from riskweave.sources.bundle import gbt_node_table, load_bundle
 
 KEY, LABEL = E.KEY, E.LABEL
 
@@ -36,6 +39,31 @@ def q_impute_indicators(spark, d):
     return Pipeline(stages=stages).fit(x).transform(x).select(KEY, "N_DIGITS_imp", "N_DIGITS_isna")
 
 
+_GAPS = S.with_roles("documents_entity", extra=[
+    f"x AS (SELECT SK_ID_CURR, {hash_sql('SK_ID_CURR', 9)} >= CASE WHEN TARGET = 1 THEN 0.9 ELSE 0.05 END AS known "
+    "FROM documents_entity WHERE TARGET IS NOT NULL)"])
+
+
+@register("q_missing_direction", _GAPS + "SELECT SK_ID_CURR, CAST(NOT known AS INTEGER) AS prediction, TRUE AS additive FROM x")
+def q_missing_direction(spark, d):
+    """ML3: one tree with one split over a column that is missing mostly where the label is 1: the split puts the
+    missing rows on a side of their own, with no imputation; the two sides' contributions add up to the margin."""
+    ent = E.labelled(roles.documents_entity(spark, d)).select(KEY, F.col(LABEL).cast("int").alias(LABEL), "N_CHARS")
+    gap = hash_unit(KEY, 9) < F.when(F.col(LABEL) == 1, 0.9).otherwise(0.05)
+    x = cut_lineage(ent.withColumn("X", F.when(~gap, F.col("N_CHARS").cast("double"))).select(KEY, LABEL, "X"))
+    model = L.fit(x, ["X"], LABEL, maxIter=1, maxDepth=1, stepSize=1.0, subsamplingRate=1.0)
+    path = scratch_path(spark, "direction")
+    model.write().save(path)
+    inputs = model.stages[-2].getInputCols()
+    paths = leaf_paths(node_rows(gbt_node_table(spark, path, model)), list(model.stages[-1].treeWeights))
+    out = model.transform(x)
+    v = vector_to_array("features")
+    out = out.select(KEY, F.col("prediction").cast("int").alias("prediction"), vector_to_array("rawPrediction")[1].alias("margin"),
+                     *[v[k].alias(f"x{k}") for k in range(len(inputs))])
+    phi = tree_contributions(out, [KEY, "prediction", "margin"], [f"x{k}" for k in range(len(inputs))], paths, L.source_columns(inputs, ["X"]))
+    return phi.select(KEY, "prediction", (F.abs(F.col("X") + F.lit(expected_value(paths)) - F.col("margin")) < 1e-9).alias("additive"))
+
+
 @register("q_gbt_predict")
 def q_gbt_predict(spark, d):
     """ML1/ML6: GBT fitted on the train part; probability and 0.5-cut class on the
@@ -47,10 +75,11 @@ def q_gbt_predict(spark, d):
 
 @register("q_grid_search")
 def q_grid_search(spark, d):
-    """ML4: grid x 5 stratified folds scored by F-beta(10) on class 1, best refit."""
+    """ML4: grid x 5 stratified folds scored by F-beta(10) on class 1, best refit; the numbers of
+    trees share their fits."""
     t = P.trained(spark, d)
     train = t.table.where(F.col("split") == "train")
-    _, res = L.grid_search(train, t.features, LABEL, P.QUERY_GRID, "fold", 5, P.BETA, parallelism=4)
+    _, _, res = L.grid_search(train, t.features, LABEL, P.QUERY_GRID, "fold", 5, P.BETA, parallelism=4)
     return res
 
 
@@ -79,7 +108,7 @@ def q_split_importance(spark, d):
     """SEL8/XP6: split count per model input over all trees, most used first."""
     t = P.trained(spark, d)
     _, nodes = P.paths_of(spark, t)
-    return split_counts(nodes, P.input_names(t.model_inputs))
+    return split_counts(nodes, P.input_names(t))
 
 
 @register("q_select_best_features")
@@ -128,7 +157,7 @@ def q_tree_contrib(spark, d):
     base = expected_value(paths)
     rest = t.table.where(F.col("split") != "train")
     x = P.assembled(t, rest, [KEY])
-    names = [f"phi_{n}" for n in P.input_names(t.model_inputs)]
+    names = [f"phi_{n}" for n in P.input_names(t)]  # a nullable column's two sides are added up
     phi = tree_contributions(x, [KEY, "margin"], [f"x{k}" for k in range(len(names))], paths, names)
     return phi.withColumn("expected_value", F.lit(base))
 
@@ -173,10 +202,10 @@ def _explained(spark, t, model, found):
     """Found requests with probability, features and contributions, in one pass over the rows."""
     x = P.assembled(t, found, ["request_no", "client_id", *t.features], model)
     paths, _ = P.paths_of(spark, t)
-    names = P.input_names(t.model_inputs)
+    names = P.input_names(t)
     scored = tree_contributions(x, ["request_no", "client_id", "proba", *t.features],
                                 [f"x{k}" for k in range(len(names))], paths, [f"phi_{n}" for n in names])
-    return scored, paths, names
+    return scored, paths, list(dict.fromkeys(names))
 
 
 @register("q_response_gbt")
@@ -204,10 +233,10 @@ def q_tree_additivity(spark, d):
     """XP1/XP2: for every client, expected value + contributions = margin (to 1e-9)."""
     t = P.trained(spark, d)
     paths, _ = P.paths_of(spark, t)
-    names = [f"phi_{n}" for n in P.input_names(t.model_inputs)]
+    names = [f"phi_{n}" for n in P.input_names(t)]
     x = P.assembled(t, _clients_for_model(spark, d, t), [KEY])
     phi = tree_contributions(x, [KEY, "margin"], [f"x{k}" for k in range(len(names))], paths, names)
-    total = sum((F.col(f"`{n}`") for n in names), F.lit(expected_value(paths)))
+    total = sum((F.col(f"`{n}`") for n in dict.fromkeys(names)), F.lit(expected_value(paths)))
     return phi.select(KEY, (F.abs(total - F.col("margin")) < 1e-9).alias("additive"))
 
 
