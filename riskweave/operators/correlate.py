@@ -1,23 +1,24 @@
 """Correlation and feature selection (SEL2-SEL7, SET3-SET4).
 
 Pairwise-complete Pearson correlation (pandas ``DataFrame.corr`` semantics: each pair
-uses the rows where both values are present) for any number of columns, computed as
-blocked Gram sums in ONE pass over the rows:
-
-* each task folds its Arrow batches into p x p matrices
-  N = M'M, S1 = X'M, S2 = (X*X)'M, P = X'X  (X shifted by the task's own column
-  means for accuracy, 0 where missing; M the mask) and emits the upper triangle once
-* the partial sums are moved exactly to a common shift and ``groupBy(i, j).sum``
-  combines tasks; r comes from the sums
-
-The shuffle is (tasks x p^2/2) rows, independent of the row count. Zero variance
+uses the rows where both values are present) for any number of columns, from tiles of
+``TILE`` columns:
+
+* a task folds its Arrow batches, for one strip of columns against all later ones, into the sums
+  n, sx, sy, sxx, syy, sxy (relative to its own first-batch means, for accuracy), so it
+  holds TILE x p numbers of each, whatever the rows; a strip is one scan of its own and later columns
+* each pair of tiles leaves as ONE packed row; packed rows are added ``FAN_IN`` at a time, level by
+  level, moved exactly to the first one's means, until one is left per pair of tiles
+* the pair table is unpacked from those and r comes from the sums
+
+The scan is read by a number of tasks that follows the cluster's cores and not the table, so neither the
+packed rows nor the shuffle grow with the rows. Zero variance
 (constant column, or constant on the common rows) gives NULL."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,80 +28,110 @@ from riskweave.session import cut_lineage, ship_package  # noqa: E402
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
         T.DecimalType, T.BooleanType)
 
-GRAM_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
-    ("i", T.IntegerType()), ("j", T.IntegerType()), ("n", T.DoubleType()), ("sx", T.DoubleType()),
-    ("sy", T.DoubleType()), ("sxx", T.DoubleType()), ("syy", T.DoubleType()), ("sxy", T.DoubleType()),
-    ("a", T.DoubleType()), ("b", T.DoubleType())]])
+TILE, FAN_IN = 256, 16
+TASKS_A_CORE = 2
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+PACKED = "i int, j int, part int, a binary, b binary, sums binary"
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUM) and f.name not in set(exclude)]
 
 
-def _gram_partition(p: int):
-    """Per task: shift every column by the task's own first-batch mean (accuracy
-    only; the result does not depend on it), fold all batches into p x p sums, emit
-    the upper triangle with the shifts once."""
-    iu, ju = np.triu_indices(p)
+def _strip(tile_i: int, p: int, tile: int):
+    """One strip of a task: the columns of tile ``tile_i`` against themselves and all later ones; the input
+    holds exactly those columns. Emits a packed row per pair of tiles."""
+    w = min(tile, p - tile_i * tile)
 
     def fold(batches):
-        N = np.zeros((p, p)); S1 = np.zeros((p, p)); S2 = np.zeros((p, p)); P = np.zeros((p, p))
-        shift = None
+        from pyspark import TaskContext
+        part, shift, acc = TaskContext.get().partitionId(), None, None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             X = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
-            if shift is None:
-                with np.errstate(all="ignore"):
-                    cnt = (~np.isnan(X)).sum(axis=0)
-                    shift = np.where(cnt > 0, np.nansum(X, axis=0) / np.maximum(cnt, 1), 0.0)
             M = ~np.isnan(X)
-            Xc = np.where(M, X - shift, 0.0)
-            Mf = M.astype(np.float64)
-            N += Mf.T @ Mf
-            S1 += Xc.T @ Mf
-            S2 += (Xc * Xc).T @ Mf
-            P += Xc.T @ Xc
+            if shift is None:
+                cnt = M.sum(axis=0)
+                shift = np.where(cnt > 0, np.where(M, X, 0.0).sum(axis=0) / np.maximum(cnt, 1), 0.0)
+                acc = np.zeros((len(SUMS), w, X.shape[1]))
+            X, M = np.where(M, X - shift, 0.0), M.astype(np.float64)
+            Xi, Mi = X[:, :w], M[:, :w]
+            for k, (left, right) in enumerate(((Mi, M), (Xi, M), (Mi, X), (Xi * Xi, M), (Mi, X * X), (Xi, X))):
+                if k in (2, 4):  # of the tile with itself these are the transposes
+                    acc[k, :, w:] += left.T @ right[:, w:]
+                else:
+                    acc[k] += left.T @ right
         if shift is None:
             return
-        yield pd.DataFrame({"i": iu.astype(np.int32), "j": ju.astype(np.int32), "n": N[iu, ju],
-                            "sx": S1[iu, ju], "sy": S1[ju, iu], "sxx": S2[iu, ju], "syy": S2[ju, iu],
-                            "sxy": P[iu, ju], "a": shift[iu], "b": shift[ju]})
+        for k in (2, 4):
+            acc[k, :, :w] = acc[k - 1, :, :w].T
+        for lo in range(0, acc.shape[2], tile):
+            hi = min(lo + tile, acc.shape[2])
+            yield pd.DataFrame({"i": [tile_i], "j": [tile_i + lo // tile], "part": [part], "a": [shift[:w].tobytes()],
+                                "b": [shift[lo:hi].tobytes()], "sums": [np.ascontiguousarray(acc[:, :, lo:hi]).tobytes()]})
     return fold
 
 
-def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | None = None,
-                  include_diagonal: bool = False, materialize: bool = True) -> DataFrame:
-    """Long table (pos_i, pos_j, col_i, col_j, n, r) for pos_i < pos_j (or <=).
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b = np.frombuffer(row.a), np.frombuffer(row.b)
+    return a, b, np.frombuffer(row.sums).reshape(len(SUMS), len(a), len(b))
+
 
-    ONE pass over the rows. Each task's partial sums are relative to its own shift
-    (a, b); they are moved exactly to a common shift c (the mean of the task shifts,
-    p numbers) before the cross-task sum:
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of at most FAN_IN packed rows of one pair of tiles, about the first one's means:
     sum(x-c) = sum(x-a) + n(a-c),  sum((x-c)^2) = sum((x-a)^2) + 2(a-c)sum(x-a) + n(a-c)^2,
-    sum((x-c)(y-d)) = sum((x-a)(y-b)) + (a-c)sum(y-b) + (b-d)sum(x-a) + n(a-c)(b-d).
-    ``tasks`` bounds the number of partial Gram matrices (coalesce, no shuffle);
-    default: the partitions of the input. With ``materialize`` the pair table
-    (p^2/2 rows) is checkpointed."""
-    cols = numeric_columns(df) if cols is None else list(cols)
-    p = len(cols)
-    spark = df.sparkSession
-    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
-    if tasks:
-        x = x.coalesce(tasks)
+    sum((x-c)(y-d)) = sum((x-a)(y-b)) + (a-c)sum(y-b) + (b-d)sum(x-a) + n(a-c)(b-d)."""
+    rows = rows.sort_values("part")
+    first, total = None, None
+    for row in rows.itertuples():
+        a, b, (n, sx, sy, sxx, syy, sxy) = _unpacked(row)
+        if first is None:
+            first, total = (a, b), np.zeros((len(SUMS), len(a), len(b)))
+        da, db = (a - first[0])[:, None], (b - first[1])[None, :]
+        for k, v in enumerate((n, sx + n * da, sy + n * db, sxx + 2.0 * da * sx + n * da * da,
+                               syy + 2.0 * db * sy + n * db * db, sxy + da * sy + db * sx + n * da * db)):
+            total[k] += v
+    head = rows.iloc[0]
+    return pd.DataFrame({"i": [head.i], "j": [head.j], "part": [head.part], "a": [head.a], "b": [head.b], "sums": [total.tobytes()]})
+
+
+def _pairs(tile: int):
+    """Packed rows to one row per pair of columns."""
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                _, _, sums = _unpacked(row)
+                i, j = np.triu_indices(sums.shape[1], 0, sums.shape[2]) if row.i == row.j else np.indices(sums.shape[1:]).reshape(2, -1)
+                yield pd.DataFrame({"i": (i + row.i * tile).astype(np.int32), "j": (j + row.j * tile).astype(np.int32),
+                                    **{name: sums[k, i, j] for k, name in enumerate(SUMS)}})
+    return run
+
+
+def packed_sums(df: DataFrame, cols: list[str], tasks: int | None = None, tile: int = TILE, fan_in: int = FAN_IN) -> DataFrame:
+    """(i, j, part, a, b, sums): one packed row per pair of column tiles i <= j."""
+    p, spark = len(cols), df.sparkSession
     ship_package(spark)
-    parts = x.mapInPandas(_gram_partition(p), GRAM_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
-    # common shift per column: mean of the task shifts (diagonal rows carry a = b = shift)
-    shifts = {r["i"]: r["c"] for r in parts.where(F.col("i") == F.col("j"))
-              .groupBy("i").agg(F.avg("a").alias("c")).collect()}
-    carr = F.array(*[F.lit(float(shifts.get(k, 0.0))) for k in range(p)])
-    da, db, n = F.col("a") - carr[F.col("i")], F.col("b") - carr[F.col("j")], F.col("n")
-    moved = parts.select(
-        "i", "j", "n",
-        (F.col("sx") + n * da).alias("sx"), (F.col("sy") + n * db).alias("sy"),
-        (F.col("sxx") + F.lit(2.0) * da * F.col("sx") + n * da * da).alias("sxx"),
-        (F.col("syy") + F.lit(2.0) * db * F.col("sy") + n * db * db).alias("syy"),
-        (F.col("sxy") + da * F.col("sy") + db * F.col("sx") + n * da * db).alias("sxy"))
-    sums = moved.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    most = tasks or TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    parts, strips = None, -(-p // tile)
+    for i in range(strips):
+        strip = x.select(*[f"c{k}" for k in range(i * tile, p)]).coalesce(most).mapInPandas(_strip(i, p, tile), PACKED)
+        parts = strip if parts is None else parts.unionByName(strip)
+    width = 1
+    while width < most * strips:  # partitions are numbered over all strips; a level reads at most ``fan_in`` packed rows of a pair of tiles at a time
+        width *= fan_in
+        parts = parts.groupBy("i", "j", F.floor(F.col("part") / F.lit(width)).alias("_g")).applyInPandas(_added, PACKED)
+    return parts
+
+
+def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | None = None,
+                  include_diagonal: bool = False, materialize: bool = True, tile: int = TILE, fan_in: int = FAN_IN) -> DataFrame:
+    """Long table (pos_i, pos_j, col_i, col_j, n, r) for pos_i < pos_j (or <=).
+    ``tasks`` bounds the tasks that read the rows (coalesce, no shuffle); default: ``TASKS_A_CORE`` for every
+    core of the cluster. With ``materialize`` the pair table (p^2/2 rows) is checkpointed."""
+    cols = numeric_columns(df) if cols is None else list(cols)
+    sums = packed_sums(df, cols, tasks, tile, fan_in).mapInPandas(_pairs(tile), "i int, j int, " + ", ".join(f"{c} double" for c in SUMS))
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
@@ -113,10 +144,7 @@ def pairwise_corr(df: DataFrame, cols: list[str] | None = None, tasks: int | Non
         F.col("i").alias("pos_i"), F.col("j").alias("pos_j"),
         names[F.col("i")].alias("col_i"), names[F.col("j")].alias("col_j"),
         F.col("n").cast("long").alias("n"), r.alias("r"))
-    if materialize:
-        out = cut_lineage(out)
-        parts.unpersist()
-    return out
+    return cut_lineage(out) if materialize else out
 
 
 def split_label(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
