@@ -17,7 +17,7 @@ from riskweave.operators import metrics as M
 from riskweave.operators.correlate import numeric_columns
 from riskweave.operators.explain import leaf_paths, node_rows, split_counts
 from riskweave.operators.select import fit_selection
-from riskweave.operators.split import stratified_split
+from riskweave.operators.split import stratified_folds, stratified_split
 from riskweave.plans import entities as E
 from riskweave.session import cut_lineage, scratch_path
 from riskweave.sources.bundle import gbt_node_table, load_bundle, save_bundle
@@ -32,20 +32,21 @@ BETA = 10.0
 
 
 def model_table(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled documents with features, a stratified 60/20/20 split and 5 folds on
-    the training part. N_DIGITS is made NULL for German documents so the learner
+    """Labelled documents with features and a stratified 60/20/20 split. N_DIGITS is made NULL for German documents so the learner
     meets missing values (made identically wherever it is checked)."""
     lab = E.labelled(E.doc_features(spark, d))
     lab = lab.withColumn("N_DIGITS", F.when(F.col("LANG_de") == 0, F.col("N_DIGITS")))
     lab = lab.withColumn(LABEL, F.col(LABEL).cast("int"))
-    split = stratified_split(lab, KEY, LABEL, (0.6, 0.2, 0.2), seed=42, keep_rank=True)
-    # the training part holds the first ranks of every label, so its folds follow from the same ranking
-    fold = F.when(F.col("split") == "train", ((F.col("rank") - 1) % 5).cast("int"))
-    return split.withColumn("fold", fold).drop("rank")
+    return stratified_split(lab, KEY, LABEL, (0.6, 0.2, 0.2), seed=42)
+
+
+def training_folds(t: Trained) -> DataFrame:
+    """The training part with 5 stratified folds."""
+    return stratified_folds(t.table.where(F.col("split") == "train"), KEY, LABEL, 5, seed=42)
 
 
 def feature_list(df: DataFrame) -> list[str]:
-    return numeric_columns(df, exclude=[KEY, LABEL, "fold"])
+    return numeric_columns(df, exclude=[KEY, LABEL])
 
 
 @dataclass

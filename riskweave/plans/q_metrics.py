@@ -18,11 +18,7 @@ BETA = 10.0
 FRACTIONS = (0.6, 0.2, 0.2)
 
 
-def hash_sql(key: str, seed: int) -> str:
-    return (f"(CAST(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 8)) AS BIGINT) AS DOUBLE)"
-            f" / CAST(4294967296 AS DOUBLE))")
-
-
+hash_sql = S.hash_sql
 LAB_CTE = "lab AS (SELECT SK_ID_CURR, TARGET FROM documents_entity WHERE TARGET IS NOT NULL)"
 SCORED_CTE = (f"scored AS (SELECT SK_ID_CURR, TARGET, floor((CAST(0.6 AS DOUBLE) * {hash_sql('SK_ID_CURR', 1)}"
               f" + CAST(0.4 AS DOUBLE) * TARGET * {hash_sql('SK_ID_CURR', 2)}) * 100) / 100 AS SCORE FROM lab)")

@@ -17,7 +17,6 @@ from riskweave.plans import models as P
 from riskweave.plans import roles
 from riskweave.plans import sqlgen as S
 from riskweave.plans.catalog import register
-from riskweave.plans.q_metrics import hash_sql
 from riskweave.session import cut_lineage, scratch_path
 from riskweave.sources.bundle import gbt_node_table, load_bundle
 
@@ -40,7 +39,7 @@ def q_impute_indicators(spark, d):
 
 
 _GAPS = S.with_roles("documents_entity", extra=[
-    f"x AS (SELECT SK_ID_CURR, {hash_sql('SK_ID_CURR', 9)} >= CASE WHEN TARGET = 1 THEN 0.9 ELSE 0.05 END AS known "
+    f"x AS (SELECT SK_ID_CURR, {S.hash_sql('SK_ID_CURR', 9)} >= CASE WHEN TARGET = 1 THEN 0.9 ELSE 0.05 END AS known "
     "FROM documents_entity WHERE TARGET IS NOT NULL)"])
 
 
@@ -78,8 +77,7 @@ def q_grid_search(spark, d):
     """ML4: grid x 5 stratified folds scored by F-beta(10) on class 1, best refit; the numbers of
     trees share their fits."""
     t = P.trained(spark, d)
-    train = t.table.where(F.col("split") == "train")
-    _, _, res = L.grid_search(train, t.features, LABEL, P.QUERY_GRID, "fold", 5, P.BETA, parallelism=4)
+    _, _, res = L.grid_search(P.training_folds(t), t.features, LABEL, P.QUERY_GRID, "fold", 5, P.BETA, parallelism=4)
     return res
 
 
@@ -87,8 +85,7 @@ def q_grid_search(spark, d):
 def q_cv_report(spark, d):
     """ML5: per-metric train mean, test mean and gap over 5 folds."""
     t = P.trained(spark, d)
-    train = t.table.where(F.col("split") == "train")
-    return L.cv_report(train, t.features, LABEL, "fold", 5, P.BETA, **P.MODEL_PARAMS)
+    return L.cv_report(P.training_folds(t), t.features, LABEL, "fold", 5, P.BETA, **P.MODEL_PARAMS)
 
 
 @register("q_bundle_roundtrip")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalar import (
-    find_bad_names, null_safe_ne, positive_part, ratio, round_doubles, sanitize_columns,
+    find_bad_names, hash_unit, null_safe_ne, positive_part, ratio, round_doubles, sanitize_columns,
 )
 from riskweave.operators.aggregate import Subset, category_share_exprs, grouped
 from riskweave.operators.clean import label_split, narrow_types, union_by_name, with_position
@@ -18,7 +18,9 @@ from riskweave.plans import sqlgen as S
 from riskweave.plans.catalog import register
 from riskweave.plans.q_features import _app_sql_parts, _ins_sql_parts, _prev_sql_parts
 from riskweave.session import scratch_path
-from riskweave.sources.tables import head_rows, read_csv, read_table, write_csv, write_parquet
+from riskweave.sources.tables import (
+    head_of_files, head_rows, read_csv, read_csv_checked, read_table, with_file_position, write_csv, write_parquet,
+)
 
 KEY = "SK_ID_CURR"
 CUSTOMER_SCHEMA = ("c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
@@ -43,6 +45,45 @@ def q_scan_limit_count(spark, d):
     return head_rows(read_table(spark, d, "lineitem"), 1000).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("q_head_of_files", S.with_roles("application") + """SELECT SK_ID_CURR, NAME_SEGMENT
+FROM application QUALIFY row_number() OVER (PARTITION BY NAME_SEGMENT ORDER BY SK_ID_CURR DESC) <= 40""")
+def q_head_of_files(spark, d):
+    """SRC2: the first 40 rows of EACH file of a table with one file a segment, largest keys first."""
+    path = scratch_path(spark, "by-segment")
+    app = roles.application(spark, d).select(KEY, "NAME_SEGMENT")
+    app.repartition("NAME_SEGMENT").sortWithinPartitions("NAME_SEGMENT", F.desc(KEY)).write.partitionBy("NAME_SEGMENT").parquet(path)
+    return head_of_files(spark, path, 40)
+
+
+@register("q_file_position", S.with_roles("application") + f"""SELECT SK_ID_CURR,
+  row_number() OVER (ORDER BY {S.hash_sql('SK_ID_CURR', 5)}, SK_ID_CURR) AS POSITION FROM application""")
+def q_file_position(spark, d):
+    """PRJ2 / JN5: positions in the order of the files, of a table written in an order that is not the key's."""
+    path = scratch_path(spark, "hash-order")
+    app = roles.application(spark, d).select(KEY)
+    app.repartitionByRange(5, hash_unit(KEY, 5), KEY).sortWithinPartitions(hash_unit(KEY, 5), KEY).write.parquet(path)
+    return with_file_position(spark, path)
+
+
+@register("q_csv_rejects", """SELECT CASE c_custkey % 40 WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'number' ELSE 'row' END AS kind,
+  count(*) AS n, CAST(sum(CASE WHEN c_custkey % 40 > 2 THEN c_custkey END) AS BIGINT) AS keys FROM customer GROUP BY ALL""")
+def q_csv_rejects(spark, d):
+    """SRC1: a CSV file in which some lines lack a field, have one too many or hold a word for a number: rows that
+    fit the schema, and the rejects beside them."""
+    c, k = read_table(spark, d, "customer"), F.col("c_custkey")
+    fields = F.concat_ws(",", k.cast("string"), "c_name", F.col("c_nationkey").cast("string"))
+    line = (F.when(k % 40 == 0, fields).when(k % 40 == 1, F.concat_ws(",", fields, F.lit("1.5"), F.col("c_mktsegment"), F.lit("more")))
+            .when(k % 40 == 2, F.concat_ws(",", fields, F.lit("plenty"), "c_mktsegment"))
+            .otherwise(F.concat_ws(",", fields, F.col("c_acctbal").cast("string"), "c_mktsegment")))
+    path = scratch_path(spark, "csv-broken")
+    c.select(line.alias("value")).write.text(path)
+    good, bad = read_csv_checked(spark, path, CUSTOMER_SCHEMA, header=False)
+    commas = F.length("_line") - F.length(F.translate("_line", ",", ""))
+    kind = F.when(commas < 4, "short").when(commas > 4, "long").otherwise("number")
+    return (good.agg(F.lit("row").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+            .unionByName(bad.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("keys"))))
+
+
 @register("q_csv_roundtrip", "SELECT * FROM customer")
 def q_csv_roundtrip(spark, d):
     """SRC1/SRC4/SRC6: CSV sink with header into a new folder, CSV scan with a
