@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import written
+from riskweave.llm.common import fresh, written
 
 BLOCK_ROWS = 16
 FRAME = 1000  # slots of a frame, or twice the sources if that is more
@@ -188,8 +188,9 @@ def places(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The mixed stream of whole rows in its order (pipeline stage): a document comes as often as
     its source's target asks, at least once. Rows that repeat (source, doc_id) each come as often as the first."""
+    key, of, place = fresh(docs, "id", "of", "place")
     at = places(docs, weights).where("copy = 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("position").alias("_position"))
+        F.col("doc_id").alias(key), F.col("source").alias(of), F.col("position").alias(place))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stream = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return stream.repartitionByRange(n, "_position").sortWithinPartitions("_position").select(*docs.columns)
+    stream = docs.join(at, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").eqNullSafe(F.col(of)))
+    return stream.repartitionByRange(n, place).sortWithinPartitions(place).select(*[F.col(f"`{c}`") for c in docs.columns])

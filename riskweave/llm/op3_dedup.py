@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import prepared, text_bytes, written
+from riskweave.llm.common import fresh, prepared, text_bytes, written
 
 # Fixed value: a run of ASCII white space that is not already a single space.
 WIDE_SPACE = rb"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -203,8 +203,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, budget: int = TRIE_BYTES) -> DataFrame:
     """The rows that stay, with all their columns (pipeline stage). The row that stays is
     found again by id and text hash; of fully equal pairs of those, one row stays."""
+    name, = fresh(docs, "key")
     key = lambda sha: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), sha)
-    kept = exact_dedup(docs, budget=budget).where("kept").select(key(F.col("text_sha256")).alias("_key"))
+    kept = exact_dedup(docs, budget=budget).where("kept").select(key(F.col("text_sha256")).alias(name))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " ").cast("binary"), 256)
     # one key, so that the join's partitioning serves the last step too: the texts move once
-    return docs.withColumn("_key", key(sha)).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return docs.withColumn(name, key(sha)).join(kept, name, "left_semi").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,9 @@ from riskweave.llm.common import prepared
 DIMENSIONS = 1024
 TRAIN_ROWS = 3000  # labelled documents a language that the prototypes are fitted on, about
 KEPT_GRAMS = 24_000  # trigram vectors that a worker remembers
-MIN_SCORE = 0.0  # documents at or below are rejected by the pipeline stage
+# The pipeline stage rejects texts of at least JUDGED_CHARS characters that score below REJECT_FACTOR times the score
+# that all but REJECT_SHARE of the rightly predicted training texts of that length reach.
+REJECT_SHARE, REJECT_FACTOR, JUDGED_CHARS = 0.001, 0.7, 80
 
 
 @lru_cache(maxsize=4096)
@@ -163,10 +165,36 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is known (pipeline stage): those without a letter ('und') go. The
-    score rejects no text in practice, so a language never learned passes as the nearest one. Rows keep all their columns."""
+def reject_below(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], train_rows: int = TRAIN_ROWS) -> float:
+    """The calibrated least score; 0 without rightly predicted training texts. Scored are labelled
+    training rows chosen by a hash, about ``train_rows`` a language on average."""
+    rows = usable(docs, "doc_id", "text", "lang").where((~F.col("held_out")) & F.col("lang").isNotNull() & (F.length("text") >= JUDGED_CHARS))
+    n = rows.count()
+    if not n or not model[0]:
+        return 0.0
+    share = min(1.0, train_rows * len(model[0]) / n)
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+
+    def run(batches):
+        import pyarrow as pa
+        predict = predictor(model)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                langs, scores = predict(part.column(1).to_pylist())
+                right = [s for k, own, s in zip(langs, part.column(0).to_pylist(), scores) if k == own]
+                yield pa.RecordBatch.from_arrays([pa.array(right, pa.float64())], names=["score"])
+
+    least = chosen.mapInArrow(run, "score double").agg(F.percentile_approx("score", REJECT_SHARE, 10_000).alias("s")).first()["s"]
+    return REJECT_FACTOR * (least or 0.0)
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents whose language is known (pipeline stage). Texts without a letter ('und') go, and texts
+    long enough to judge that score below what texts of the learned languages do, as those of a language never
+    learned mostly do. Rows keep all their columns."""
     model = fit(docs)
+    least = reject_below(docs, model)
 
     def run(batches):
         import pyarrow as pa
@@ -175,7 +203,8 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
             at = batch.schema.get_field_index("text")
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                langs, scores = predict([t or "" for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array([k != "und" and s > min_score for k, s in zip(langs, scores)], pa.bool_()))
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                langs, scores = predict(texts)
+                yield part.filter(pa.array([k != "und" and (s >= least or len(t) < JUDGED_CHARS) for k, s, t in zip(langs, scores, texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import fixed_bytes, prepared, sorted_runs, text_bytes, written
+from riskweave.llm.common import fixed_bytes, fresh, prepared, sorted_runs, text_bytes, written
 from riskweave.llm.components import components, spanning
 
 SHINGLE, PERCENT = 4, 80  # the query's contract
@@ -407,5 +407,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns (pipeline stage)."""
-    gone = near_dedup(docs, shingle=shingle).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    name, = fresh(docs, "gone")
+    gone = near_dedup(docs, shingle=shingle).where(~F.col("kept")).select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -49,3 +49,13 @@ def test_stage_drops_only_texts_without_a_language(spark):
     assert out.columns == d.columns
     gone = {r["doc_id"] for r in d.collect()} - {r["doc_id"] for r in out.collect()}
     assert len(gone) <= 5
+
+
+def test_stage_rejects_languages_never_learned(spark):
+    d = table(spark, SF, "documents")
+    other = ["これは日本語で書かれた文章であり、学習されたことのない言語です。" * 8, "Это текст на языке, которого модель никогда не видела. " * 8]
+    rows = [(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(other)] + [(10_000_100, "日本語", None, "s", 3)]
+    out = {r["doc_id"] for r in op.keep_identified(d.unionByName(spark.createDataFrame(rows, d.schema))).select("doc_id").collect()}
+    assert out & {r[0] for r in rows} == {10_000_100}  # too short to judge
+    held = [r["doc_id"] for r in d.select("doc_id", "lang").collect() if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert sum(i not in out for i in held) <= 0.005 * len(held)

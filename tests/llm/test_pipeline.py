@@ -24,7 +24,9 @@ def test_stages_equal_brute_force(spark):
     assert all(out[n][0] == columns for n in ("language", "exact", "near", "mix"))
 
     pred = {r["doc_id"]: r for r in op4_langid.identify(table(spark, SMALL, "documents")).collect()}
-    kept = {r["doc_id"]: r["text"] for r in docs if pred[r["doc_id"]]["lang_pred"] != "und" and pred[r["doc_id"]]["score"] > 0}
+    least = op4_langid.reject_below(table(spark, SMALL, "documents"), op4_langid.fit(table(spark, SMALL, "documents")))
+    assert 0 < least < 0.5
+    kept = {r["doc_id"]: r["text"] for r in docs if pred[r["doc_id"]]["lang_pred"] != "und" and (len(r["text"] or "") < op4_langid.JUDGED_CHARS or pred[r["doc_id"]]["score"] >= least)}
     assert {r["doc_id"] for r in out["language"][1]} == set(kept)
 
     first = {}
@@ -50,3 +52,14 @@ def test_run_equals_the_stages(spark):
     want = stages(spark)["pack"][1]
     key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
     assert sorted(map(key, got.collect())) == sorted(map(key, want))
+
+
+def test_stages_take_columns_with_any_name(spark):
+    from pyspark.sql import functions as F
+    names = ["key", "_key", "_id", "id", "gone", "of", "place", "_source", "_position", "row", "kept", "rank", "position", "copy", "slot", "KEY1"]
+    docs = table(spark, SMALL, "documents").withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == n for r in rows for n in names), name
