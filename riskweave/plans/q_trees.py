@@ -31,10 +31,10 @@ NODE_SCHEMA = ("treeID int, nodeData struct<id:int,prediction:double,impuritySta
                "rightChild:int,split:struct<featureIndex:int,leftCategoriesOrThreshold:array<double>>>")
 
 
-def node_table(spark):
-    """The ensemble in the layout of a saved model's node table."""
+def node_table(spark, trees=TREES):
+    """An ensemble in the layout of a saved model's node table."""
     return spark.createDataFrame([(t, (i, p, [c], left, right, (f, [] if thr is None else [thr])))
-                                  for t, tree in enumerate(TREES) for i, p, c, left, right, f, thr in tree], NODE_SCHEMA)
+                                  for t, tree in enumerate(trees) for i, p, c, left, right, f, thr in tree], NODE_SCHEMA)
 
 
 def _value(tree, node: int, known: frozenset) -> str:
@@ -59,9 +59,6 @@ def _shapley(i: int) -> str:
     return " + ".join(terms)
 
 
-_EXPECTED = " + ".join(f"{w} * {_value(t, 0, frozenset())}" for w, t in zip(WEIGHTS, TREES))
-
-
 @register("q_tree_contrib_fixed", lambda: S.with_roles("documents_entity") + f"SELECT {KEY}, " + ", ".join(
     f"{S.r6('(' + _shapley(i) + ')')} AS phi_{f}" for i, f in enumerate(FEATURES)) + " FROM documents_entity")
 def q_tree_contrib_fixed(spark, d):
@@ -71,20 +68,56 @@ def q_tree_contrib_fixed(spark, d):
     return round_doubles(tree_contributions(docs, KEY, FEATURES, paths, [f"phi_{f}" for f in FEATURES]))
 
 
-@register("q_expected_value_fixed", lambda: S.with_roles("documents_entity")
-          + f"SELECT TARGET, count(*) AS n, {S.r6('(' + _EXPECTED + ')')} AS expected_value FROM documents_entity GROUP BY TARGET")
+def _nodes_with_covers(docs) -> list[list[tuple]]:
+    """The fixed trees' splits and leaf values with each node's cover counted on the documents: one aggregate."""
+    conditions = {}
+
+    def walk(t: int, node: int, upto) -> None:
+        _, _, _, left, right, f, thr = TREES[t][node]
+        conditions[t, node] = upto
+        if left >= 0:
+            goes_left = F.col(FEATURES[f]) <= thr
+            walk(t, left, upto & goes_left)
+            walk(t, right, upto & ~goes_left)
+
+    for t in range(len(TREES)):
+        walk(t, 0, F.lit(True))
+    row = docs.agg(*[F.count_if(c).alias(f"n{t}_{i}") for (t, i), c in conditions.items()]).first()  # a number per node
+    return [[(i, p, float(row[f"n{t}_{i}"]), left, right, f, thr) for i, p, _, left, right, f, thr in tree] for t, tree in enumerate(TREES)]
+
+
+def _leaf_sql(tree, node: int) -> str:
+    _, p, _, left, right, f, thr = tree[node]
+    return f"CAST({p} AS DOUBLE)" if left < 0 else f"CASE WHEN {FEATURES[f]} <= {thr} THEN {_leaf_sql(tree, left)} ELSE {_leaf_sql(tree, right)} END"
+
+
+@register("q_expected_value_fixed", lambda: S.with_roles("documents_entity") + "SELECT count(*) AS n, "
+          + S.r6("avg(" + " + ".join(f"{w} * ({_leaf_sql(t, 0)})" for w, t in zip(WEIGHTS, TREES)) + ")") + " AS expected_value FROM documents_entity")
 def q_expected_value_fixed(spark, d):
-    """XP2 on the fixed ensemble, beside the number of documents of each label it stands for."""
-    base = expected_value(leaf_paths(node_rows(node_table(spark)), WEIGHTS))
+    """XP2 on the fixed splits with covers counted on the documents: the cover-weighted expected value is then the
+    mean of the ensemble over the documents."""
     docs = roles.documents_entity(spark, d)
-    return round_doubles(docs.groupBy("TARGET").agg(F.count(F.lit(1)).alias("n"), F.lit(base).alias("expected_value")))
+    trees = _nodes_with_covers(docs)
+    base = expected_value(leaf_paths(node_rows(node_table(spark, trees)), WEIGHTS))
+    return round_doubles(docs.agg(F.count(F.lit(1)).alias("n"), F.lit(base).alias("expected_value")))
+
+
+_LEANING = "q AS (SELECT SOURCE, " + ", ".join(f"avg({f}) / (SELECT avg({f}) FROM documents_entity) AS r{i}" for i, f in enumerate(FEATURES)) + \
+    " FROM documents_entity GROUP BY SOURCE)"
+_MOST = "greatest(" + ", ".join(f"r{i}" for i in range(len(FEATURES))) + ")"
 
 
-@register("q_split_counts_fixed", lambda: S.with_roles("documents_entity") + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, CAST({sum(n[5] == i for t in TREES for n in t)} AS BIGINT) AS split_count, "
-    f"{S.r6(f'avg({f})')} AS mean_value FROM documents_entity" for i, f in enumerate(FEATURES)))
+@register("q_split_counts_fixed", lambda: S.with_roles("documents_entity", extra=[_LEANING]) + "SELECT feature, count(*) AS split_count FROM (SELECT CASE "
+          + " ".join(f"WHEN r{i} = {_MOST} THEN '{f}'" for i, f in enumerate(FEATURES)) + " END AS feature FROM q) s GROUP BY feature")
 def q_split_counts_fixed(spark, d):
-    """SEL8/XP6 on the fixed ensemble, beside each feature's mean over the documents."""
+    """SEL8/XP6 on a node table made from the documents: for every source a tree with one split, on the
+    feature whose mean stands out most from the mean of all documents."""
     docs = roles.documents_entity(spark, d)
-    means = docs.agg(*[F.avg(f).alias(f) for f in FEATURES]).unpivot([], FEATURES, "feature", "mean_value")
-    return round_doubles(split_counts(node_table(spark), FEATURES).join(means, "feature"))
+    whole = docs.agg(*[F.avg(f).alias(f) for f in FEATURES]).first()
+    each = docs.groupBy("SOURCE").agg(*[(F.avg(f) / whole[f]).alias(f"r{i}") for i, f in enumerate(FEATURES)])
+    ratios = [F.col(f"r{i}") for i in range(len(FEATURES))]
+    index = F.coalesce(*[F.when(r == F.greatest(*ratios), i) for i, r in enumerate(ratios)])
+    leaf = lambda i: f"struct({i} AS id, -1 AS leftChild, -1 AS rightChild, struct(-1 AS featureIndex) AS split)"
+    nodes = each.select(index.alias("fi")).select(F.explode(F.expr(
+        f"array(struct(0 AS id, 1 AS leftChild, 2 AS rightChild, struct(fi AS featureIndex) AS split), {leaf(1)}, {leaf(2)})")).alias("nodeData"))
+    return split_counts(nodes, FEATURES)
