@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import metrics as M
 from riskweave.session import cut_lineage
+from riskweave.sources.registry import append_rows
 
 # Learner settings of the reference mapped to Spark ML names.
 BASE_PARAMS = {"stepSize": 0.01, "subsamplingRate": 0.9, "seed": 42}
@@ -286,12 +287,12 @@ def model_params(model: PipelineModel) -> dict:
 
 
 def run_record(df_path: str, spark, run_name: str, params: dict, metrics: dict, tag: str = "") -> DataFrame:
-    """ML15: append one row to a run table (parquet) and return the table."""
+    """ML15: publishes one row of a run table (``sources.registry``: safe with several writers, a failed
+    attempt leaves nothing) and returns the table."""
     row = spark.createDataFrame(
         [(run_name, json.dumps(params, sort_keys=True, default=str), tag)],
         "run_name string, params string, tag string")
     for k, v in metrics.items():
         row = row.withColumn(k, F.lit(None if v is None else float(v)).cast("double"))
     row = row.withColumn("recorded_at", F.current_timestamp())
-    row.write.mode("append").parquet(df_path)
-    return spark.read.parquet(df_path)
+    return append_rows(spark, df_path, row)

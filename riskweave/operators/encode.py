@@ -3,7 +3,10 @@
 Categories are fitted once with a distributed ``distinct`` whose result is bounded
 (``max_levels`` per column, checked before anything reaches the driver). The fitted
 spec is frozen, so the output schema is stable across runs, and is applied as plain
-column expressions: no join, no broadcast."""
+column expressions: no join, no broadcast.
+
+Columns of any width take the sparse form: ``SparseOneHot`` numbers the (column, value) pairs in a table that
+never passes the driver, and gives each row the list of its codes, or a sparse vector for a learner."""
 
 from __future__ import annotations
 
@@ -125,3 +128,65 @@ class FactorizeSpec:
         wide = {c: F.coalesce(F.col(f"_c{k}"), F.lit(-1)) for k, c in enumerate(self.tables)}
         return df.select(*[self.expr(c).alias(c) if c in self.codes else wide.get(c, F.col(f"`{c}`")).alias(c)
                            for c in columns])
+
+
+@dataclass(frozen=True)
+class SparseOneHot:
+    """One-hot encoding with any number of levels. ``table``: (column, value, code), codes from 0 by column (in the
+    given order), then value, a column's NULL indicator after its values; ``size`` codes in all."""
+
+    columns: tuple[str, ...]
+    table: DataFrame
+    size: int
+
+    @staticmethod
+    def _pairs(df: DataFrame, cols: list[str], key: str | None = None) -> DataFrame:
+        """([_key,] _place, _value): a row per row and column."""
+        own = [] if key is None else [F.col(f"`{key}`").alias("_key")]
+        cells = F.array(*[F.struct(F.lit(i).alias("_place"), F.col(f"`{c}`").cast("string").alias("_value")) for i, c in enumerate(cols)])
+        return df.select(*own, F.explode(cells).alias("_p")).select(*(["_key"] if own else []), "_p._place", "_p._value")
+
+    @classmethod
+    def fit(cls, df: DataFrame, cols: list[str], nan_column: bool = True) -> "SparseOneHot":
+        """Values are de-duplicated map-side first, so a value that holds most rows is one row a task."""
+        cols = list(cols)
+        levels = cls._pairs(df, cols).where(F.col("_value").isNotNull()).distinct()
+        if nan_column:  # always present, as in the dense form
+            levels = levels.unionByName(df.sparkSession.createDataFrame([(i, None) for i in range(len(cols))], "_place int, _value string"))
+        order = F.struct("_place", F.col("_value").isNull().alias("_last"), "_value")
+        placed = with_position(levels.withColumn("_order", order), "_order", "_code")
+        names = F.array(*[F.lit(c) for c in cols])
+        table = placed.select(names[F.col("_place")].alias("column"), F.col("_value").alias("value"),
+                              (F.col("_code") - 1).cast("int").alias("code"), F.col("_place").alias("_place"))
+        return cls(tuple(cols), table, table.count())
+
+    def names(self) -> DataFrame:
+        """ENC4: (code, name) of the generated columns."""
+        return self.table.select("code", F.concat_ws("_", "column", F.coalesce("value", F.lit("nan"))).alias("name"))
+
+    def transform(self, df: DataFrame, key: str, out: str = "codes") -> DataFrame:
+        """(key, codes): the ascending codes of each row of ``df``, whose ``key`` is unique; at most one a column. A value
+        not seen in the fit, and NULL without an indicator, have none. The code table is joined by value: a
+        value that holds most rows is split by AQE."""
+        pairs = self._pairs(df, list(self.columns), key)
+        own = self.table.select(F.col("_place").alias("_at"), F.col("value").alias("_level"), "code")
+        found = pairs.join(own, (F.col("_place") == F.col("_at")) & F.col("_value").eqNullSafe(F.col("_level")), "left")
+        return found.groupBy(F.col("_key").alias(key)).agg(F.sort_array(F.collect_list("code")).alias(out))
+
+    def vectors(self, coded: DataFrame, codes: str = "codes", out: str = "features") -> DataFrame:
+        """``coded`` with a sparse vector of ``size`` places for Spark ML."""
+        from pyspark.ml.linalg import SparseVector, VectorUDT
+        size = self.size
+        made = F.udf(lambda c: SparseVector(size, c, [1.0] * len(c)), VectorUDT())
+        return coded.withColumn(out, made(codes))
+
+
+def category_shares(df: DataFrame, group: str, col: str) -> DataFrame:
+    """AGG8 for any number of categories, long: (group, value, n, share), the share of a group's rows (those
+    with NULL count below the line) that hold the value. (group, value) pairs are counted map-side
+    first; groups and values may be hot. NULL groups are dropped, as in the wide form."""
+    rows = df.where(F.col(group).isNotNull())
+    per = rows.groupBy(F.col(group), F.col(f"`{col}`").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy(F.col(group).alias("_of")).agg(F.sum("n").alias("_whole"))  # pairs, not rows
+    return per.where(F.col("value").isNotNull()).join(whole, F.col(group) == F.col("_of")).select(
+        group, "value", "n", (F.col("n") / F.col("_whole")).alias("share"))

@@ -20,7 +20,7 @@ from riskweave.operators.select import fit_selection
 from riskweave.operators.split import stratified_folds, stratified_split
 from riskweave.plans import entities as E
 from riskweave.session import cut_lineage, scratch_path
-from riskweave.sources.bundle import gbt_node_table, load_bundle, save_bundle
+from riskweave.sources.bundle import gbt_node_table, load_bundle, publish_bundle
 
 KEY, LABEL = E.KEY, E.LABEL
 # Learner settings used by the registered queries (small enough for
@@ -86,8 +86,7 @@ def trained(spark: SparkSession, d: str) -> Trained:
     val = cut_lineage(val)
     thr = M.best_threshold(M.threshold_sweep(val, LABEL, "proba", BETA)).first()["best_threshold"]
     tuned = L.evaluate(M.apply_threshold(val.drop("prediction"), "proba", thr), LABEL, BETA).first()
-    path = scratch_path(spark, "bundle")
-    save_bundle(spark, path, model, feats, thr, L.model_params(model), {f"val_{m}": tuned[m] for m in L.METRIC_NAMES})
+    _, path = publish_bundle(spark, scratch_path(spark, "bundles"), model, feats, thr, L.model_params(model), {f"val_{m}": tuned[m] for m in L.METRIC_NAMES})
     inputs = model.stages[-2].getInputCols()
     t = Trained(table, feats, model, path, float(thr), inputs)
     _CACHE[k] = t

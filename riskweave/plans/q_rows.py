@@ -11,7 +11,7 @@ from riskweave.functions.scalar import (
 )
 from riskweave.operators.aggregate import Subset, category_share_exprs, grouped
 from riskweave.operators.clean import label_split, narrow_types, union_by_name, with_position
-from riskweave.operators.encode import FactorizeSpec, OneHotSpec
+from riskweave.operators.encode import FactorizeSpec, OneHotSpec, SparseOneHot, category_shares
 from riskweave.plans import features as fx
 from riskweave.plans import roles
 from riskweave.plans import sqlgen as S
@@ -281,6 +281,30 @@ def q_onehot(spark, d):
     return spec.transform(app)
 
 
+@register("q_onehot_wide", """WITH x AS (SELECT c_custkey, nullif(c_name, (SELECT min(c_name) FROM customer)) AS a, c_mktsegment AS b FROM customer),
+a AS (SELECT a AS v, row_number() OVER (ORDER BY a) - 1 AS code FROM (SELECT DISTINCT a FROM x WHERE a IS NOT NULL) s),
+n AS (SELECT count(*) AS n FROM a),
+b AS (SELECT b AS v, n + row_number() OVER (ORDER BY b) AS code FROM (SELECT DISTINCT b FROM x WHERE b IS NOT NULL) s, n)
+SELECT c_custkey, CAST(coalesce(a.code, n.n) AS INTEGER) AS first_code, CAST(b.code AS INTEGER) AS last_code
+FROM x LEFT JOIN a ON a.v = x.a JOIN b ON b.v = x.b, n""")
+def q_onehot_wide(spark, d):
+    """ENC2-ENC4 without a cap on the levels: the customers' names (one made NULL) and segments as sparse codes."""
+    c = read_table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    least = c.agg(F.min("c_name").alias("least"))
+    c = c.join(least).select("c_custkey", F.nullif("c_name", "least").alias("c_name"), "c_mktsegment")
+    codes = SparseOneHot.fit(c, ["c_name", "c_mktsegment"]).transform(c, "c_custkey")
+    return codes.select("c_custkey", F.col("codes")[0].alias("first_code"), F.col("codes")[1].alias("last_code"))
+
+
+@register("q_category_share_wide", f"""SELECT l_suppkey, CAST(l_partkey AS VARCHAR) AS value, count(*) AS n,
+  {S.r6('CAST(count(*) AS DOUBLE) / any_value(w)')} AS share
+FROM (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS w FROM lineitem) x GROUP BY l_suppkey, l_partkey""")
+def q_category_share_wide(spark, d):
+    """AGG8 over thousands of categories: the share of each part in the lines of a supplier."""
+    li = read_table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    return round_doubles(category_shares(li, "l_suppkey", "l_partkey"))
+
+
 _RF_NULLED = "NULLIF(RETURN_FLAG, 'N')"
 
 

@@ -9,6 +9,8 @@ import os
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from riskweave.sources.registry import latest, publish
+
 # Class names of the reference's bundle.
 TARGET_NAMES = ["Repay_loan", "Not_repay_loan"]
 
@@ -25,6 +27,16 @@ def save_bundle(spark: SparkSession, path: str, model: PipelineModel, features:
     return path
 
 
+def publish_bundle(spark: SparkSession, root: str, *args, **kwargs) -> tuple[int, str]:
+    """``save_bundle`` as the next version of a registry: (number, folder)."""
+    return publish(spark, root, lambda path: save_bundle(spark, path, *args, **kwargs))
+
+
+def load_latest(spark: SparkSession, root: str) -> tuple[PipelineModel, dict]:
+    """The bundle published last."""
+    return load_bundle(spark, latest(spark, root))
+
+
 def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     model = PipelineModel.load(os.path.join(path, "model"))
     row = spark.read.parquet(os.path.join(path, "meta")).first()
