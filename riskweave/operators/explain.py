@@ -10,7 +10,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import factorial
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,13 +25,13 @@ from riskweave.session import ship_package
 class LeafPath:
     value: float          # leaf prediction x tree weight
     features: list[int]   # distinct features on the path
-    conds: list[list[tuple[int, float, bool]]]  # per feature: (feature, threshold, go_left)
     z: list[float]        # per feature: product of child/parent cover ratios
+    steps: list[tuple[int, float, bool]]  # (feature, threshold, go_left) from the root to the leaf
 
 
 def leaf_paths(nodes: list[dict], tree_weights: list[float]) -> list[LeafPath]:
-    """Flatten trees to leaf paths. ``nodes``: dicts with treeID, id, prediction,
-    cover, left, right, feature, threshold."""
+    """Flatten trees to leaf paths, depth first, so that leaves next to each other share the most
+    steps. ``nodes``: dicts with treeID, id, prediction, cover, left, right, feature, threshold."""
     by_tree: dict[int, dict[int, dict]] = {}
     for n in nodes:
         by_tree.setdefault(n["treeID"], {})[n["id"]] = n
@@ -43,13 +43,10 @@ def leaf_paths(nodes: list[dict], tree_weights: list[float]) -> list[LeafPath]:
             nid, path = stack.pop()
             n = tree[nid]
             if n["left"] < 0:
-                feats: dict[int, list] = {}
                 ratio: dict[int, float] = {}
-                for f, thr, left, r in path:
-                    feats.setdefault(f, []).append((f, thr, left))
+                for f, _, _, r in path:
                     ratio[f] = ratio.get(f, 1.0) * r
-                fs = list(feats)
-                out.append(LeafPath(w * n["prediction"], fs, [feats[f] for f in fs], [ratio[f] for f in fs]))
+                out.append(LeafPath(w * n["prediction"], list(ratio), list(ratio.values()), [step[:3] for step in path]))
                 continue
             c = n["cover"]
             for child, left in ((n["left"], True), (n["right"], False)):
@@ -63,49 +60,61 @@ def expected_value(paths: list[LeafPath]) -> float:
     return float(sum(p.value * float(np.prod(p.z)) for p in paths))
 
 
-def _shap_weights(d: int) -> np.ndarray:
-    return np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
-
-
-def _by_size(paths: list[LeafPath]) -> dict[int, tuple[np.ndarray, ...]]:
-    """Leaves by their number d of path features, as arrays: values (L), features, lower and upper
-    bounds and cover ratios (L x d). A feature's conditions on one path are an interval (lo, hi]."""
-    out: dict[int, tuple[np.ndarray, ...]] = {}
-    for d in sorted({len(lp.features) for lp in paths} - {0}):
-        group = [lp for lp in paths if len(lp.features) == d]
-        lo = [[max((t for _, t, left in cs if not left), default=-np.inf) for cs in lp.conds] for lp in group]
-        hi = [[min((t for _, t, left in cs if left), default=np.inf) for cs in lp.conds] for lp in group]
-        out[d] = (np.array([lp.value for lp in group]), np.array([lp.features for lp in group]),
-                  np.array(lo), np.array(hi), np.array([lp.z for lp in group]))
-    return out
-
-
-def contributions_numpy(X: np.ndarray, paths: list[LeafPath], p: int, cells: int = 4_000_000) -> np.ndarray:
-    """phi (n x p) for rows X (n x p): for each leaf with distinct path features P
-    (|P| = d), o_j = row satisfies all of j's conditions, z_j = cover ratio product,
-    phi_i += v (o_i - z_i) sum_{S in P minus i} w(|S|) prod_S o_j prod_rest z_j.
-    The subset sum is a polynomial in |S| built by a small dynamic programme, for many
-    leaves at once (about ``cells`` numbers at a time)."""
+@lru_cache
+def _quadrature(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights on [0, 1] that integrate polynomials of degree d - 1 exactly."""
+    t, w = np.polynomial.legendre.leggauss((d + 1) // 2)
+    return (t + 1) / 2, w / 2
+
+
+def leaf_terms(value: float, z: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Contributions (d x codes) of one leaf to its d path features. Bit j of a code tells whether a
+    row meets all conditions on feature j. With o the bits, feature k gets value (o_k - z_k) times the mean over all
+    orders of the product of o_j before k and z_j after k: the integral over t in [0, 1] of
+    prod_{j != k} (t o_j + (1 - t) z_j), a polynomial of degree d - 1."""
+    d = len(z)
+    t, w = _quadrature(d)
+    o = ((codes >> np.arange(d)[:, None]) & 1).astype(np.float64)
+    factors = t[:, None] * o[:, None, :] + ((1 - t) * z[:, None])[:, :, None]  # d x points x codes
+    others = np.ones_like(factors)  # products of the factors before k, then times those after k
+    np.cumprod(factors[:-1], axis=0, out=others[1:])
+    others[:-1] *= np.cumprod(factors[:0:-1], axis=0)[::-1]
+    return value * (o - z[:, None]) * np.einsum("q,kqc->kc", w, others)
+
+
+def contributions_numpy(X: np.ndarray, paths: list[LeafPath], p: int) -> np.ndarray:
+    """phi (n x p) for rows X (n x p), exact path-dependent Shapley values. Rows carry one integer per
+    leaf, whose bits are extended step by step from the root; steps shared with the leaf before are
+    not evaluated again. A leaf's terms are worked out for every code (or for the rows, if they are
+    fewer) and added to its own features only. As in the trees, a missing value goes right."""
     n = X.shape[0]
-    phi = np.zeros((n, p))
-    for d, (value, feature, low, high, ratio) in _by_size(paths).items():
-        w, step = _shap_weights(d), max(1, cells // max(1, n * d))
-        for at in range(0, len(value), step):
-            v, f, z = value[at:at + step], feature[at:at + step], ratio[at:at + step]
-            lo, hi, x = low[at:at + step], high[at:at + step], X[:, f]  # x: rows x leaves x d
-            o = (((x > lo) | (lo == -np.inf)) & ((x <= hi) | (hi == np.inf))).astype(np.float64)
-            for k in range(d):
-                # coefficients c[s] = sum over subsets S of the other d-1 features with |S| = s
-                c = np.zeros(o.shape)
-                c[:, :, 0] = 1.0
-                for m, j in enumerate(j for j in range(d) if j != k):
-                    nxt = c * z[:, j][None, :, None]
-                    nxt[:, :, 1:m + 2] += c[:, :, 0:m + 1] * o[:, :, j:j + 1]
-                    c = nxt
-                onto = np.zeros((len(v), p))
-                onto[np.arange(len(v)), f[:, k]] = 1.0
-                phi += (v * (o[:, :, k] - z[:, k]) * (c @ w)) @ onto
-    return phi
+    columns, phi = np.ascontiguousarray(X.T), np.zeros((p, n))
+    shared: list[tuple[tuple, np.ndarray]] = []  # steps of the leaf before and the codes after each
+    for leaf in paths:
+        if not leaf.features:
+            continue
+        same = 0
+        while same < len(shared) and same < len(leaf.steps) and shared[same][0] == leaf.steps[same]:
+            same += 1
+        del shared[same:]
+        seen = list(dict.fromkeys(f for f, _, _ in leaf.steps[:same]))
+        codes = shared[-1][1] if shared else np.zeros(n, dtype=np.int64)
+        for step in leaf.steps[same:]:
+            f, threshold, left = step
+            meets = columns[f] <= threshold
+            if not left:
+                meets = ~meets
+            if f in seen:
+                codes = np.where(meets, codes, codes & ~(1 << seen.index(f)))
+            else:
+                codes = codes | (meets.astype(np.int64) << len(seen))
+                seen.append(f)
+            shared.append((step, codes))
+        z, every = np.array(leaf.z), 1 << len(seen)
+        by_code = every <= n
+        for f, term in zip(seen, leaf_terms(leaf.value, z, np.arange(every) if by_code else codes)):
+            phi[f] += term.take(codes) if by_code else term
+    return phi.T
 
 
 def tree_contributions(df: DataFrame, keep: str | list[str], feature_cols: list[str], paths: list[LeafPath],

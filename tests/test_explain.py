@@ -92,3 +92,89 @@ def test_waterfall_other_row_reaches_full_margin(spark):
     wf = sorted(waterfall(df, "k", {c: F.col(c) for c in "abcde"}, 0.1, top=3, other=True).collect(), key=lambda r: r.step)
     assert wf[0].feature == "other" and abs(wf[0].phi - 0.06) < 1e-12
     assert abs(wf[-1].end - (0.1 + 0.5 - 0.2 + 0.05 - 0.9 + 0.01)) < 1e-12
+
+
+def _forest(rng, trees, depth, p):
+    """Random node tables whose trees have 2 ** depth leaves."""
+    nodes = []
+    for t in range(trees):
+        ids = itertools.count()
+
+        def grow(level, cover):
+            node = {"treeID": t, "id": next(ids), "prediction": float(rng.normal()), "cover": cover, "left": -1, "right": -1,
+                    "feature": -1, "threshold": None}
+            nodes.append(node)
+            if level < depth:
+                part = cover * float(rng.choice([0.0, 0.25, 0.5, 0.9]))
+                node |= {"feature": int(rng.integers(p)), "threshold": float(rng.choice([-0.5, 0.0, 0.5])),
+                         "left": grow(level + 1, part), "right": grow(level + 1, cover - part)}
+            return node["id"]
+
+        grow(0, 128.0)
+    return nodes
+
+
+def test_deep_trees_match_brute_force_for_few_and_many_rows():
+    """Repeated features on a path, empty nodes (cover 0), values on thresholds, missing values; fewer and
+    more rows than a path has codes."""
+    rng = np.random.default_rng(3)
+    nodes, weights, p = _forest(rng, 3, 7, 5), [1.0, 0.5, -0.25], 5
+    assert any(n["cover"] == 0 for n in nodes)  # a node without rows has no shares
+    paths = leaf_paths(nodes, weights)
+    assert len(paths) == 3 * 128
+    X = rng.choice([-1.0, -0.5, 0.0, 0.25, 0.5, 2.0, np.nan], (600, p))
+    phi = contributions_numpy(X, paths, p)
+    for few in (1, 5, 100):
+        assert np.allclose(contributions_numpy(X[:few], paths, p), phi[:few], atol=1e-12)
+
+    by_tree = {}
+    for n in nodes:
+        by_tree.setdefault(n["treeID"], {})[n["id"]] = n
+
+    def value(tree, node, x, known):
+        n = tree[node]
+        if n["left"] < 0:
+            return n["prediction"]
+        a, b = (value(tree, c, x, known) for c in (n["left"], n["right"]))
+        if n["feature"] in known:
+            return a if x[n["feature"]] <= n["threshold"] else b
+        share = tree[n["left"]]["cover"] / n["cover"] if n["cover"] > 0 else 0.0
+        rest = tree[n["right"]]["cover"] / n["cover"] if n["cover"] > 0 else 0.0
+        return share * a + rest * b
+
+    for row in range(6):
+        total = lambda s: sum(w * value(by_tree[t], 0, X[row], s) for t, w in enumerate(weights))
+        want = np.zeros(p)
+        for i in range(p):
+            for r in range(p):
+                for s in itertools.combinations([j for j in range(p) if j != i], r):
+                    share = math.factorial(r) * math.factorial(p - r - 1) / math.factorial(p)
+                    want[i] += share * (total({*s, i}) - total(set(s)))
+        assert np.allclose(phi[row], want, atol=1e-10)
+
+
+def test_an_ensemble_of_500_deep_trees_adds_up():
+    """64,000 leaves: base + sum of contributions = the ensemble's value of every row."""
+    rng = np.random.default_rng(5)
+    nodes, p = _forest(rng, 500, 7, 40), 40
+    for n in nodes:
+        n["cover"] = max(n["cover"], 1e-3)
+    weights = [0.1] * 500
+    paths = leaf_paths(nodes, weights)
+    assert len(paths) == 64_000
+    X = rng.normal(size=(300, p))
+    phi = contributions_numpy(X, paths, p)
+    trees = {}
+    for n in nodes:
+        trees.setdefault(n["treeID"], {})[n["id"]] = n
+
+    def leaf(tree, x):
+        n = tree[0]
+        while n["left"] >= 0:
+            n = tree[n["left"] if x[n["feature"]] <= n["threshold"] else n["right"]]
+        return n["prediction"]
+
+    for row in (0, 150, 299):
+        margin = sum(0.1 * leaf(t, X[row]) for t in trees.values())
+        # covers of this forest need not add up, so compare with the value of the empty set of the same paths
+        assert abs(phi[row].sum() + expected_value(paths) - margin) < 1e-8
