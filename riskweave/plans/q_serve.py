@@ -18,6 +18,7 @@ from riskweave.plans import sqlgen as S
 from riskweave.plans.catalog import register
 from riskweave.session import scratch_path
 from riskweave.streaming.score_stream import reject_stream, run_available_now, scoring_stream
+from riskweave.streaming.serve import REJECTS, RESPONSES, publish_clients, serve_available, served
 
 KEY = E.KEY
 F8 = SC.LIN_FEATURES
@@ -229,3 +230,21 @@ def q_stream_rejects(spark, d):
     sink = scratch_path(spark, "rejects")
     run_available_now(out, sink, scratch_path(spark, "stream-ckpt"))
     return spark.read.parquet(sink)
+
+
+@register("q_stream_serve", _score_sql(_REQ, _VALID) + f"""
+SELECT request_no, client_id AS Client_id, status, message, s.SK_ID_CURR, {S.r6('proba')} AS proba, {_CLASS}
+FROM valm JOIN scored s ON valm.status = 'ok' AND valm.client_id = s.POSITION
+UNION ALL SELECT request_no, client_id, status, message, NULL, NULL, NULL, NULL FROM valm WHERE status <> 'ok'""")
+def q_stream_serve(spark, d):
+    """SC6: one read of the request stream into two sinks, responses and rejects, by batch; clients from the
+    versioned registry. Both sinks are read back."""
+    root, req_dir = scratch_path(spark, "clients"), scratch_path(spark, "requests")
+    publish_clients(spark, root, SC.prod_clients(spark, d))
+    SC.requests(spark, d).write.parquet(req_dir)
+    stats, out = SC.linear_stats(spark, d), scratch_path(spark, "served")
+    serve_available(spark, req_dir, SC.REQUEST_SCHEMA, "raw", root, lambda df: SC.with_linear_score(df, stats), SC.DECISION_THRESHOLD,
+                    out, scratch_path(spark, "stream-ckpt"), keep=["request_no", "client_id", "status", "message", KEY, "proba"])
+    cols = ["request_no", F.col("client_id").alias("Client_id"), "status", "message"]
+    answers = served(spark, out, RESPONSES).select(*cols, KEY, round_fixed("proba").alias("proba"), "Class", "Decision")
+    return answers.unionByName(served(spark, out, REJECTS).select(*cols), allowMissingColumns=True)
