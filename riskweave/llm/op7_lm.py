@@ -8,13 +8,15 @@ mean natural logarithm over its words.
 
 1. Documents are stored in units (rows of packed texts of about ``unit_bytes``), the exploded
    side of the join.
-2. Every unit lists its distinct n-grams (64-bit hashes) with their counts, one row per hash
-   partition: pre-aggregated, so the most frequent n-gram is one entry per unit.
-3. In a hash partition the lists are added up to that part of the count tables and joined back: each
+2. Every unit lists its distinct n-grams (64-bit hashes) with their counts, one row per range of
+   the hash: pre-aggregated, so the most frequent n-gram is one entry per unit.
+3. In a range the lists are added up to that part of the count tables and joined back: each
    list is answered with the corpus counts of its n-grams.
 4. The answers meet their unit by its number, and every document's log scores are summed there.
 
-Partitions hold n-grams by hash, so none is hot, and their number is the shuffle setting.
+Ranges hold n-grams by hash, so none is hot. Their number follows the words counted while the units are
+written: a worker holds one range at a time, of about ``PART_GRAMS`` entries at most, however large the
+corpus is. As it grows the ranges get narrower, until a row holds one n-gram of a unit, the plain relational form.
 
 Defined results: a null or empty text has n_tokens 0 and a null score; every row, repeated ones
 too, is a document of its own; words are maximal runs without ASCII white space, as
@@ -22,6 +24,8 @@ they are; an empty table gives no rows."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +35,13 @@ from riskweave.llm.common import prepared, text_bytes, written
 ORDER = 2
 ALPHA = 0.4
 UNIT_BYTES = 8 << 20  # raw text of a unit
+PART_GRAMS = 4_000_000  # n-grams of a range of the hash, counted before equal ones of a unit are put together
 CACHED_WORDS = 200_000
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def packed_units(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int) -> DataFrame:
-    """(unit, ids, texts): documents in rows of about ``unit_bytes`` of text, zstd-packed."""
+    """(unit, ids, texts, tokens): documents in rows of about ``unit_bytes`` of text, zstd-packed, and their words."""
     import zstandard
 
     def run(batches):
@@ -48,8 +54,9 @@ def packed_units(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int) -
         def unit():
             lengths = np.array([len(t) for t in texts], dtype="<u4").tobytes()
             blob = zstandard.ZstdCompressor(3).compress(len(texts).to_bytes(4, "little") + lengths + b"".join(texts))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                                               pa.array([blob], pa.binary())], names=["unit", "ids", "texts"])
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([blob], pa.binary()),
+                pa.array([words_in(b" ".join(texts))], pa.int64())], names=["unit", "ids", "texts", "tokens"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -63,7 +70,13 @@ def packed_units(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int) -
             yield unit()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(
-        run, "unit long, ids array<long>, texts binary")
+        run, "unit long, ids array<long>, texts binary, tokens long")
+
+
+def words_in(text: bytes) -> int:
+    """The number of runs without white space."""
+    blank = BLANK[np.frombuffer(text, dtype=np.uint8)]
+    return int(np.count_nonzero(blank[:-1] & ~blank[1:]) + (len(blank) > 0 and not blank[0]))
 
 
 def unpacked(blob: bytes) -> list[bytes]:
@@ -116,25 +129,33 @@ def unit_grams(texts: list[bytes], grams: Grams) -> tuple[np.ndarray, np.ndarray
     return known, counts, places
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """Integers as zstd over their bytes by significance."""
+@lru_cache
+def codec():
+    """This worker's compressor and decompressor: rows may be small, so they are made once."""
     import zstandard
 
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
 
-def spread(blob: bytes, dtype) -> np.ndarray:
-    import zstandard
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers as zstd over their bytes by significance."""
+    return codec()[0].compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+def spread(blob: bytes, dtype) -> np.ndarray:
+    raw = np.frombuffer(codec()[1].decompress(blob), dtype=np.uint8)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel()
 
 
+@lru_cache
+def bounds_of(parts: int) -> np.ndarray:
+    return np.array([(k << 64) // parts for k in range(parts)], dtype=np.uint64)
+
+
 def parts_of(known: np.ndarray, parts: int) -> np.ndarray:
-    """Where each hash partition's range of the sorted hashes begins, and the end."""
-    bounds = np.array([(k << 64) // parts for k in range(parts)], dtype=object)
-    return np.concatenate([np.searchsorted(known, bounds.astype(np.uint64)), [len(known)]])
+    """Where each range of the sorted hashes begins, and the end."""
+    return np.concatenate([np.searchsorted(known, bounds_of(parts)), [len(known)]])
 
 
 def scores(texts: list[bytes], counts: np.ndarray, places: list[list[np.ndarray]], total: int, alpha: float) -> list[float | None]:
@@ -160,11 +181,12 @@ def scores(texts: list[bytes], counts: np.ndarray, places: list[list[np.ndarray]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA,
-          unit_bytes: int = UNIT_BYTES) -> DataFrame:
+          unit_bytes: int = UNIT_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
     """One row per document: doc_id, n_tokens, score (6 digits)."""
     spark = prepared(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = written(packed_units(docs, id_col, text_col, unit_bytes), "units")
+    total = int(units.agg(F.sum("tokens")).first()[0] or 0)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * order // part_grams))
 
     def ask(batches):
         import pyarrow as pa
@@ -174,14 +196,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 texts = unpacked(blob.as_py())
                 known, counts, _ = unit_grams(texts, grams)
                 cut = parts_of(known, parts)
-                some = [p for p in range(parts) if cut[p] < cut[p + 1]]
-                tokens = sum(len(t.split()) for t in texts)
+                some = np.flatnonzero(cut[:-1] < cut[1:]).tolist()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([unit] * len(some), pa.int64()), pa.array(some, pa.int32()),
                     pa.array([squeezed(known[cut[p]:cut[p + 1]]) for p in some], pa.binary()),
-                    pa.array([squeezed(counts[cut[p]:cut[p + 1]].astype("<u4")) for p in some], pa.binary()),
-                    pa.array([tokens if p == some[0] else 0 for p in some], pa.int64())],
-                    names=["unit", "part", "grams", "counts", "tokens"])
+                    pa.array([squeezed(counts[cut[p]:cut[p + 1]].astype("<u4")) for p in some], pa.binary())],
+                    names=["unit", "part", "grams", "counts"])
 
     def answer(batches):
         import pyarrow as pa
@@ -189,12 +209,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         def part(rows: list[tuple]):
             lists = [spread(r[2], "<u8") for r in rows]
             known, where = np.unique(np.concatenate(lists), return_inverse=True)
-            total = np.bincount(where, np.concatenate([spread(r[3], "<u4") for r in rows]), len(known)).astype("<u8")
+            counts = np.bincount(where, np.concatenate([spread(r[3], "<u4") for r in rows]), len(known)).astype("<u8")
             ends = np.cumsum([len(x) for x in lists])
             return pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                pa.array([squeezed(total[w]) for w in np.split(where, ends[:-1])], pa.binary()),
-                pa.array([r[4] for r in rows], pa.int64())], names=["unit", "part", "counts", "tokens"])
+                pa.array([squeezed(counts[w]) for w in np.split(where, ends[:-1])], pa.binary())], names=["unit", "part", "counts"])
 
         held: list[tuple] = []
         for batch in batches:
@@ -206,10 +225,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         if held:
             yield part(held)
 
-    asked = units.select("unit", "texts").mapInArrow(ask, "unit long, part int, grams binary, counts binary, tokens long")
+    asked = units.select("unit", "texts").mapInArrow(ask, "unit long, part int, grams binary, counts binary")
     answers = written(asked.repartition("part").sortWithinPartitions("part").mapInArrow(
-        answer, "unit long, part int, counts binary, tokens long"), "answers")
-    total = int(answers.agg(F.sum("tokens")).first()[0] or 0)
+        answer, "unit long, part int, counts binary"), "answers")
     gathered = answers.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("part", "counts"))).alias("answers"))
 
     def add_up(batches):

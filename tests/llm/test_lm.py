@@ -44,6 +44,19 @@ def test_awkward_rows_and_higher_order(spark):
         assert sorted(((r[0], r[1], None if r[2] is None else round(r[2], 4)) for r in got), key=repr) == brute(rows, order)
 
 
+def test_narrow_ranges_of_the_hash_change_nothing(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(i % 40))) for i in range(120)]
+    want = brute(rows, 3)
+    for grams in (1, 50, 10**6):  # thousands of ranges down to the shuffle setting
+        got = op.score(docs(spark, rows).repartition(3), order=3, unit_bytes=300, part_grams=grams).collect()
+        assert sorted(((r[0], r[1], None if r[2] is None else round(r[2], 4)) for r in got), key=repr) == want
+
+
+def test_words_are_counted_as_they_are_split():
+    for text in (b"", b" ", b"a", b" a", b"a ", b"a b\tc\x0bd\x0c\r\n e", "é\u00a0x\u2003y \x1c z".encode(), b"\x85 \x1f"):
+        assert op.words_in(text) == len(text.split())
+
+
 def test_empty(spark):
     assert op.score(docs(spark, [])).collect() == []
 
