@@ -15,7 +15,7 @@
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components have no links; vectors of different lengths have none with each other; rows
-that share id and vector count as links of each other; a null id keeps its row, counts in its class, and
+that share id and vector count as links of each other; very large and very small vectors are compared like others; a null id keeps its row, counts in its class, and
 its own component is null when no id is in it; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -60,6 +60,11 @@ def bucket_keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs.reshape(len(x), tables, bits).astype(np.int64) @ weights
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest components lie between 1/2 and 1: exact, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rotated vectors, sign codes, corrections, error bounds) of unit vectors."""
     dim = x.shape[1]
@@ -72,6 +77,7 @@ def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def linked_pairs(x: np.ndarray, bits: int, table: int, threshold: float, split: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) with exact cosine at the threshold, met in no earlier table. ``split``:
     compare only rows before it with rows from it on; None: all i < j."""
+    x = scaled(x)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     z, s, c, bound = codes(unit)
     found = []
@@ -126,6 +132,7 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             for dim in np.unique(lengths):
                 own = np.nonzero(lengths == dim)[0]
                 x = flat[(vec.offsets.to_numpy()[own] - vec.offsets[0].as_py())[:, None] + np.arange(dim)]
+                x = scaled(x)
                 keys = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), bits, tables)
                 out[0].append(np.repeat(batch.column(0).to_numpy()[own], tables))
                 out[1].append(np.tile(np.arange(tables, dtype=np.int32), len(own)))

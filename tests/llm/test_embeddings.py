@@ -38,6 +38,22 @@ def test_awkward_rows(spark):
     assert sorted(map(tuple, op.near_links(vectors(spark, rows)).collect())) == brute(rows)
 
 
+def test_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(16)
+    rows = [(i, (base * 10.0 ** e).tolist()) for i, e in enumerate((200, -200, 0, 307, -300), start=1)]
+    rows += [(10 + i, (rng.standard_normal(16) * 10.0 ** e).tolist()) for i, e in enumerate((200, -200, 0))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op.near_links(vectors(spark, rows)).collect()}
+    assert all(got[i] == (4, 1) for i in range(1, 6)) and all(got[i] == (0, i) for i in (10, 11, 12))
+
+
+def test_scaling_is_exact():
+    x = np.random.default_rng(1).standard_normal((50, 8))
+    y = op.scaled(x)
+    assert (np.abs(y).max(axis=1) < 1).all() and (np.abs(y).max(axis=1) >= 0.5).all()
+    assert (x @ x.T / np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1))) == y @ y.T / np.sqrt(np.outer((y * y).sum(1), (y * y).sum(1)))).all()
+
+
 def test_empty(spark):
     assert op.near_links(vectors(spark, [])).collect() == []
 
