@@ -5,7 +5,7 @@ bounds come from a hash-chosen sample of the ids, so the same table always gives
 shards. A shard's task writes gzip members into files that roll over at ``roll_bytes``
 of compressed size, regenerating headers and digests; a file is written under a
 name of its attempt and renamed when it is complete. The tasks return a manifest row per
-file, and the driver commits the archive by renaming the manifest into place: a
+file, and Spark's commit of the manifest table commits the archive: a
 failed or repeated attempt leaves nothing that a reader takes. Readers start from the manifest.
 
 Files go to the shared folder through ``pyarrow.fs``, so any store it opens will do.
