@@ -214,3 +214,12 @@ def node_rows(nodes: DataFrame) -> list[dict]:
                         F.col("nodeData.split.featureIndex").alias("feature"),
                         F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold")).collect()
     return [r.asDict() for r in rows]
+
+
+def split_gains(nodes: DataFrame, feature_names: list[str]) -> DataFrame:
+    """SEL8, gain variant: per feature the loss reduction of all its splits, a node's gain times its rows (the gain is an
+    average over them); inputs of one name count together."""
+    names = F.array(*[F.lit(n) for n in feature_names])
+    internal = nodes.where(F.col("nodeData.leftChild") >= 0)
+    return (internal.groupBy(names[F.col("nodeData.split.featureIndex")].alias("feature"))
+            .agg(F.sum(F.col("nodeData.gain") * F.col("nodeData.impurityStats")[0]).alias("split_gain")))

@@ -50,8 +50,14 @@ def rejects(valid: DataFrame) -> DataFrame:
 
 
 def json_record(cols: list[str]) -> Column:
-    """One-record JSON list; numbers as fixed 6-decimal values, NULL kept."""
-    return F.to_json(F.array(F.struct(*[F.col(f"`{c}`").cast("decimal(20,6)").alias(c) for c in cols])),
+    """One-record JSON list; numbers as fixed 6-decimal values, NULL kept. Numbers that are not finite, which
+    JSON lacks, or of 1e32 and more are NULL."""
+    return _json_numbers([(c, c) for c in cols])
+
+
+def _json_numbers(cols: list[tuple[str, str]]) -> Column:
+    """The JSON list of one record with the numbers of (column, name in the record)."""
+    return F.to_json(F.array(F.struct(*[F.col(f"`{c}`").try_cast("decimal(38,6)").alias(name) for c, name in cols])),
                      {"ignoreNullFields": "false"})
 
 
@@ -65,8 +71,7 @@ def response_records(scored: DataFrame, feature_cols: list[str], phi_cols: list[
     if len(shap_names) != len(phi_cols):
         raise ValueError("one name per contribution column is needed")
     cls, dec = decide(F.col("proba"), threshold)
-    phi_struct = F.to_json(F.array(F.struct(*[F.col(f"`{p}`").cast("decimal(20,6)").alias(f) for p, f in
-                                              zip(phi_cols, shap_names)])), {"ignoreNullFields": "false"})
+    phi_struct = _json_numbers(list(zip(phi_cols, shap_names)))
     cols = [F.col("client_id").alias("Client_id"), F.col("proba").alias("Client default probability"),
             cls.alias("Class"), dec.alias("Decision"), json_record(feature_cols).alias("Client_info"),
             F.lit(float(expected)).alias("Expected_Shap_Value"), phi_struct.alias("Shap_values_client")]

@@ -10,7 +10,7 @@ from math import factorial
 from pyspark.sql import functions as F
 
 from riskweave.functions.scalar import round_doubles
-from riskweave.operators.explain import expected_value, leaf_paths, node_rows, split_counts, tree_contributions
+from riskweave.operators.explain import expected_value, leaf_paths, node_rows, split_counts, split_gains, tree_contributions
 from riskweave.plans import entities as E
 from riskweave.plans import roles
 from riskweave.plans import sqlgen as S
@@ -121,3 +121,37 @@ def q_split_counts_fixed(spark, d):
     nodes = each.select(index.alias("fi")).select(F.explode(F.expr(
         f"array(struct(0 AS id, 1 AS leftChild, 2 AS rightChild, struct(fi AS featureIndex) AS split), {leaf(1)}, {leaf(2)})")).alias("nodeData"))
     return split_counts(nodes, FEATURES)
+
+
+def _gain_sql() -> str:
+    y = "CAST(N_DIGITS AS DOUBLE)"
+    return S.with_roles("documents_entity", extra=[
+        "cuts AS (SELECT SOURCE AS s, " + ", ".join(f"avg(CAST({f} AS DOUBLE)) AS c{i}" for i, f in enumerate(FEATURES)) + " FROM documents_entity GROUP BY SOURCE)",
+        "sides AS (" + " UNION ALL ".join(
+            f"SELECT SOURCE, '{f}' AS feature, {y} AS y, CAST({f} AS DOUBLE) <= c{i} AS side FROM documents_entity JOIN cuts ON SOURCE IS NOT DISTINCT FROM s"
+            for i, f in enumerate(FEATURES)) + ")",
+        "each AS (SELECT feature, SOURCE, var_pop(y) * count(*) AS whole FROM sides GROUP BY feature, SOURCE)",
+        "halves AS (SELECT feature, SOURCE, sum(v) AS rest FROM (SELECT feature, SOURCE, side, var_pop(y) * count(*) AS v FROM sides"
+        " GROUP BY feature, SOURCE, side) h GROUP BY feature, SOURCE)",
+    ]) + (f"SELECT e.feature, {S.r6('sum((whole - rest) / 1000)')} AS split_gain FROM each e JOIN halves h "
+          "ON e.feature = h.feature AND e.SOURCE IS NOT DISTINCT FROM h.SOURCE GROUP BY e.feature")
+
+
+@register("q_split_gains_fixed", _gain_sql)
+def q_split_gains_fixed(spark, d):
+    """SEL8, gain variant, on a node table made from the documents: for every source and feature a tree with one split at
+    the feature's mean, its gain the variance of the digit counts that the split removes."""
+    docs = roles.documents_entity(spark, d)
+    y = F.col("N_DIGITS").cast("double")
+    cuts = docs.groupBy(F.col("SOURCE").alias("s")).agg(*[F.avg(F.col(f).cast("double")).alias(f"c{i}") for i, f in enumerate(FEATURES)])
+    at = docs.join(cuts, F.col("SOURCE").eqNullSafe(F.col("s")))
+    sides = at.select("SOURCE", y.alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("fi"), (F.col(f).cast("double") <= F.col(f"c{i}")).alias("side")) for i, f in enumerate(FEATURES)])).alias("x"))
+    halves = sides.groupBy("SOURCE", "x.fi", "x.side").agg(F.count("y").alias("n"), F.sum("y").alias("t"), F.sum(F.col("y") * F.col("y")).alias("q"))
+    spread = lambda n, t, q: q - t * t / n  # noqa: E731  sum of squared deviations
+    trees = halves.groupBy("SOURCE", "fi").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"),
+                                               F.sum(spread(F.col("n"), F.col("t"), F.col("q"))).alias("rest"))
+    gain = (spread(F.col("n"), F.col("t"), F.col("q")) - F.col("rest")) / F.col("n") / 1000
+    nodes = trees.select(F.struct(F.lit(0).alias("id"), F.lit(1).alias("leftChild"), gain.alias("gain"), F.array(F.col("n").cast("double")).alias("impurityStats"),
+                                  F.struct(F.col("fi").alias("featureIndex")).alias("split")).alias("nodeData"))
+    return round_doubles(split_gains(nodes, FEATURES))

@@ -88,3 +88,15 @@ def test_client_table_long(spark, clients):
     t = client_table(clients.withColumn("proba", F.lit(0.12345)), "POSITION", FEATURES, "proba")
     assert t.count() == N_CLIENTS * 6
     assert t.where("field = 'default_probability_pct'").first().value == 12.3
+
+
+def test_json_record_keeps_large_numbers_and_has_no_odd_ones(spark):
+    import json
+
+    from riskweave.operators.score import json_record
+    df = spark.createDataFrame([(1.5e20, -2.0000005, float("nan"), 1e40, None, 3)], "a double, b double, c double, d double, e double, `f g` int")
+    text = df.select(json_record(df.columns).alias("r")).first().r
+    assert '"a":150000000000000000000.000000' in text
+    record = json.loads(text)[0]
+    assert abs(record["b"] + 2.0000005) <= 1e-6 and record["f g"] == 3
+    assert [record[c] for c in "cde"] == [None, None, None]
