@@ -47,6 +47,32 @@ def _last_claimed(spark: SparkSession, root: str) -> int:
     return max((int(n) for n in names if POINTER.match(n)), default=0)
 
 
+def _claimed(spark: SparkSession, pointer: str, version: str) -> bool:
+    """Creates the pointer file unless another writer has it. Shared stores create a file for one writer only; Hadoop's
+    local file system looks before it creates, so there the operating system's exclusive creation is used."""
+    target, fs = _files(spark, pointer)
+    if fs.getUri().getScheme() == "file":
+        name = target.toUri().getPath()
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        try:
+            with open(name, "x", encoding="ascii") as out:
+                out.write(version)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        stream = fs.create(target, False)
+    except Py4JJavaError as taken:
+        if "AlreadyExists" in str(taken.java_exception.getClass().getName()) or fs.exists(target):
+            return False
+        raise
+    try:
+        stream.writeBytes(version)
+    finally:
+        stream.close()
+    return True
+
+
 def publish(spark: SparkSession, root: str, write: Callable[[str], None]) -> tuple[int, str]:
     """Lets ``write`` fill a new folder and commits it under the next number: (number, folder)."""
     version = uuid.uuid4().hex
@@ -54,18 +80,8 @@ def publish(spark: SparkSession, root: str, write: Callable[[str], None]) -> tup
     write(path)
     while True:
         number = _last_claimed(spark, root) + 1
-        target, fs = _files(spark, os.path.join(root, "pointers", f"{number:09d}"))
-        try:
-            stream = fs.create(target, False)  # fails if another writer has the number
-        except Py4JJavaError as taken:
-            if "AlreadyExists" in str(taken.java_exception.getClass().getName()) or fs.exists(target):
-                continue
-            raise
-        try:
-            stream.writeBytes(version)
-        finally:
-            stream.close()
-        return number, path
+        if _claimed(spark, os.path.join(root, "pointers", f"{number:09d}"), version):
+            return number, path
 
 
 def latest(spark: SparkSession, root: str) -> str:

@@ -25,6 +25,14 @@ def test_writers_at_the_same_time_all_commit(spark):
     assert R.latest(spark, root) == dict(got)[12]
 
 
+def test_one_of_many_writers_gets_a_pointer(spark):
+    for k in range(20):
+        pointer = os.path.join(folder(), "pointers", f"{k:09d}")
+        with ThreadPool(8) as pool:
+            got = pool.map(lambda i: R._claimed(spark, pointer, f"{i:032d}"), range(8))
+        assert sorted(got) == [False] * 7 + [True]
+
+
 def test_failed_attempts_leave_nothing_to_see(spark):
     root = folder()
     with pytest.raises(FileNotFoundError):
