@@ -36,6 +36,7 @@ REFERENCE_GRID = {
 # Stand-ins of a missing value below and above all values: a nullable column enters the trees once with each.
 BELOW, ABOVE = -1e300, 1e300
 SIDES = ("_low", "_high")
+ROWS_A_TASK = 20_000  # rows of a partition that trees are fitted on
 METRIC_NAMES = ["accuracy", "precision", "recall", "f1", "auc", "fbeta"]
 
 
@@ -55,6 +56,16 @@ def weight_column(label: str, weights: dict[int, float]):
     return F.when(F.col(label) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
 
 
+def fit_tasks(n: int) -> int:
+    return max(1, -(-n // ROWS_A_TASK))
+
+
+def sized(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` training rows in partitions of about ROWS_A_TASK rows. A fit runs a job a level of every tree over all
+    partitions, so on many small ones it spends its time starting tasks."""
+    return rows.repartition(fit_tasks(n))
+
+
 def nullable_columns(df: DataFrame, cols: list[str]) -> list[str]:
     """Columns holding at least one NULL/NaN (one aggregate)."""
     if not cols:
@@ -138,7 +149,7 @@ def fit(train: DataFrame, features: list[str], label: str, balance: bool = True,
     weights = class_weights(train, label, counts) if balance else None
     nullable = nullable_columns(train, features) if nullable is None else nullable
     pipe = build_pipeline(features, label, nullable, "weight" if balance else None, relative_error, before, missing, **params)
-    return pipe.fit(prepare(train, label, weights))
+    return pipe.fit(sized(prepare(train, label, weights), sum(counts.values())))
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -206,17 +217,21 @@ def fbeta(tp: int, fp: int, fn: int, beta: float) -> float:
 
 
 def grid_search(train: DataFrame, features: list[str], label: str, grid: dict[str, list],
-                fold_col: str = "fold", k: int = 5, beta: float = 10.0, parallelism: int = 4):
+                fold_col: str = "fold", k: int = 5, beta: float = 10.0, parallelism: int | None = None):
     """ML4: every grid point x k stratified folds, scored by F-beta on class 1, best (the first of equal
     ones) refitted on all training rows. Points that differ in ``maxIter`` alone share one fit a fold, at the
     largest: the smaller ones are its first trees, scored in the same pass. The model's input vectors are made
-    once for all fits. Returns (fitted pipeline, its parameters, results df)."""
+    once for all fits, in as many partitions as the rows need; ``parallelism`` fits run at a time, by default
+    as many as the cores hold tasks of. Returns (fitted pipeline, its parameters, results df)."""
     counts = label_counts(train, label)
     weights = class_weights(train, label, counts)
     nullable = nullable_columns(train, features)
     data = prepare(train, label, weights)
     pre = Pipeline(stages=input_stages(features, nullable)).fit(data)  # its stages learn nothing from the rows
-    data = pre.transform(data).select(label, "weight", F.col(fold_col).cast("int").alias(fold_col), "features").persist()
+    data = pre.transform(data).select(label, "weight", F.col(fold_col).cast("int").alias(fold_col), "features")
+    data = sized(data, sum(counts.values())).persist()
+    if parallelism is None:
+        parallelism = max(4, train.sparkSession.sparkContext.defaultParallelism // fit_tasks(sum(counts.values())))
     points = grid_points(grid)
     shared: dict[str, list[int]] = {}
     for p in points:

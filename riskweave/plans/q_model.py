@@ -77,7 +77,7 @@ def q_grid_search(spark, d):
     """ML4: grid x 5 stratified folds scored by F-beta(10) on class 1, best refit; the numbers of
     trees share their fits."""
     t = P.trained(spark, d)
-    _, _, res = L.grid_search(P.training_folds(t), t.features, LABEL, P.QUERY_GRID, "fold", 5, P.BETA, parallelism=4)
+    _, _, res = L.grid_search(P.training_folds(t), t.features, LABEL, P.QUERY_GRID, "fold", 5, P.BETA)
     return res
 
 

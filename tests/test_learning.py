@@ -64,3 +64,19 @@ def test_the_whole_grid_is_accepted_with_few_trees(spark, rows):
     _, _, res = L.grid_search(rows, ["x", "z"], "y", few, k=2, parallelism=4)
     assert res.count() == len(list(itertools.product(*few.values())))
     assert len(L.grid_points(L.REFERENCE_GRID)) == 108
+
+
+def test_fit_tasks_follow_the_rows(spark, rows):
+    """600 rows in 40 partitions are fitted in one partition, not by 40 tasks a level of every tree."""
+    sc = spark.sparkContext
+    split = rows.repartition(40)
+    assert L.sized(split, 600).rdd.getNumPartitions() == 1
+    assert L.sized(split, 2 * L.ROWS_A_TASK + 1).rdd.getNumPartitions() == 3
+    sc.setJobGroup("sized-fit", "")
+    try:
+        L.fit(split, ["z"], "y", nullable=[], maxIter=3, maxDepth=2)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("sized-fit") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 250  # a stage of 40 and one a level before
