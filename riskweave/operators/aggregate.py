@@ -3,7 +3,8 @@
 A spec is ``{column: [agg, ...]}`` as in the reference's dictionaries; output names
 are ``{prefix}{column}_{AGG}``. All aggregates of one table, including the subset
 (Active/Closed, Approved/Refused) variants, are emitted by ONE ``groupBy``: Spark
-runs partial aggregation map-side, so a hot key costs one row per map task."""
+runs partial aggregation map-side, so a hot key costs one row per map task. A wide aggregate over keys with a few rows
+each goes through ``together`` first: the narrow rows are shuffled, not a wide buffer for about every row."""
 
 from __future__ import annotations
 
@@ -12,6 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A key is hot above both: HOT_ROWS rows, and HOT_SHARE of all rows. So at most 1 / HOT_SHARE keys are.
+HOT_ROWS, HOT_SHARE = 1_000_000, 0.001
+SPREAD = 1 << 16  # groups that the rows of a hot key are dealt to
+
 AGG_NAMES = ("min", "max", "mean", "sum", "var", "size", "nunique")
 
 
@@ -60,6 +65,23 @@ def category_share_exprs(col: str, values, prefix: str = "", nan_column: bool =
     return out
 
 
+def hot_keys(counts: DataFrame, key: str, n: str = "n", rows: int = HOT_ROWS, share: float = HOT_SHARE) -> list:
+    """The hot keys of a (key, number of rows) table, at most 1 / ``share``."""
+    total = counts.agg(F.sum(n).alias("t"))
+    hot = counts.where(F.col(n) > rows).crossJoin(F.broadcast(total)).where(F.col(n) > F.lit(share) * F.col("t"))
+    return sorted(r[key] for r in hot.select(key).collect())
+
+
+def together(df: DataFrame, key: str, hot: list = (), row: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of a key in one task, so that the aggregate by ``key`` after it needs no shuffle of its wide
+    buffers. Rows of ``hot`` keys are spread by a hash of the ``row`` columns; the aggregate then adds up a buffer per
+    key and, for these, per task."""
+    if not hot:
+        return df.repartition(key)
+    spread = F.when(F.col(key).isin(list(hot)), F.pmod(F.xxhash64(*row), F.lit(SPREAD))).otherwise(F.lit(0))
+    return df.repartition(F.col(key), spread)
+
+
 @dataclass(frozen=True)
 class Subset:
     """A named row subset aggregated beside the total (AGG6)."""

@@ -5,7 +5,11 @@ sources share one per-order lineitem aggregate first. Each source is also usable
 alone (the per-source queries). The wide table fuses sources that read the same
 table into one client-level groupBy (bureau + previous applications; POS + credit
 card). Aggregate outputs are hash-partitioned by SK_ID_CURR, so the left-join chain
-onto the client table reuses that partitioning instead of re-shuffling each side."""
+onto the client table reuses that partitioning instead of re-shuffling each side.
+
+A client has about as many aggregate columns as values, so the rows are brought together by client before a
+client-level aggregate (``together``): what is shuffled are rows, not a buffer of all aggregates for about every row. Clients
+holding much of a table are found first and spread."""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.scalar import positive_part, ratio
 from riskweave.operators.aggregate import (
-    agg_exprs, all_columns_spec, category_share_exprs, grouped,
+    HOT_ROWS, agg_exprs, all_columns_spec, category_share_exprs, grouped, hot_keys, together,
 )
 from riskweave.operators.encode import FactorizeSpec, OneHotSpec
 from riskweave.plans import roles
@@ -87,6 +91,30 @@ def application_features(spark: SparkSession, d: str, exclude_segment: str | Non
     return app.withColumn("BALANCE_PER_NATION", ratio("AMT_BALANCE", "NATION_CODE", ieee))
 
 
+_HOT: dict[tuple, list] = {}
+
+
+def hot_clients(spark: SparkSession, d: str, source: str) -> list:
+    """The clients with a large part of the orders ("orders") or of the lines of all orders ("lines"), found once per
+    application and data folder; tables too small to have one are only counted."""
+    key = (spark.sparkContext.applicationId, d, source)
+    if key not in _HOT:
+        rows = {"orders": roles.bureau, "lines": roles.bureau_balance}[source](spark, d)
+        if rows.count() <= HOT_ROWS:
+            _HOT[key] = []
+        elif source == "lines":
+            per_order = rows.groupBy("SK_ID_BUREAU").agg(F.count(F.lit(1)).alias("n"))
+            per = roles.bureau(spark, d).select("SK_ID_BUREAU", KEY).join(per_order, "SK_ID_BUREAU").groupBy(KEY).agg(F.sum("n").alias("n"))
+            _HOT[key] = hot_keys(per.where(F.col(KEY).isNotNull()), KEY)
+        else:
+            _HOT[key] = hot_keys(rows.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY)
+    return _HOT[key]
+
+
+def by_client(spark: SparkSession, d: str, source: str, df: DataFrame, row: tuple[str, ...]) -> DataFrame:
+    return together(df.where(F.col(KEY).isNotNull()), KEY, hot_clients(spark, d, source), row)
+
+
 def _shares(spec: OneHotSpec, prefix: str = "") -> list:
     return [e for c, vals in spec.categories.items() for e in category_share_exprs(c, vals, prefix)]
 
@@ -127,7 +155,8 @@ def bureau_and_balance(spark: SparkSession, d: str) -> DataFrame:
     """Two-level chain: balance rows -> per bureau row -> per client, with the
     Active/Closed subset aggregates fused into the client-level pass."""
     bur, names = orders_enriched(spark, d)
-    return bur.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*bureau_exprs(spark, d, bur, names))
+    bur = by_client(spark, d, "orders", bur, ("SK_ID_BUREAU",))
+    return bur.groupBy(KEY).agg(*bureau_exprs(spark, d, bur, names))
 
 
 def previous_prepared(spark: SparkSession, d: str, sentinel: int = roles.SENTINEL_DAYS,
@@ -153,15 +182,16 @@ def previous_exprs(spark: SparkSession, d: str) -> list:
 
 def previous_applications(spark: SparkSession, d: str, sentinel: int = roles.SENTINEL_DAYS) -> DataFrame:
     prev = previous_prepared(spark, d, sentinel)
-    return prev.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(*previous_exprs(spark, d))
+    return by_client(spark, d, "orders", prev, ("SK_ID_PREV",)).groupBy(KEY).agg(*previous_exprs(spark, d))
 
 
 def order_chains(spark: SparkSession, d: str) -> DataFrame:
     """Bureau and previous-application aggregates in ONE client-level groupBy over
     the shared orders-with-lines table (one scan of each table, one shuffle)."""
     bur, names = orders_enriched(spark, d)
+    bur = by_client(spark, d, "orders", bur, ("SK_ID_BUREAU",))
     both = bur.select("*", *[e.alias(c) for c, e in roles.previous_columns().items()])
-    return both.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
+    return both.groupBy(KEY).agg(
         *bureau_exprs(spark, d, bur, names), *previous_exprs(spark, d))
 
 
@@ -178,6 +208,10 @@ def pos_cash(spark: SparkSession, d: str) -> DataFrame:
 
 def installments_prepared(spark: SparkSession, d: str, ieee: bool = False) -> DataFrame:
     ins = roles.installments(spark, d)
+    return with_payment_columns(ins, ieee)
+
+
+def with_payment_columns(ins: DataFrame, ieee: bool = False) -> DataFrame:
     return ins.withColumns({
         "PAYMENT_PERC": ratio("AMT_PAYMENT", "AMT_INSTALMENT", ieee),
         "PAYMENT_DIFF": F.col("AMT_INSTALMENT") - F.col("AMT_PAYMENT"),
@@ -187,7 +221,8 @@ def installments_prepared(spark: SparkSession, d: str, ieee: bool = False) -> Da
 
 
 def installments_payments(spark: SparkSession, d: str) -> DataFrame:
-    ins = installments_prepared(spark, d)
+    ins = roles.installments(spark, d)
+    ins = with_payment_columns(by_client(spark, d, "lines", ins, tuple(ins.columns)))  # the ratio and differences are not shuffled
     # same lineitem column as the balance fit: reuse it instead of a second scan
     bb = fitted(spark, d, "bureau_balance", roles.order_lines(spark, d), ["STATUS", "RETURN_FLAG"])
     cats = OneHotSpec({"PAYMENT_FLAG": bb.categories["RETURN_FLAG"]}, nan_column=True)
