@@ -4,9 +4,9 @@ Pairwise-complete Pearson correlation (pandas ``DataFrame.corr`` semantics: each
 uses the rows where both values are present) for any number of columns, from tiles of
 ``TILE`` columns:
 
-* a task folds its Arrow batches, for one strip of columns against all later ones, into the sums
-  n, sx, sy, sxx, syy, sxy (relative to its own first-batch means, for accuracy), so it
-  holds TILE x p numbers of each, whatever the rows; a strip is one scan of its own and later columns
+* a task folds its Arrow batches, CELLS values at a time, for one strip of columns against all later ones, into the sums
+  n, sx, sy, sxx, syy, sxy (relative to the means of its first rows, for accuracy), so it
+  holds TILE x p numbers of each and copies of CELLS values, whatever the rows and the size of a batch; a strip is one scan of its own and later columns
 * each pair of tiles leaves as ONE packed row; packed rows are added ``FAN_IN`` at a time, level by
   level, moved exactly to the first one's means, until one is left per pair of tiles
 * the pair table is unpacked from those and r comes from the sums
@@ -29,6 +29,7 @@ _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Doubl
         T.DecimalType, T.BooleanType)
 
 TILE, FAN_IN = 256, 16
+CELLS = 1 << 18  # values that a task turns into numbers at a time
 TASKS_A_CORE = 2
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 PACKED = "i int, j int, part int, a binary, b binary, sums binary"
@@ -43,13 +44,16 @@ def _strip(tile_i: int, p: int, tile: int):
     holds exactly those columns. Emits a packed row per pair of tiles."""
     w = min(tile, p - tile_i * tile)
 
+    def slices(batches):
+        for pdf in batches:
+            step = max(1, CELLS // pdf.shape[1])
+            for lo in range(0, len(pdf), step):
+                yield pdf.iloc[lo:lo + step].to_numpy(dtype=np.float64, na_value=np.nan)
+
     def fold(batches):
         from pyspark import TaskContext
         part, shift, acc = TaskContext.get().partitionId(), None, None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+        for X in slices(batches):
             M = ~np.isnan(X)
             if shift is None:
                 cnt = M.sum(axis=0)

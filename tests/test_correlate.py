@@ -106,3 +106,34 @@ def test_packed_rows_follow_the_tasks_not_the_input(spark):
 def test_empty_table(spark):
     sdf = spark.createDataFrame([], "a double, b double")
     assert pairwise_corr(sdf).collect() == []
+
+
+def test_a_strip_copies_few_values_at_a_time(spark):
+    """One batch of 40,000 x 200 values is folded in slices: the peak of numpy's memory stays far below the batch."""
+    import tracemalloc
+
+    from pyspark import TaskContext
+
+    from riskweave.operators import correlate as C
+    p, n = 200, 40_000
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(n, p))
+    X[X > 2.5] = np.nan
+    batch = pd.DataFrame(X, columns=[f"c{k}" for k in range(p)])
+
+    class Task:
+        @staticmethod
+        def partitionId():
+            return 0
+    was, TaskContext.get = TaskContext.get, staticmethod(lambda: Task)
+    try:
+        tracemalloc.start()
+        row, = (r for b in C._strip(0, p, 256)(iter([batch])) for r in b.to_dict("records"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        TaskContext.get = was
+    assert peak < X.nbytes / 2
+    n_ij = np.frombuffer(row["sums"]).reshape(6, p, p)[0]
+    seen = (~np.isnan(X)).astype(float)
+    assert (n_ij == seen.T @ seen).all()
