@@ -10,8 +10,8 @@ number (ISBN, version, order, score), or inside a longer chain, are not.
 On the labels of held-out documents the smallest threshold with the wanted precision is taken; candidates
 at or above it that overlap no base span are added, the best of overlapping ones.
 
-The trees are fitted on about ``train_rows`` labelled candidates chosen by a hash;
-generation and scoring cover every text.
+The trees are fitted on all labelled candidates of three quarters of the documents, the threshold is taken from all
+of the others; a caller may bound them to about ``train_rows`` chosen by a hash.
 
 Defined results: null and empty texts have no spans; without both labels nothing is
 added; rows that repeat an id each give a row; an empty table gives no rows; offsets are code points."""
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import prepared, written
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 20_000
 PRECISION = 0.995
 
 # The base patterns. The email pattern is matched at the start of the run before
@@ -195,17 +194,17 @@ def candidate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         run, "row long, doc_id long, kind int, start long, end long, base boolean, y int, x array<double>")
 
 
-def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, precision: float = PRECISION):
+def fit(rows: DataFrame, train_rows: int | None = None, precision: float = PRECISION):
     """(boosted trees, calibrated threshold), or None without labels of both kinds."""
     known = rows.where("y is not null").withColumn("_h", F.pmod(F.xxhash64("doc_id", "start", "end", "kind"), F.lit(1 << 30)))
     known = known.withColumn("_held", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(4)) == 0)  # whole documents
-    per = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(per) < 2:
-        return None
-    share = F.when(F.col("y") == 1, min(1.0, train_rows / 2 / per[1])).otherwise(min(1.0, train_rows / 2 / per[0]))
-    chosen = written(known.where(F.col("_h") < share * (1 << 30)).select(
-        F.col("y").cast("double").alias("label"), array_to_vector("x").alias("features"),
-        F.col("_held").alias("held")), "pii-train")
+    if train_rows is not None:
+        per = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if len(per) < 2:
+            return None
+        share = F.when(F.col("y") == 1, min(1.0, train_rows / 2 / per[1])).otherwise(min(1.0, train_rows / 2 / per[0]))
+        known = known.where(F.col("_h") < share * (1 << 30))
+    chosen = known.select(F.col("y").cast("double").alias("label"), array_to_vector("x").alias("features"), F.col("_held").alias("held"))
     fitting = chosen.where("not held")
     if fitting.select("label").distinct().count() < 2:
         return None
@@ -223,7 +222,7 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, precision: float = PRECIS
     return model, threshold
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int | None = None) -> DataFrame:
     """One row per document: the counts and digest of the base spans, and all spans."""
     rows = written(candidate_rows(docs, id_col, text_col), "candidates")
     spans = rows.where("base").select("row", "kind", "start", "end", "base", F.lit(1.0).alias("p"))

@@ -106,3 +106,19 @@ def test_placed_equals_all_pairs():
                 taken.append(x)
                 want.append(x)
         assert op.placed(base, added) == want
+
+
+def test_trees_learn_from_every_labelled_candidate(spark):
+    """More labelled candidates than the old bound of 20,000: all of them reach the trees and the threshold."""
+    from pyspark.sql import functions as F
+
+    from riskweave.llm import op8_pii as op
+    rows = spark.range(30_000).select(
+        F.col("id").alias("doc_id"), F.lit(3).alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("end"),
+        (F.col("id") % 2).cast("int").alias("y"), F.array((F.col("id") % 2).cast("double"), F.lit(1.0)).alias("x"))
+    model, threshold = op.fit(rows)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(4)) == 0
+    assert model.trees[0]._call_java("rootNode").impurityStats().count() == rows.where(~held).count() > 20_000
+    assert threshold > 0.5
+    few, _ = op.fit(rows, train_rows=2000)
+    assert few.trees[0]._call_java("rootNode").impurityStats().count() < 2000
