@@ -5,8 +5,8 @@ Every letter has a random vector of signs. A trigram binds its letters' vectors,
 trigrams; a language's prototype is the bundle of its documents' unit bundles. All are
 centred on the mean prototype, and a document takes the language with the largest cosine.
 
-The prototypes are fitted on at most about ``train_rows`` documents a language, chosen by
-a hash of their id among those with a language whose crc32(doc_id) mod 5 is not 0; each
+The prototypes are fitted on all documents with a language whose crc32(doc_id) mod 5 is not 0 (a
+caller may bound them to about ``train_rows`` a language, chosen by a hash of their id); each
 partition sends one partial bundle a language. Prediction reads only the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties take
@@ -16,15 +16,15 @@ doc_id counts as held out; the score is the cosine, negative ones as 0; every ro
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import prepared
+from riskweave.llm.common import prepared, written
 
 DIMENSIONS = 1024
-TRAIN_ROWS = 3000  # labelled documents a language that the prototypes are fitted on, about
 KEPT_GRAMS = 24_000  # trigram vectors that a worker remembers
 # The pipeline stage rejects texts of at least JUDGED_CHARS characters that score below REJECT_FACTOR times the score
 # that all but REJECT_SHARE of the rightly predicted training texts of that length reach.
@@ -91,17 +91,17 @@ def usable(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) ->
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+        train_rows: int | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, centred unit prototypes, centre)."""
     prepared(docs.sparkSession)
     rows = usable(docs, id_col, text_col, lang_col).where("not held_out and lang is not null")
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    if not per:
-        return [], np.zeros((0, DIMENSIONS)), np.zeros(DIMENSIONS)
-    share = F.lit(0.0)
-    for lang, n in sorted(per.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_rows / n))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    if train_rows is not None:
+        per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+        share = F.lit(0.0)
+        for lang, n in sorted(per.items()):
+            share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_rows / n))).otherwise(share)
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = rows.select("lang", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -147,7 +147,7 @@ def predictor(model: tuple[list[str], np.ndarray, np.ndarray]):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             train_rows: int = TRAIN_ROWS) -> DataFrame:
+             train_rows: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     model = fit(docs, id_col, text_col, lang_col, train_rows)
 
@@ -165,15 +165,31 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def reject_below(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], train_rows: int = TRAIN_ROWS) -> float:
-    """The calibrated least score; 0 without rightly predicted training texts. Scored are labelled
-    training rows chosen by a hash, about ``train_rows`` a language on average."""
-    rows = usable(docs, "doc_id", "text", "lang").where((~F.col("held_out")) & F.col("lang").isNotNull() & (F.length("text") >= JUDGED_CHARS))
-    n = rows.count()
-    if not n or not model[0]:
+def least_reached(scores: DataFrame, share: float) -> float | None:
+    """The score (0 to 1) at rank ceil(share x rows) from below, to 2^-48: three counts of 16 bits each, in the bucket
+    that holds the rank. None without rows."""
+    lo, width, rank = 0.0, 1.0, None
+    for _ in range(3):
+        at = F.least(F.floor((F.col("score") - F.lit(lo)) / F.lit(width) * 65536), F.lit(65535))
+        inside = scores.where((F.col("score") >= lo) & ((F.col("score") < lo + width) | F.lit(lo + width >= 1.0)))
+        counts = sorted((r["b"], r["n"]) for r in inside.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())  # at most 65,536 rows
+        if not counts:
+            return None
+        rank = max(1, ceil(share * sum(n for _, n in counts))) if rank is None else rank
+        for bucket, n in counts:
+            if n >= rank:
+                break
+            rank -= n
+        lo, width = lo + bucket * width / 65536, width / 65536
+    return lo
+
+
+def reject_below(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> float:
+    """The calibrated least score, of all labelled training rows; 0 without rightly predicted training texts."""
+    if not model[0]:
         return 0.0
-    share = min(1.0, train_rows * len(model[0]) / n)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    chosen = usable(docs, "doc_id", "text", "lang").where(
+        (~F.col("held_out")) & F.col("lang").isNotNull() & (F.length("text") >= JUDGED_CHARS)).select("lang", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -185,8 +201,8 @@ def reject_below(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray
                 right = [s for k, own, s in zip(langs, part.column(0).to_pylist(), scores) if k == own]
                 yield pa.RecordBatch.from_arrays([pa.array(right, pa.float64())], names=["score"])
 
-    least = chosen.mapInArrow(run, "score double").agg(F.percentile_approx("score", REJECT_SHARE, 10_000).alias("s")).first()["s"]
-    return REJECT_FACTOR * (least or 0.0)
+    scores = written(chosen.mapInArrow(run, "score double"), "language-scores")  # one number a training text
+    return REJECT_FACTOR * (least_reached(scores, REJECT_SHARE) or 0.0)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

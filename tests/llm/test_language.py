@@ -59,3 +59,32 @@ def test_stage_rejects_languages_never_learned(spark):
     assert out & {r[0] for r in rows} == {10_000_100}  # too short to judge
     held = [r["doc_id"] for r in d.select("doc_id", "lang").collect() if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert sum(i not in out for i in held) <= 0.005 * len(held)
+
+
+def test_models_and_rejection_learn_from_every_training_row(spark):
+    """More training rows a language than the old bound of 3,000: the prototypes and the least score cover them all."""
+    from pyspark.sql import functions as F
+
+    from riskweave.llm import op4_langid as op
+    docs = spark.range(8000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"),
+        F.concat(F.when(F.col("id") % 2 == 0, "the quick brown fox runs over hills and rivers every single day "
+                        ).otherwise("zwölf große boxer jagen viktor quer über den breiten sylter deich "), F.md5(F.col("id").cast("string"))).alias("text"))
+    langs, protos, centre = op.fit(docs)
+    some = op.fit(docs, train_rows=3000)
+    assert langs == ["aa", "bb"] and abs(protos - some[1]).max() > 0
+    assert abs(centre - op.fit(docs, train_rows=10 ** 9)[2]).max() == 0
+    scored = op.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("not held_out and lang = lang_pred")
+    scores = sorted(r["score"] for r in scored.select("score").collect())
+    want = op.REJECT_FACTOR * scores[max(1, -(-len(scores) // 1000)) - 1]
+    assert len(scores) > 6000 and abs(op.reject_below(docs, (langs, protos, centre)) - want) < 1e-6
+
+
+def test_least_reached_is_the_rank(spark):
+    from riskweave.llm import op4_langid as op
+    for values in ([0.25], [0.0, 1.0], [1.0] * 5, [k / 997 for k in range(997)], [0.5] * 50 + [0.5 + 1e-12] * 50 + [0.9]):
+        df = spark.createDataFrame([(v,) for v in values], "score double")
+        for share in (0.001, 0.3, 0.75, 1.0):
+            want = sorted(values)[max(1, -int(-(share * len(values)) // 1)) - 1]
+            assert abs(op.least_reached(df, share) - want) < 1e-13
+    assert op.least_reached(spark.createDataFrame([], "score double"), 0.5) is None
